@@ -1,7 +1,7 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import licenses, sharding
+from . import licenses, neardup, sharding
 
-MODULES = [licenses, sharding]
+MODULES = [licenses, sharding, neardup]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: f for m in MODULES for k, f in m.ORACLE_SQL.items()}
