@@ -1,7 +1,7 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import licenses, neardup, sharding
+from . import bpe, chat, decontamination, html_text, licenses, merkle, neardup, quality, sharding, toxicity
 
-MODULES = [licenses, sharding, neardup]
+MODULES = [licenses, sharding, neardup, html_text, merkle, decontamination, toxicity, chat, bpe, quality]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: f for m in MODULES for k, f in m.ORACLE_SQL.items()}

@@ -76,9 +76,7 @@ def signatures(df: DataFrame, words: int) -> DataFrame:
 
 def full_sets(df: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """node, shingles: the full set of each wanted node, read again from its text."""
-    wanted = nodes.select(F.col("node").alias("doc_id"), "digest")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = small(nodes.select(F.col("node").alias("doc_id"), "digest"))
 
     def make():
         def step(batch: pa.RecordBatch) -> dict:
@@ -189,6 +187,24 @@ def class_links(df: DataFrame, classes: DataFrame, words: int, percent: int) ->
     return found if more.isEmpty() else components(links.union(more), "last")
 
 
+def representatives(df: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of df that stay: of each group of near duplicates those of the smallest id; of rows that share id and text one; rows without an id
+    always. df has doc_id and text and must not change between two readings."""
+    found = cut(near_duplicates(df, words=words, percent=percent), "found")
+    lost = found.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    out = df.join(small(lost), "doc_id", "left_anti")
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return out
+    twice = small(twice)
+    return out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A broadcast hint for tables of at most BROADCAST_ROWS rows, counted here; larger ones are joined by a shuffle."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def op3_minhash_neardup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
