@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, slices, table
-from .shingles import mix, word_hashes
+from .shingles import WEIGHTS, mix, word_hashes
 
 #: 1: the word counts, 0: it is ignored. Every mask names five words.
 MASKS = ("11111", "111011", "110111", "1101101", "1011011", "11001011", "10101101", "1100010011")
@@ -45,7 +45,7 @@ def seeds_of(words: np.ndarray, mask: str) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.full(n, np.uint64(int(mask, 2)), np.uint64)
     for k, i in enumerate(i for i, c in enumerate(mask) if c == "1"):
-        out += words[i : i + n] * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
+        out += words[i : i + n] * WEIGHTS[k]
     return mix(out)
 
 

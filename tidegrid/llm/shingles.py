@@ -22,6 +22,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd weights of the places within a run of words, unrelated to one another.
+WEIGHTS = mix(np.arange(1, 65, dtype=np.uint64) * BASE) | np.uint64(1)
+
+
 def powers(n: int) -> np.ndarray:
     global _powers
     if len(_powers) < n:
@@ -76,5 +80,5 @@ def shingle_set(words: np.ndarray, size: int) -> np.ndarray:
     k = min(n, size)
     out = np.full(n - k + 1, np.uint64(k), np.uint64)
     for i in range(k):
-        out += words[i : n - k + 1 + i] * np.uint64((0xD6E8FEB86659FD93 * (2 * i + 1)) & 0xFFFFFFFFFFFFFFFF | 1)
+        out += words[i : n - k + 1 + i] * WEIGHTS[i]
     return np.unique(mix(out))
