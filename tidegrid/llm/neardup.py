@@ -1,13 +1,15 @@
 """MinHash near-duplicates with tensored banding, exact confirmation and connected components.
 
 Signatures. A document's set is that of its distinct word shingles. `collections` small hash collections of `width` minhashes each are computed
-(24 minhashes by default), and the table keys are formed by combining pairs of collections: 12 collections give 66 tables of 4 minhashes, where
-plain banding would compute 264. Two sets of similarity 0.8 meet in no table with probability 1e-4, of 0.85 with 1e-5, of 0.9 with 3e-7.
+(96 minhashes by default), and the table keys are formed by combining pairs of collections: 24 collections give 276 tables of 8 minhashes, where
+plain banding would compute 2,208. Two sets of similarity 0.8 meet in no table with probability 6e-5, of 0.85 with 2e-6; of 0.3 in one with 0.02.
 
 Flow. Equal sets become one class before anything is joined. A pair of collections can only be shared by classes that share both, so classes are
 first narrowed to those with two or more collections that occur elsewhere; only these form table keys. In each table bucket the class with the most
 company becomes the pivot and every other member is tested against it (members, not pairs, of a bucket). Confirmed links give components; then the
 members of a bucket that lie in different components, and only these, are tested against each other, so that no link of a candidate pair is lost.
+Before that, counts of each member's shingles that others have too, by parts of the hash range, bound what two of them share; pairs below the
+similarity by that bound are left out.
 Tests intersect full sets of 64-bit shingle hashes. Tables that a later step reads again are written to the shared folder.
 
 Edge cases: texts that are null, empty or white space have an empty set, are linked with nothing and kept; texts of fewer words than a shingle have
@@ -29,10 +31,12 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, table
 from .shingles import mix, shingle_set, texts_words
 
-COLLECTIONS, WIDTH = 12, 2
+COLLECTIONS, WIDTH = 24, 4
 #: Candidates up to this many are sent to all tasks, to read their texts without a shuffle of the whole table (24 MB); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 SEED = 20240501
+#: Parts of the hash range for which shared shingles are counted, to bound what two sets have in common.
+PARTS = 64
 
 
 def seeds(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,6 +150,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return full.union(empty).withColumn("kept", kept)
 
 
+def shareable(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members (key, node, n, component), shared and parts: how many of a node's shingles some other member has too, in all and in each part of the hash
+    range. What two nodes have in common is at most the sum of the lesser parts; a node that shares too few is linked with none and left out."""
+    part = F.pmod(F.shiftright("shingle", 32), F.lit(PARTS)).alias("part")
+    spread = sets.join(members.select("node").distinct(), "node").select("node", F.explode("shingles").alias("shingle"))
+    own = spread.groupBy("shingle").agg(F.count("*").alias("held"), F.min("node").alias("node")).where("held = 1")
+    counts = spread.groupBy("node", part).agg(F.count("*").alias("k")).unionByName(own.groupBy("node", part).agg((-F.count("*")).alias("k")))
+    counts = counts.groupBy("node", "part").agg(F.sum("k").alias("k"))
+    by_part = counts.groupBy("node").agg(F.sum("k").alias("shared"), F.map_from_entries(F.collect_list(F.struct("part", "k"))).alias("k"))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.coalesce(F.try_element_at("k", i.cast("bigint")), F.lit(0)))
+    return members.join(by_part.select("node", "shared", parts.alias("parts")), "node").where(100 * F.col("shared") >= percent * F.col("n"))
+
+
 def class_links(df: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame | None:
     """node, component of the classes that are linked with another; None if none is."""
     spread = classes.select("node", "n", "digest", F.posexplode("collections").alias("place", "value"))
@@ -174,11 +191,18 @@ def class_links(df: DataFrame, classes: DataFrame, words: int, percent: int) ->
     place = members.select("key", "node", "n").join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
     place = cut(place, "placed")
     torn = cut(place.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "torn")
-    rest = cut(place.join(torn, "key"), "rest")
+    rest = cut(shareable(place.join(torn, "key"), sets, percent), "rest")
     x, y = rest.alias("x"), rest.alias("y")
+    able = lambda most: 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
     pairs = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-        .where(alike(F.col("x.n"), F.col("y.n")))
+        x.join(
+            y,
+            (F.col("x.key") == F.col("y.key"))
+            & (F.col("x.component") < F.col("y.component"))
+            & alike(F.col("x.n"), F.col("y.n"))
+            & able(F.least("x.shared", "y.shared"))
+            & able(F.aggregate(F.zip_with("x.parts", "y.parts", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda a, k: a + k)),
+        )
         .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
         .distinct()
     )
