@@ -4,8 +4,8 @@ A token sequence is the encoding of its bytes exactly if each token alone and ea
 has one valid last token: the one that ends it and fits behind the last token of the prefix before it. A table of these last tokens gives the
 encoding of every prefix, takes exact appends, and after an edit needs new entries only from the edit to where old and new last tokens agree again.
 
-Texts are cut into pieces by the tokenizer's pattern; a piece that is a token is that token, any other one goes through the table. Each task keeps
-the ids of the chunks (words with the space before them) that it has seen, at most CHUNKS of them. Texts are taken in blocks, so a long one needs
+Texts are cut into pieces by the tokenizer's pattern; a piece that is a token is that token, any other one goes through the table. Each worker
+keeps the ids of the chunks (words with the space before them) that it has seen lately, at most twice CHUNKS of them. Texts are taken in blocks, so a long one needs
 little memory. The vocabulary's path is a parameter that each task resolves: a file's path, or the name of a public tokenizer's file.
 
 Edge cases: null and empty texts have no tokens and decode to no bytes; special tokens in texts are ordinary text; a null id is carried through;
@@ -31,9 +31,9 @@ from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries that a task's tables of seen chunks and of token pairs hold before they are emptied.
-CHUNKS, PAIRS = 500_000, 400_000
+CHUNKS, PAIRS = 500_000, 300_000
 #: Tables of prefixes of up to so many bytes are kept from piece to piece, at most so many of them.
-KEPT, TABLES = 24, 300_000
+KEPT, TABLES = 24, 200_000
 BLOCK = 1 << 18
 #: Two white characters in a row: where there are none, every space starts a new piece.
 DOUBLE = re.compile(r"\s\s")
@@ -59,9 +59,14 @@ class Vocabulary:
         self.lengths = np.fromiter(map(len, by_id), np.int64, size)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
-        #: Tokens that aren't known to differ from what their bytes encode to; True: known to be the same.
-        self.whole: dict[bytes, bool] = dict.fromkeys(self.ranks, False)
+        #: The tokens that are what their bytes encode to, and the length of the longest one for each three last bytes.
+        self.whole = frozenset(t for t in self.ranks if len(self.merged(t)) == 1)
+        self.reach: dict[bytes, int] = {}
+        for t in self.whole:
+            if len(t) > self.reach.get(t[-3:], 0):
+                self.reach[t[-3:]] = len(t)
         self.tables: dict[bytes, bytes] = {}
+        self.chunks = Chunks(self, " "), Chunks(self, "")
         assert self.longest < 256
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
 
@@ -78,14 +83,6 @@ class Vocabulary:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stands(self, token: bytes) -> bool:
-        """Whether a token's bytes encode to the token."""
-        if len(self.merged(token)) == 1:
-            self.whole[token] = True
-            return True
-        self.whole.pop(token)
-        return False
-
     def fits(self, left: bytes, right: bytes) -> bool:
         """Whether the bytes of two tokens encode to just these two."""
         key = (left, right)
@@ -111,10 +108,10 @@ class Prefixes:
 
     def _length(self, end: int) -> int:
         data, last, words = self.data, self.last, self.words
-        valid, pairs = words.whole, words.pairs
-        for n in range(end if end < words.longest else words.longest, 0, -1):
+        whole, pairs = words.whole, words.pairs
+        for n in range(min(end, words.reach.get(data[max(0, end - 3) : end], 2)), 0, -1):
             token = data[end - n : end]
-            if token in valid and (valid[token] or words.stands(token)):
+            if token in whole:
                 at = end - n
                 if not at:
                     return n
@@ -161,34 +158,38 @@ class Prefixes:
         return new
 
     def tokens(self) -> list[bytes]:
-        out, end = [], len(self.data)
+        out, data, last, end = [], self.data, self.last, len(self.data)
         while end:
-            out.append(self.data[end - self.last[end] : end])
-            end -= self.last[end]
-        return out[::-1]
+            start = end - last[end]
+            out.append(data[start:end])
+            end = start
+        out.reverse()
+        return out
 
 
 class Chunks(dict):
-    """The ids, as int32 bytes, of each chunk of text seen; lead: what stands before the chunk."""
+    """The ids, as int32 bytes, of each chunk of text seen; lead: what stands before the chunk. Of chunks seen long ago, those seen again stay."""
 
     def __init__(self, words: Vocabulary, lead: str) -> None:
-        self.words, self.lead = words, lead
+        self.words, self.lead, self.old = words, lead, {}
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= CHUNKS:
+            self.old = dict(self)
             self.clear()
+        out = self[chunk] = self.old.get(chunk) or self._ids(chunk)
+        return out
+
+    def _ids(self, chunk: str) -> bytes:
         found: list[int] = []
-        ranks = self.words.ranks
-        whole = self.lead + chunk
+        ranks, whole = self.words.ranks, self.lead + chunk
         for piece in (whole,) if chunk.isalpha() else self.words.pattern.findall(whole):
             data = piece.encode()
             if data in ranks:
                 found.append(ranks[data])
             else:
                 found += [ranks[t] for t in Prefixes(self.words, data).tokens()]
-        out = pack(f"{len(found)}i", *found)
-        self[chunk] = out
-        return out
+        return pack(f"{len(found)}i", *found)
 
 
 def blocks(text: str) -> Iterator[str]:
@@ -202,7 +203,8 @@ def blocks(text: str) -> Iterator[str]:
 
 class Encoder:
     def __init__(self, words: Vocabulary) -> None:
-        self.spaced, self.plain = Chunks(words, " "), Chunks(words, "")
+        self.words = words
+        self.spaced, self.plain = words.chunks
 
     def __call__(self, text: str | None) -> np.ndarray:
         out = []
@@ -228,8 +230,8 @@ def _fields(df: DataFrame, keep: list[str]) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in keep)
 
 
-def encode(df: DataFrame, keep: list[str], text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """The kept columns and token_ids, the ids of the text's tokens."""
+def encode(df: DataFrame, keep: list[str], text_col: str = "text", path: str = VOCABULARY, decoded: bool = False) -> DataFrame:
+    """The kept columns and token_ids, the ids of the text's tokens; if decoded, also the bytes that decoding these ids gives."""
     source = df.select(*keep, *([] if text_col in keep else [text_col]))
 
     def make():
@@ -239,11 +241,12 @@ def encode(df: DataFrame, keep: list[str], text_col: str = "text", path: str = V
             ids = [encoder(t) for t in batch.column(text_col).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)])
             values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-            return {c: batch.column(c) for c in keep} | {"token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            out = {c: batch.column(c) for c in keep} | {"token_ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)}
+            return out | {"decoded": pa.array([decode_ids(encoder.words, x) for x in ids], pa.binary())} if decoded else out
 
         return step
 
-    return map_texts(source, source.columns, text_col, f"{_fields(source, keep)}, token_ids array<int>", make)
+    return map_texts(source, source.columns, text_col, f"{_fields(source, keep)}, token_ids array<int>{", decoded binary" * decoded}", make)
 
 
 def decode(df: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFrame:
@@ -263,8 +266,8 @@ def decode(df: DataFrame, keep: list[str], path: str = VOCABULARY) -> DataFrame:
 
 
 def op9_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    encoded = encode(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"])
-    done = decode(encoded, ["doc_id", "token_ids"])
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    done = encode(docs, ["doc_id"], decoded=True)
     ids = F.array_join(F.col("token_ids").cast("array<string>"), ",")
     return done.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
