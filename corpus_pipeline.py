@@ -42,8 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keep = ["doc_id", "lang", "source"]
-    encoded = bpe.encode(docs, keep)
-    done = bpe.decode(encoded, [*keep, "token_ids"])
+    done = bpe.encode(docs, keep, decoded=True)
     return done.select(*keep, F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
