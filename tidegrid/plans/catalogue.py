@@ -1,4 +1,10 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import inference, signals, spectra, streams
+from .inference import flagship
+
+MODULES = [signals, inference, spectra, streams]
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
