@@ -31,9 +31,9 @@ from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Entries that a task's tables of seen chunks and of token pairs hold before they are emptied.
-CHUNKS, PAIRS = 500_000, 300_000
+CHUNKS, PAIRS = 400_000, 200_000
 #: Tables of prefixes of up to so many bytes are kept from piece to piece, at most so many of them.
-KEPT, TABLES = 24, 200_000
+KEPT, TABLES = 24, 120_000
 BLOCK = 1 << 18
 #: Two white characters in a row: where there are none, every space starts a new piece.
 DOUBLE = re.compile(r"\s\s")

@@ -26,6 +26,8 @@ from .common import map_texts
 WORD = re.compile(r"\w+")
 #: Words are told apart by so many first letters, so that one form of a word tells of the others.
 STEM = 5
+#: Figures that a text gets from its windows.
+MEASURES = 14
 
 
 class Method(NamedTuple):
@@ -86,7 +88,7 @@ class Measure:
     def __call__(self, text: str | None) -> np.ndarray:
         parts = windows(text or "", self.size)
         if not parts:
-            return np.zeros(14)
+            return np.zeros(MEASURES)
         p, n = (np.fromiter((len(f(w)) for w in parts), np.float64, len(parts)) for f in self.shrink)
         length = np.fromiter(map(len, parts), np.float64, len(parts))
         gain, part = n - p, (n - p) / length
@@ -168,11 +170,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, held_out: Callable[[Col
         positive = trained(pieces[1][:: step[1]], method.dict_bytes)
     measure = Measure(method, positive, negative)
     tune = [(t, k) for k in (0, 1) for t in part[k][1]]
-    values = np.array([measure(t) for t, _ in tune]).reshape(len(tune), -1)
+    values = np.array([measure(t) for t, _ in tune]).reshape(len(tune), MEASURES)
     total = sum(prior.values())
     if not texts[0] or not texts[1]:
         share = prior.get(1, 0) / total if total else 0.5
-        return Model(method, positive, negative, np.zeros(14), np.ones(14), np.r_[np.log((share + 1e-3) / (1 - share + 1e-3)), np.zeros(14)])
+        return Model(method, positive, negative, np.zeros(MEASURES), np.ones(MEASURES), np.r_[np.log((share + 1e-3) / (1 - share + 1e-3)), np.zeros(MEASURES)])
     y = np.array([k for _, k in tune], float)
     centre, scale = values.mean(axis=0), values.std(axis=0) + 1e-9
     here = np.array([(y == k).mean() for k in (0, 1)])
@@ -191,7 +193,7 @@ def scored(df: DataFrame, model: Model, keep: list[str] | None = None) -> DataFr
 
         def step(batch: pa.RecordBatch) -> dict:
             texts = batch.column("text").to_pylist()
-            z = design(np.array([measure(t) for t in texts]).reshape(len(texts), -1), model.centre, model.scale) @ model.weights
+            z = design(np.array([measure(t) for t in texts]).reshape(len(texts), MEASURES), model.centre, model.scale) @ model.weights
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             return {c: batch.column(c) for c in keep} | {"score": pa.array(score), "predicted": pa.array(score >= model.method.cut).cast(pa.int32())}
 
