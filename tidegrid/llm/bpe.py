@@ -30,16 +30,34 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Entries that a task's tables of seen chunks and of token pairs hold before they are emptied.
-CHUNKS, PAIRS = 400_000, 200_000
-#: Tables of prefixes of up to so many bytes are kept from piece to piece, at most so many of them.
-KEPT, TABLES = 24, 120_000
+#: New entries of a worker's tables of chunks and of token pairs after which those not asked for again go: twice as many are held.
+CHUNKS, PAIRS = 500_000, 200_000
+#: Tables of prefixes of up to so many bytes are kept from piece to piece, likewise.
+KEPT, TABLES = 24, 150_000
 BLOCK = 1 << 18
 #: Two white characters in a row: where there are none, every space starts a new piece.
 DOUBLE = re.compile(r"\s\s")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class Recent(dict):
+    """A table of bounded size: of the entries before the last `size` new ones those asked for again stay. Unknown keys give None."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.old = size, {}
+
+    def put(self, key, value):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        return value if value is None else self.put(key, value)
+
+
 class Vocabulary:
     """The ranks of a tokenizer and what follows from them."""
 
@@ -65,10 +83,10 @@ class Vocabulary:
         for t in self.whole:
             if len(t) > self.reach.get(t[-3:], 0):
                 self.reach[t[-3:]] = len(t)
-        self.tables: dict[bytes, bytes] = {}
+        self.tables = Recent(TABLES)
         self.chunks = Chunks(self, " "), Chunks(self, "")
         assert self.longest < 256
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.pairs = Recent(PAIRS)
 
     def merged(self, data: bytes) -> list[bytes]:
         """BPE by its definition: merge the neighbours of lowest rank until no two make a token."""
@@ -85,12 +103,10 @@ class Vocabulary:
 
     def fits(self, left: bytes, right: bytes) -> bool:
         """Whether the bytes of two tokens encode to just these two."""
-        key = (left, right)
-        known = self.pairs.get(key)
+        known = self.pairs[left, right]
         if known is None:
-            if len(self.pairs) >= PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
+            both = left + right
+            known = self.pairs.put((left, right), both not in self.whole and self.merged(both) == [left, right])
         return known
 
 
@@ -116,7 +132,7 @@ class Prefixes:
                 if not at:
                     return n
                 left = data[at - last[at] : at]
-                known = pairs.get((left, token))
+                known = pairs[left, token]
                 if known or known is None and words.fits(left, token):
                     return n
         raise ValueError("a byte of the text is no token")
@@ -127,16 +143,14 @@ class Prefixes:
         self.data = data = self.data + data
         if not start:
             start = min(len(data), KEPT)
-            while start and data[:start] not in known:
+            while start and not (table_ := known[data[:start]]):
                 start -= 1
             if start:
-                self.last = bytearray(known[data[:start]])
+                self.last = bytearray(table_)
         for end in range(start + 1, len(data) + 1):
             self.last.append(self._length(end))
             if end <= KEPT:
-                if len(known) >= TABLES:
-                    known.clear()
-                known[data[:end]] = bytes(self.last)
+                known.put(data[:end], bytes(self.last))
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put data in place of bytes start .. stop; the number of entries that had to be computed anew."""
@@ -167,18 +181,15 @@ class Prefixes:
         return out
 
 
-class Chunks(dict):
-    """The ids, as int32 bytes, of each chunk of text seen; lead: what stands before the chunk. Of chunks seen long ago, those seen again stay."""
+class Chunks(Recent):
+    """The ids, as int32 bytes, of each chunk of text seen; lead: what stands before the chunk."""
 
     def __init__(self, words: Vocabulary, lead: str) -> None:
-        self.words, self.lead, self.old = words, lead, {}
+        super().__init__(CHUNKS)
+        self.words, self.lead = words, lead
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CHUNKS:
-            self.old = dict(self)
-            self.clear()
-        out = self[chunk] = self.old.get(chunk) or self._ids(chunk)
-        return out
+        return self.put(chunk, self.old.get(chunk) or self._ids(chunk))
 
     def _ids(self, chunk: str) -> bytes:
         found: list[int] = []
