@@ -35,6 +35,8 @@ CHUNKS, PAIRS = 500_000, 200_000
 #: Tables of prefixes of up to so many bytes are kept from piece to piece, likewise.
 KEPT, TABLES = 24, 150_000
 BLOCK = 1 << 18
+#: A rank above all.
+NEVER = 1 << 40
 #: Two white characters in a row: where there are none, every space starts a new piece.
 DOUBLE = re.compile(r"\s\s")
 SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -87,6 +89,7 @@ class Vocabulary:
         self.chunks = Chunks(self, " "), Chunks(self, "")
         assert self.longest < 256
         self.pairs = Recent(PAIRS)
+        self.histories: dict[bytes, tuple[list, list, list]] = {}
 
     def merged(self, data: bytes) -> list[bytes]:
         """BPE by its definition: merge the neighbours of lowest rank until no two make a token."""
@@ -101,12 +104,39 @@ class Vocabulary:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def history(self, token: bytes) -> tuple[list, list, list]:
+        """Of a token's merges in order: their ranks (then one above all), and the first and the last part before each (then the token)."""
+        known = self.histories.get(token)
+        if known is None:
+            parts = [token[i : i + 1] for i in range(len(token))]
+            order, first, last = [], [parts[0]], [parts[-1]]
+            while len(parts) > 1:
+                rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+                order.append(rank)
+                first.append(parts[0])
+                last.append(parts[-1])
+            known = self.histories[token] = ([*order, NEVER], first, last)
+        return known
+
     def fits(self, left: bytes, right: bytes) -> bool:
-        """Whether the bytes of two tokens encode to just these two."""
+        """Whether the bytes of two tokens, each what its bytes encode to, encode to just these two: no merge across the border is ever the next one."""
         known = self.pairs[left, right]
         if known is None:
-            both = left + right
-            known = self.pairs.put((left, right), both not in self.whole and self.merged(both) == [left, right])
+            (a, _, ends), (b, starts, _) = self.history(left), self.history(right)
+            ranks, i, j, known = self.ranks, 0, 0, True
+            while True:
+                across = ranks.get(ends[i] + starts[j], NEVER)
+                if across < a[i] and across <= b[j] and across < NEVER:
+                    known = False
+                    break
+                if a[i] <= b[j]:
+                    if a[i] == NEVER:
+                        break
+                    i += 1
+                else:
+                    j += 1
+            self.pairs.put((left, right), known)
         return known
 
 
@@ -122,20 +152,24 @@ class Prefixes:
         self.words, self.data, self.last = words, b"", bytearray(1)
         self.append(data)
 
-    def _length(self, end: int) -> int:
+    def _extend(self, stop: int) -> None:
+        """Append the entries of the prefixes up to `stop` bytes."""
         data, last, words = self.data, self.last, self.words
-        whole, pairs = words.whole, words.pairs
-        for n in range(min(end, words.reach.get(data[max(0, end - 3) : end], 2)), 0, -1):
-            token = data[end - n : end]
-            if token in whole:
-                at = end - n
-                if not at:
-                    return n
-                left = data[at - last[at] : at]
-                known = pairs[left, token]
-                if known or known is None and words.fits(left, token):
-                    return n
-        raise ValueError("a byte of the text is no token")
+        whole, pairs, reach = words.whole, words.pairs, words.reach
+        for end in range(len(last), stop + 1):
+            for n in range(min(end, reach.get(data[max(0, end - 3) : end], 2)), 0, -1):
+                token = data[end - n : end]
+                if token in whole:
+                    at = end - n
+                    if not at:
+                        break
+                    left = data[at - last[at] : at]
+                    known = pairs[left, token]
+                    if known or known is None and words.fits(left, token):
+                        break
+            else:
+                raise ValueError("a byte of the text is no token")
+            last.append(n)
 
     def append(self, data: bytes) -> None:
         """Exact: the entries of the old prefixes stay. The table of the longest prefix that an earlier piece had too is taken over."""
@@ -147,10 +181,12 @@ class Prefixes:
                 start -= 1
             if start:
                 self.last = bytearray(table_)
-        for end in range(start + 1, len(data) + 1):
-            self.last.append(self._length(end))
-            if end <= KEPT:
-                known.put(data[:end], bytes(self.last))
+        self._extend(len(data))
+        if start < KEPT:
+            top = min(len(data), KEPT)
+            whole = bytes(self.last[: top + 1])
+            for end in range(start + 1, top + 1):
+                known.put(data[:end], whole[: end + 1])
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put data in place of bytes start .. stop; the number of entries that had to be computed anew."""
@@ -161,8 +197,8 @@ class Prefixes:
         for end in range(start + 1, len(self.data) + 1):
             if same > self.words.longest:
                 break
-            n, new = self._length(end), new + 1
-            self.last.append(n)
+            self._extend(end)
+            n, new = self.last[end], new + 1
             old = end - shift - stop - 1
             same = same + 1 if old >= 0 and tail[old] == n else 0
         else:
