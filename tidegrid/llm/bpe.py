@@ -31,9 +31,9 @@ from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: New entries of a worker's tables of chunks and of token pairs after which those not asked for again go: twice as many are held.
-CHUNKS, PAIRS = 500_000, 200_000
+CHUNKS, PAIRS = 480_000, 50_000
 #: Tables of prefixes of up to so many bytes are kept from piece to piece, likewise.
-KEPT, TABLES = 24, 150_000
+KEPT, TABLES = 24, 120_000
 BLOCK = 1 << 18
 #: A rank above all.
 NEVER = 1 << 40

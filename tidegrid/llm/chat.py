@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, table
+from .common import map_texts, short_batches, slices, table
 
 #: The template, and what is escaped in texts.
 START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
@@ -152,7 +152,7 @@ def digests(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(closed(state), types)], names=names)
 
-    return rows.mapInArrow(task, DIGESTS)
+    return short_batches(rows).mapInArrow(task, DIGESTS)
 
 
 def closed(state: list) -> tuple:

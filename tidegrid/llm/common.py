@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows and text bytes that an operator's numpy code holds at a time, whatever the size of an Arrow batch.
 SLICE_ROWS = 256
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch on its way to a task's Python.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +61,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(start)
 
 
+def short_batches(df: DataFrame) -> DataFrame:
+    """df; Arrow batches of its session get at most BATCH_ROWS rows, as rows of whole texts are large."""
+    key, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def map_texts(df: DataFrame, columns: list, text: str, schema: str, make: Callable) -> DataFrame:
     """Run make() once in each task; the function it returns turns one slice of rows into a RecordBatch or a dict of columns."""
 
@@ -68,7 +78,7 @@ def map_texts(df: DataFrame, columns: list, text: str, schema: str, make: Callab
             out = step(piece)
             yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return df.select(*columns).mapInArrow(task, schema)
+    return short_batches(df.select(*columns)).mapInArrow(task, schema)
 
 
 def crc_of_id(col) -> "F.Column":

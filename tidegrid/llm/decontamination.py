@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, slices, table
+from .common import map_texts, short_batches, slices, table
 from .shingles import WEIGHTS, mix, word_hashes
 
 #: 1: the word counts, 0: it is ignored. Every mask names five words.
@@ -193,7 +193,7 @@ def clean(df: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
                 keep[hit] = False
                 yield piece.filter(pa.array(keep))
 
-        df = df.mapInArrow(task, df.schema)
+        df = short_batches(df).mapInArrow(task, df.schema)
     return df
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import short_batches, slices, table
 from .shingles import mix, word_hashes
 
 #: A phrase has at least so many words, then ends at a word whose hash modulo SPLIT is 0, and at LONGEST words in any case.
@@ -143,7 +143,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], names=NAMES)
 
-    return dealt.select("range", "borrowed", "doc_id", "text").mapInArrow(task, SCHEMA)
+    return short_batches(dealt.select("range", "borrowed", "doc_id", "text")).mapInArrow(task, SCHEMA)
 
 
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
