@@ -107,6 +107,32 @@ def test_overlaps_survive_substitutions(spark):
     assert kept == set(range(60)) - set(want)
 
 
+def test_segments_of_any_form_equal_brute_force():
+    rng, least = random.Random(8), 8
+    forms = ["111011101111", "11111100111111", "11111110001111111", "1" * 8 + "0" * 9 + "1" * 8, "11110111101111", "0011111111", "1111111", "11111101"]
+    for n in (9, 12, 15, 20, 30, 60):
+        for _ in range(120):
+            bad = set(rng.sample(range(n), rng.randint(0, n // 5 + 1)))
+            forms.append("".join("01"[k not in bad] for k in range(n)))
+            at, m = rng.randrange(n), rng.randint(0, n // 5 + 1)  # substitutions in one run
+            forms.append("".join("10"[at <= k < at + m] for k in range(n)))
+    for form in forms:
+        item = [f"i{k}" for k in range(len(form))]
+        said = [w if c == "1" else f"x{k}" for k, (w, c) in enumerate(zip(item, form))]
+        cut = rng.choice((0, 0, 1, 2))
+        before = [f"b{k}" for k in range(rng.choice((0, 3)))]
+        form, said = form[cut:], before + said[cut:]
+        spans = [(form[a:b].count("1"), a - b, -b) for a in range(len(form)) for b in range(a + 1, len(form) + 1) if form[a] + form[b - 1] == "11"]
+        good = [x for x in spans if x[0] >= min(least, len(item)) and 5 * (-x[1] - x[0]) <= -x[1]]
+        words, starts = decontamination.joined([" ".join(item)])
+        got = np.array(decontamination.Block(np.array([1]), words, starts, least).overlaps(*decontamination.joined(["none", " ".join(said)]))).T.tolist()
+        if good:
+            matched, length, stop = max(good)
+            assert got == [[1, 0, matched, -length, len(before) - stop + length, cut - stop + length]], form
+        else:
+            assert got == [], form
+
+
 def test_overlaps_find_whole_items_as_brute_force_does(spark, texts):
     norm = lambda t: " " + re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", t).strip() + " "
     items = {r["item_id"]: norm(r["text"].lower()) for r in table(spark, "benchmark").collect()}

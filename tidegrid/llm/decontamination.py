@@ -2,8 +2,8 @@
 
 Words are runs of letters, digits and bytes over 127, A-Z as a-z. Each mask names places within a run of words and ignores the others, so words
 replaced at ignored places leave the seed's hash as it is. The seeds of the benchmark are joined to those of each document: a hit puts an item and a
-document on one diagonal, on which the best segment (a match counts 1, a substitution -3) must have `least` equal words, or all of a shorter
-item's, of which substitutions are a fifth at most.
+document on one diagonal, on which any segment must have `least` equal words, or all of a shorter item's, and substitutions in a fifth of its words
+at most; of those segments the one of most equal words is given. Every such segment of eight equal words or more is hit by one of the masks.
 
 The benchmark is the stated query set: its words go to the tasks in blocks of BLOCK_WORDS (4 MB, some 50 MB as tables in a task), each block meets
 all documents in a pass that shuffles nothing. A table of bits sorts out most seeds before they are looked up; hits are verified in bounded portions.
@@ -94,7 +94,7 @@ class Block:
                 at = stop
 
     def overlaps(self, words: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-        """text, item, equal words, length, document word, item word of the best segment of every diagonal that is an overlap."""
+        """text, item, equal words, length, document word, item word of the segment of most equal words of every diagonal that has an overlap."""
         found = [np.zeros((0, 6), np.int64)]
         for text, item, shift in self.diagonals(words, starts):
             found.append(self._verify(words, starts, *np.unique(np.c_[text, item, shift], axis=0).T))
@@ -112,17 +112,28 @@ class Block:
             doc = place + d[:, None]
             inside = (np.arange(n.max()) < n[:, None]) & (doc >= starts[t][:, None]) & (doc < starts[t + 1][:, None])
             equal = inside & (self.words[np.minimum(place, len(self.words) - 1)] == words[np.clip(doc, 0, len(words) - 1)])
-            gain = np.where(equal, 1, np.where(inside, -3, -(1 << 20)))
+            # Chance hits with too few equal words on the whole diagonal go before the sums.
+            enough = equal.sum(axis=1) >= np.minimum(self.least, n)
+            if not enough.any():
+                continue
+            t, i, d, n, inside, equal = (x[enough] for x in (t, i, d, n, inside, equal))
+            gain = np.where(equal, 1, np.where(inside, -4, -(1 << 20)))
             total = np.concatenate([np.zeros((len(t), 1), np.int64), np.cumsum(gain, axis=1)], axis=1)
-            low = np.minimum.accumulate(total, axis=1)
-            best = np.argmax(total - low, axis=1)
-            rows = np.arange(len(t))
             held = np.concatenate([np.zeros((len(t), 1), np.int64), np.cumsum(equal, axis=1)], axis=1)
-            # The segment starts behind the last of the lowest sums before its end.
-            lowest = np.where(np.arange(total.shape[1]) <= best[:, None], total == low[rows, best][:, None], False)
-            first = total.shape[1] - 1 - np.argmax(lowest[:, ::-1], axis=1)
-            matched, length = held[rows, best] - held[rows, first], best - first
-            good = (matched >= np.minimum(self.least, n)) & (5 * (length - matched) <= length)
+            # A segment qualifies if its sum is 0 at least. For each end, the first start whose sum is no higher holds the most equal words.
+            low = np.minimum.accumulate(total, axis=1)
+            rows, size_ = np.arange(len(t)), total.shape[1]
+            apart = rows[:, None] * (int(total.max()) - int(total.min()) + 1)
+            first = np.searchsorted((apart - low).ravel(), (apart - total).ravel()).reshape(total.shape) - rows[:, None] * size_
+            matched = held - np.take_along_axis(held, first, axis=1)
+            # Substitutions in front are left out; of the ends of most equal words the one of fewest substitutions counts, then the earliest.
+            where = np.where(equal, np.arange(size_ - 1), size_ - 1)
+            begin = np.c_[np.minimum.accumulate(where[:, ::-1], axis=1)[:, ::-1], np.full(len(t), size_ - 1)]
+            first = np.minimum(np.take_along_axis(begin, first, axis=1), np.arange(size_))
+            best = np.argmax(matched * (size_ + 1) - (np.arange(size_) - first), axis=1)
+            first, matched = first[rows, best], matched[rows, best]
+            length = best - first
+            good = matched >= np.minimum(self.least, n)
             start = self.starts[i] + first
             out.append(np.c_[t, i, matched, length, start + d - starts[t], first][good])
         return np.concatenate(out) if out else np.zeros((0, 6), np.int64)
