@@ -350,6 +350,39 @@ def test_licenses_equal_brute_force(spark, texts):
         assert r["base_labels"] == ",".join(sorted({x for _, x in at})) and set(r["base_labels"].split(",")) <= set(r["labels"].split(",")) | {""}
 
 
+NOTICES = [
+    "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose",
+    "Redistribution and use in source and binary forms",
+    "Neither the name of the holder nor others may be used to endorse or promote",
+    "See the License for the specific language governing permissions and limitations under the License",
+    "This program is free software; you can redistribute it and/or modify",
+    "This Source Code Form is subject to the terms of the Mozilla Public",
+    "This is free and unencumbered software released into the public domain",
+    "Altered source versions must be plainly marked",
+    "distributed under the Boost Software License",
+    "placed in the public domain",
+    "All rights reserved",
+    "GNU GPL",
+    "Creative Commons",
+    "MIT No Attribution License",
+    "GNU General Public License as published by the Free Software Foundation, either version 3",
+    "Creative Commons Attribution ShareAlike 4.0",
+    "CC BY 4.0",
+]
+
+
+@pytest.mark.parametrize("gap", [" ", "  ", "\n", "\r\n\t", "\u00a0", " \n "])
+def test_gated_rules_find_what_all_rules_find_in_wrapped_texts(gap):
+    scanner = licenses.Scanner()
+    for notice in NOTICES:
+        text = "Some words. " + notice.replace(" ", gap) + " and more."
+        whole = scanner.detections(text.lower(), set(scanner.of_key))
+        labels, score, found = scanner.scan(text)[3:]
+        assert {x[4] for x in found} == {x[4] for x in scanner.scan(notice)[5]}
+        assert found == whole and found and {x[4] for x in found} <= labels and score >= max(x[5] for x in found), notice
+
+
 def test_shards_are_whole_and_grow_into_the_new_one(spark, texts):
     got = sharding.op2_rendezvous_sharding(spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(texts)

@@ -1,7 +1,8 @@
 """The ordered license signatures: families by name and identifier, times the forms in which texts state a license, and clauses of license texts.
 
 A rule is (rank, label, keyword, pattern, confidence). Patterns see text with A-Z lower-cased. A lower rank wins.
-A rule runs only on texts that hold its keyword, so the keyword must occur in every text that the pattern matches.
+A rule runs only on texts that hold its keyword, so the keyword must occur in every text that the pattern matches, once runs of
+white space are one space.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ FAMILIES = [
     ("apache-2.0", r"apache-2\.0", "apache", r"apache(?:\s+software)?\s+licen[cs]e,?\s*(?:\(?version\s+|v\.?\s*)?2(?:\.0)?", "apache", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", r"apache-1\.1", "apache", r"apache(?:\s+software)?\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)?1\.1", "apache", r"apache\.org/licenses/license-1\.1"),
     ("apache-1.0", r"apache-1\.0", "apache", r"apache(?:\s+software)?\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)?1\.0", "apache", r"apache\.org/licenses/license-1\.0"),
-    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", "gpl-3", r"(?:gnu\s+)?general\s+public\s+licen[cs]e,?\s*(?:as\s+published\s+by\s+[a-z ]{1,40},?\s*)?(?:either\s+)?(?:\(?version\s+|v\.?\s*)3(?:\.0)?", "general", r"gnu\.org/licenses/gpl-3\.0"),
-    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", "gpl-2", r"(?:gnu\s+)?general\s+public\s+licen[cs]e,?\s*(?:as\s+published\s+by\s+[a-z ]{1,40},?\s*)?(?:either\s+)?(?:\(?version\s+|v\.?\s*)2(?:\.0)?", "general", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", "gpl-3", r"(?:gnu\s+)?general\s+public\s+licen[cs]e,?\s*(?:as\s+published\s+by\s+[a-z\s]{1,40},?\s*)?(?:either\s+)?(?:\(?version\s+|v\.?\s*)3(?:\.0)?", "general", r"gnu\.org/licenses/gpl-3\.0"),
+    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", "gpl-2", r"(?:gnu\s+)?general\s+public\s+licen[cs]e,?\s*(?:as\s+published\s+by\s+[a-z\s]{1,40},?\s*)?(?:either\s+)?(?:\(?version\s+|v\.?\s*)2(?:\.0)?", "general", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
     ("gpl-1.0", r"gpl-1\.0(?:-only|-or-later|\+)?", "gpl-1", r"(?:gnu\s+)?general\s+public\s+licen[cs]e,?\s*(?:\(?version\s+|v\.?\s*)1(?:\.0)?", "general", r"gnu\.org/licenses/old-licenses/gpl-1\.0"),
     ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", "lgpl-3", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)3(?:\.0)?", "lesser", r"gnu\.org/licenses/lgpl-3\.0"),
     ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", "lgpl-2", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)2\.1", "lesser", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
@@ -58,14 +59,14 @@ FAMILIES = [
     ("odc-by-1.0", r"odc-by-1\.0", "odc-by", r"open\s+data\s+commons\s+attribution\s+licen[cs]e", "attribution", r"opendatacommons\.org/licenses/by"),
     ("pddl-1.0", r"pddl-1\.0", "pddl", r"public\s+domain\s+dedication\s+and\s+licen[cs]e", "dedication", r"opendatacommons\.org/licenses/pddl"),
     ("cc0-1.0", r"cc0(?:-1\.0)?", "cc0", r"creative\s+commons\s+(?:zero|cc0)(?:\s+v?1\.0)?(?:\s+universal)?", "creative", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by-4.0", r"cc-by-4\.0", "cc-by", r"(?:cc[ -]by\s+4\.0|creative\s+commons\s+attribution\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by/4"),
-    ("cc-by-3.0", r"cc-by-3\.0", "cc-by", r"(?:cc[ -]by\s+3\.0|creative\s+commons\s+attribution\s+3\.0)", "3.0", r"creativecommons\.org/licenses/by/3"),
-    ("cc-by-sa-4.0", r"cc-by-sa-4\.0", "cc-by-sa", r"(?:cc[ -]by-sa\s+4\.0|creative\s+commons\s+attribution[- ]share-?alike\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-sa/4"),
-    ("cc-by-sa-3.0", r"cc-by-sa-3\.0", "cc-by-sa", r"(?:cc[ -]by-sa\s+3\.0|creative\s+commons\s+attribution[- ]share-?alike\s+3\.0)", "3.0", r"creativecommons\.org/licenses/by-sa/3"),
-    ("cc-by-nc-4.0", r"cc-by-nc-4\.0", "cc-by-nc", r"(?:cc[ -]by-nc\s+4\.0|creative\s+commons\s+attribution[- ]non-?commercial\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-nc/4"),
-    ("cc-by-nc-sa-4.0", r"cc-by-nc-sa-4\.0", "cc-by-nc-sa", r"(?:cc[ -]by-nc-sa\s+4\.0|creative\s+commons\s+attribution[- ]non-?commercial[- ]share-?alike\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-nc-sa/4"),
-    ("cc-by-nd-4.0", r"cc-by-nd-4\.0", "cc-by-nd", r"(?:cc[ -]by-nd\s+4\.0|creative\s+commons\s+attribution[- ]no-?deriv\w*\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-nd/4"),
-    ("cc-by-nc-nd-4.0", r"cc-by-nc-nd-4\.0", "cc-by-nc-nd", r"(?:cc[ -]by-nc-nd\s+4\.0|creative\s+commons\s+attribution[- ]non-?commercial[- ]no-?deriv\w*\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-nc-nd/4"),
+    ("cc-by-4.0", r"cc-by-4\.0", "cc-by", r"(?:cc(?:-|\s+)by\s+4\.0|creative\s+commons\s+attribution\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by/4"),
+    ("cc-by-3.0", r"cc-by-3\.0", "cc-by", r"(?:cc(?:-|\s+)by\s+3\.0|creative\s+commons\s+attribution\s+3\.0)", "3.0", r"creativecommons\.org/licenses/by/3"),
+    ("cc-by-sa-4.0", r"cc-by-sa-4\.0", "cc-by-sa", r"(?:cc(?:-|\s+)by-sa\s+4\.0|creative\s+commons\s+attribution(?:-|\s+)share-?alike\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-sa/4"),
+    ("cc-by-sa-3.0", r"cc-by-sa-3\.0", "cc-by-sa", r"(?:cc(?:-|\s+)by-sa\s+3\.0|creative\s+commons\s+attribution(?:-|\s+)share-?alike\s+3\.0)", "3.0", r"creativecommons\.org/licenses/by-sa/3"),
+    ("cc-by-nc-4.0", r"cc-by-nc-4\.0", "cc-by-nc", r"(?:cc(?:-|\s+)by-nc\s+4\.0|creative\s+commons\s+attribution(?:-|\s+)non-?commercial\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-nc/4"),
+    ("cc-by-nc-sa-4.0", r"cc-by-nc-sa-4\.0", "cc-by-nc-sa", r"(?:cc(?:-|\s+)by-nc-sa\s+4\.0|creative\s+commons\s+attribution(?:-|\s+)non-?commercial(?:-|\s+)share-?alike\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-nc-sa/4"),
+    ("cc-by-nd-4.0", r"cc-by-nd-4\.0", "cc-by-nd", r"(?:cc(?:-|\s+)by-nd\s+4\.0|creative\s+commons\s+attribution(?:-|\s+)no-?deriv\w*\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-nd/4"),
+    ("cc-by-nc-nd-4.0", r"cc-by-nc-nd-4\.0", "cc-by-nc-nd", r"(?:cc(?:-|\s+)by-nc-nd\s+4\.0|creative\s+commons\s+attribution(?:-|\s+)non-?commercial(?:-|\s+)no-?deriv\w*\s+4\.0)", "4.0", r"creativecommons\.org/licenses/by-nc-nd/4"),
     ("ms-pl", r"ms-pl", "ms-pl", r"microsoft\s+public\s+licen[cs]e", "microsoft", r"opensource\.org/licenses?/ms-pl"),
     ("ms-rl", r"ms-rl", "ms-rl", r"microsoft\s+reciprocal\s+licen[cs]e", "microsoft", r"opensource\.org/licenses?/ms-rl"),
     ("ncsa", r"ncsa", "ncsa", r"university\s+of\s+illinois/ncsa\s+(?:open\s+source\s+)?licen[cs]e", "ncsa", r"opensource\.org/licenses?/ncsa"),
@@ -83,7 +84,7 @@ CLAUSES = [
     ("mit", "hereby granted", r"permission\s+is\s+hereby\s+granted,?\s+free\s+of\s+charge,?\s+to\s+any\s+person\s+obtaining\s+a\s+copy", 0.95),
     ("isc", "permission to use", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", 0.9),
     ("bsd", "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", 0.85),
-    ("bsd-3-clause", "endorse or promote", r"neither\s+the\s+names?\s+of\s+.{1,120}?\s+may\s+be\s+used\s+to\s+endorse\s+or\s+promote", 0.9),
+    ("bsd-3-clause", "endorse or promote", r"neither\s+the\s+names?\s+of\s+[\s\S]{1,120}?\s+may\s+be\s+used\s+to\s+endorse\s+or\s+promote", 0.9),
     ("apache-2.0", "limitations under the license", r"see\s+the\s+license\s+for\s+the\s+specific\s+language\s+governing\s+permissions\s+and\s+limitations\s+under\s+the\s+license", 0.95),
     ("gpl", "free software", r"this\s+program\s+is\s+free\s+software[:;,]\s+you\s+can\s+redistribute\s+it\s+and/or\s+modify", 0.9),
     ("mpl-2.0", "source code form", r"this\s+source\s+code\s+form\s+is\s+subject\s+to\s+the\s+terms\s+of\s+the\s+mozilla\s+public", 0.95),

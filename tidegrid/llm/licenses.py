@@ -1,6 +1,7 @@
 """License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment.
 
-Each text is walked once by an Aho-Corasick automaton over the rules' keywords; only the rules whose keyword occurs run.
+Each text, its runs of white space as one space each, is walked once by an Aho-Corasick automaton over the rules' keywords; only the rules whose
+keyword occurs run, on the text as it is.
 Detections are intervals of the lower-cased text. One that lies within the interval of a detection of an earlier rule is suppressed.
 The base phrases are counted at every place where their words stand consecutively, suppressed or not.
 
@@ -27,6 +28,8 @@ SCHEMA = (
     "detections array<struct<start: long, stop: long, label: string, rank: int, confidence: double>>"
 )
 DETECTION = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("label", pa.string()), ("rank", pa.int32()), ("confidence", pa.float64())]))
+#: Runs of white space that aren't one space: keywords of several words are wrapped in texts, and patterns take any white space.
+GAPS = re.compile(r"[^\S ]\s*| \s+")
 
 
 def resolve(found: list[tuple]) -> list[tuple]:
@@ -65,7 +68,7 @@ class Scanner:
         low = (text or "").encode().lower()
         spaced = low.translate(SEPARATORS)
         plain = low.decode()
-        keys = {key for _, key in self.keys.iter(plain)}
+        keys = {key for _, key in self.keys.iter(GAPS.sub(" ", plain))}
         places = sorted((m.start(), label) for key, label, pattern in self.base if key in keys for m in pattern.finditer(spaced))
         words, at, seen = [], 0, 0
         for start, _ in places:
