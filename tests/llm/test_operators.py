@@ -287,6 +287,32 @@ def test_main_text():
     assert html_text.main_text(long).count("\n") == 19_999
 
 
+BODY = "<p>First and longest paragraph of the article, with many words in it so that its ratio is high.</p><p>End.</p>"
+TOLD = "First and longest paragraph of the article, with many words in it so that its ratio is high.\nEnd."
+TEASER = "<p>A teaser of another article that goes on for quite a while, as these do.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div class="layout has-sidebar"><article>{BODY}</article></div>', TOLD),
+        (f'<div id="no-sidebar"><article>{BODY}</article></div>', TOLD),
+        (f'<div class="layout has-sidebar"><div class="text">{BODY}</div></div>', TOLD),
+        (f'<div class="sidebar-layout"><main>{BODY}</main></div><div class="sidebar">{TEASER}</div>', TOLD),
+        (f'<main><div class="share-wrapper"><article>{BODY}<div class="share"><p>Share this</p></div></article></div></main>', TOLD),
+        (f'<div id="notice"><p>Line</p><article>{BODY}</article></div><p>A tagline of the page</p>', TOLD),
+        (f'<article>{BODY}</article><div class="sidebar"><article>{TEASER}</article></div><div class="related-posts"><article>{TEASER}</article></div>', TOLD),
+        (f'<article><div class="post-header"><h1>Title</h1></div><div class="header"><p>By one</p></div>{BODY}</article>', f"Title\nBy one\n{TOLD}"),
+        (f'<div class="entry-header"><h1>Title</h1></div><div class="text">{BODY}</div><div class="site-header">{TEASER}</div>', f"Title\n{TOLD}"),
+        (f'<aside><article>{BODY}</article></aside>', ""),
+        (f'<div class="comments-area"><article class="comment">{BODY}</article></div>', ""),
+        (f'<div class="site-footer">{BODY}</div>', ""),
+    ],
+)
+def test_articles_in_named_layouts_stay(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+
 def test_articles_of_pages_are_whole(spark):
     import html as H
 

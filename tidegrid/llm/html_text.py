@@ -4,7 +4,8 @@ The standard library's parser is fed a page piece by piece. Its events make line
 A line's ratio is its text outside links over its tags; lines inside boilerplate (menus, page headers, footers, sidebars, adverts, notices, forms,
 comments) have ratio 0. The ratios are smoothed with a Gaussian kernel; lines that reach the standard deviation of the smoothed ratios are content.
 Each content line stands for the region it lies in, the innermost article or main element, else the innermost element around all content lines;
-a region gives all its lines but boilerplate, so short paragraphs of an article stay.
+a region gives all its lines but boilerplate, so short paragraphs of an article stay. Boilerplate told by class or id alone ends at an outermost article
+or main element inside it; under a whole name (sidebar), or one of other articles (related-posts), only if no other such element has content.
 
 Edge cases: null, empty and textless pages give an empty text; unclosed and misnested tags end where their container ends; pages of boilerplate alone
 give an empty text; repeated rows give one result row each; a null page_id or url is carried through; other columns are ignored.
@@ -38,13 +39,35 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 REGIONS = frozenset("article main".split())
 #: Parts of class and id names that mark boilerplate.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|banner|breadcrumb|breadcrumbs|byline-share|captcha|comment|comments|consent|cookie|cookies|"
-    r"disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pagination|pager|popup|popular|"
-    r"promo|promoted|promotion|recommended|related|replies|respond|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|subscription|toolbar|"
-    r"topbar|widget|widgets)(?:$|[\s_-])",
-    re.IGNORECASE,
+NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs captcha comment comments consent cookie cookies "
+    "disclaimer disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup popular "
+    "promo promoted promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
+    "topbar widget widgets".split()
 )
+#: Names of wrappers whose articles are not the page's own, whatever else is in the name.
+OTHERS = frozenset("comment comments disqus popular promo promoted promotion recommended related replies respond sponsor sponsored".split())
+#: Words that make a name one of a layout (has-sidebar), and those that make a header one of an article (post-header).
+STATES = frozenset("has no not with without hide show".split())
+OWN = frozenset("article content entry post story title".split())
+PARTS = re.compile(r"[_-]+")
+#: Why an element is boilerplate: a part of a name, a whole name or one of OTHERS, or what it is.
+PART, NAME, SURE = 1, 2, 3
+
+
+def named_boilerplate(names: str, in_region: bool) -> int:
+    """PART, NAME or 0 for the names of a class or an id."""
+    level = 0
+    for name in names.lower().split():
+        parts = set(PARTS.split(name))
+        found = parts & NAMES
+        if found == {"header"} and (in_region or parts & OWN):  # the heading of an article
+            continue
+        if found and not parts & STATES:
+            level = max(level, NAME if len(parts) == 1 or found & OTHERS else PART)
+    return level
+
+
 #: Which open element a new one ends: a paragraph by any block, items by their like.
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -52,19 +75,19 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 class Open:
     """An element that has started and not ended."""
 
-    __slots__ = ("boiler", "path", "region", "silent", "tag")
+    __slots__ = ("boiler", "path", "region", "silent", "spare", "tag")
 
-    def __init__(self, tag: str, boiler: bool, region: int, silent: bool, path: tuple) -> None:
-        self.tag, self.boiler, self.region, self.silent, self.path = tag, boiler, region, silent, path
+    def __init__(self, tag: str, boiler: int, region: int, silent: bool, path: tuple, spare: bool) -> None:
+        self.tag, self.boiler, self.region, self.silent, self.path, self.spare = tag, boiler, region, silent, path, spare
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, text in links, tags, boilerplate, region, path of the elements around it)."""
+    """Collects lines: (text, text in links, tags, boilerplate, region, path of the elements around it, spare)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int, tuple]] = []
-        self.open = [Open("", False, 0, False, ())]
+        self.lines: list[tuple[str, int, int, bool, int, tuple, bool]] = []
+        self.open = [Open("", 0, 0, False, (), False)]
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.regions = self.elements = 0
 
@@ -72,7 +95,7 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         top = self.open[-1]
         if text:
-            self.lines.append((text, self.linked, self.tags, top.boiler, top.region, top.path))
+            self.lines.append((text, self.linked, self.tags, top.boiler > 0, top.region, top.path, top.spare))
             self.tags = 0
         self.parts, self.linked = [], 0
 
@@ -103,15 +126,20 @@ class Lines(HTMLParser):
         top = self.open[-1]
         named = {k: v or "" for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")}
         # A header inside an article is the article's own heading; the page's is boilerplate.
-        boiler = (tag in BOILERPLATE and not (tag == "header" and top.region)) or named.get("role") in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
-        if not boiler and tag not in ("html", "body", "main", *HEADINGS) and (tag != "article" or top.region) and not (tag == "header" and top.region):
-            boiler = any(NAMES.search(named.get(k, "")) for k in ("class", "id"))
+        sure = (tag in BOILERPLATE and not (tag == "header" and top.region)) or named.get("role") in ROLES or "hidden" in named or named.get("aria-hidden") == "true"
+        by_name = max(named_boilerplate(named.get(k, ""), top.region > 0) for k in ("class", "id"))
+        exempt = tag in ("html", "body", "main", *HEADINGS) or (tag == "article" and not top.region) or (tag == "header" and top.region)
+        boiler = SURE if sure else 0 if exempt else by_name
+        above, spare = top.boiler, top.spare
+        # An outermost article or main element is not boilerplate for a part of a name around it; for a whole name it is only if the page has another.
+        if tag in REGIONS and 0 < above < SURE and not boiler and (tag == "main" or not by_name) and not any(o.tag == tag or o.tag == "article" for o in self.open):
+            above, spare = 0, spare or above == NAME
         region = top.region
         if tag in REGIONS or named.get("role") in ("main", "article"):
             self.regions += 1
             region = self.regions
         self.elements += 1
-        self.open.append(Open(tag, top.boiler or boiler, region, top.silent or tag in SILENT, (*top.path, self.elements)))
+        self.open.append(Open(tag, max(above, boiler), region, top.silent or tag in SILENT, (*top.path, self.elements), spare))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -157,8 +185,17 @@ def main_text(html: str | None) -> str:
     lines = Lines().whole(html or "")
     if not lines:
         return ""
-    ratio = np.array([0.0 if boiler else max(0, len(text) - linked) / (tags + 1) for text, linked, tags, boiler, _, _ in lines])
-    smooth = np.where([x[3] for x in lines], 0, smoothed(ratio))
+    text, in_region = chosen_text(lines, [x[3] or x[6] for x in lines])
+    if not in_region and any(x[6] and not x[3] for x in lines):
+        spare, _ = chosen_text(lines, [x[3] or not x[6] for x in lines])
+        text = spare or text
+    return text
+
+
+def chosen_text(lines: list, boiler: list[bool]) -> tuple[str, bool]:
+    """The text of the content lines' regions, and whether one of these is an article or main element."""
+    ratio = np.array([0.0 if out else max(0, len(x[0]) - x[1]) / (x[2] + 1) for x, out in zip(lines, boiler)])
+    smooth = np.where(boiler, 0, smoothed(ratio))
     content = (smooth > 0) & (smooth >= min(smooth.std(), smooth.max()))
     chosen = {lines[i][4] for i in np.flatnonzero(content)}
     keep = np.zeros(len(lines), bool)
@@ -169,7 +206,7 @@ def main_text(html: str | None) -> str:
         low, high = min(paths), max(paths)
         shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
         keep = np.array([x[5][:shared] == low[:shared] for x in lines])
-    return "\n".join(x[0] for x, k in zip(lines, keep) if k and not x[3])
+    return "\n".join(x[0] for x, k, out in zip(lines, keep, boiler) if k and not out), bool(chosen - {0})
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
