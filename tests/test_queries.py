@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import complexity, markers, spectral
 from tidegrid.operators import analysis, clean, grid, stats
-from tidegrid.plans import catalogue
+from tidegrid.plans import catalogue, signals
 
 SF = "/root/testdata/sf0.001"
 
@@ -106,6 +106,16 @@ def test_phase_join_takes_the_first_match(spark):
     assert {(r["session"], r["t"]): r["phase"] for r in grid.phase_join(e, p).collect()} == {("s", 1.0): "A", ("s", 5.0): "B", ("s", 99.0): "", ("t", 1.0): ""}
 
 
+def test_windows_want_every_required_channel_in_every_epoch(spark):
+    rows = [("all", e, c, True) for e in range(6) for c in "ab"]
+    rows += [("one", e, c, c == "a" or e != 3) for e in range(6) for c in "ab"]
+    rows += [("gap", e, c, True) for e in range(6) for c in "ab" if (e, c) != (3, "b")]
+    gates = spark.createDataFrame(rows, "session string, epoch long, channel string, ok boolean")
+    ok = lambda channels: {(r["session"], r["epoch"]): r["ok"] for r in signals.windows_ok(gates, channels, 6).collect()}
+    assert ok(("a", "b")) == {(s, e): s == "all" or e < 2 for s in ("all", "one", "gap") for e in range(6)}
+    assert all(ok(("a",)).values()) and not any(ok(("a", "unknown")).values())
+
+
 def test_registry():
     assert len(markers.markers("marker")) == 8 and [m.id for m in markers.MARKERS if m.composite] == ["alpha_rel", "beta_rel", "smr_rel"]
     with pytest.raises(KeyError):

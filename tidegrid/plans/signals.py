@@ -159,6 +159,19 @@ def gated(spark, d) -> DataFrame:
     return dv.groupBy("session", "epoch", "channel").agg(ok.alias("ok"), F.max("dx").alias("step"))
 
 
+#: Channels that all must be good for a window of window_gate_required.
+REQUIRED = ("click", "view")
+
+
+def windows_ok(gates: DataFrame, channels: tuple[str, ...], n: int) -> DataFrame:
+    """session, epoch, ok, covered: a window stands only if each channel is good in all of the grid's n epochs that overlap or touch it at its start."""
+    good = gates.where(F.col("ok") & F.col("channel").isin(*channels)).groupBy("session", "epoch").agg(F.countDistinct("channel").alias("k")).where(F.col("k") == len(channels))
+    held = good.select("session", F.explode(F.sequence(F.col("epoch") - 1, F.col("epoch") + 2)).alias("epoch")).groupBy("session", "epoch").agg(F.count("*").alias("held"))
+    grid_ = gates.select("session").distinct().withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    covered = F.least(F.col("epoch") + 1, F.lit(n - 1)) - F.greatest(F.col("epoch") - 2, F.lit(0)) + 1
+    return grid_.join(held, ["session", "epoch"], "left").select("session", "epoch", (F.coalesce("held", F.lit(0)) == covered).alias("ok"), covered.cast("long").alias("covered"))
+
+
 @query(f"{_GATE} SELECT session, epoch, channel, round(step, 6) AS step FROM q WHERE step IS NOT NULL")
 def first_difference_gate(spark, d) -> DataFrame:
     return gated(spark, d).where("step IS NOT NULL").select("session", "epoch", "channel", F.round("step", 6).alias("step"))
@@ -175,12 +188,22 @@ def epoch_quality_gate(spark, d) -> DataFrame:
     " SELECT session, target AS epoch, bool_and(e.ok) AS ok, count(*) AS covered FROM w JOIN e USING (session, epoch) GROUP BY session, target"
 )
 def window_gate_strict(spark, d) -> DataFrame:
-    """A window stands only if every epoch that overlaps or touches it at its start is good."""
+    """A window stands only if every epoch that overlaps or touches it at its start has a good channel; window_gate_required asks it of each channel."""
     e = gated(spark, d).groupBy("session", "epoch").agg(F.bool_or("ok").alias("ok"))
     w = e.select("session", F.col("epoch").alias("target"), F.explode(F.sequence(F.col("epoch") - 2, F.col("epoch") + 1)).alias("epoch"))
     return w.join(e, ["session", "epoch"]).groupBy("session", F.col("target").alias("epoch")).agg(F.bool_and("ok").alias("ok"), F.count("*").alias("covered"))
 
 
+@query(
+    f"{_GATE}, c AS (SELECT unnest([{', '.join(f"'{c}'" for c in REQUIRED)}]) AS channel), t AS (SELECT session, epoch FROM (SELECT DISTINCT session FROM q), range({SERIES.n}) r(epoch)),"
+    f" w AS (SELECT session, epoch AS target, unnest(generate_series(greatest(epoch - 2, 0), least(epoch + 1, {SERIES.n - 1}))) AS epoch FROM t)"
+    " SELECT w.session, target AS epoch, bool_and(coalesce(q.ok, false)) AS ok, count(DISTINCT w.epoch) AS covered FROM w CROSS JOIN c"
+    " LEFT JOIN q ON q.session = w.session AND q.epoch = w.epoch AND q.channel = c.channel GROUP BY w.session, target"
+)
+def window_gate_required(spark, d) -> DataFrame:
+    return windows_ok(gated(spark, d), REQUIRED, SERIES.n)
+
+
 @query(f"WITH {EV}, {member_sql(SERIES)} SELECT session, epoch, bool_or(abs(value / 50 - 1) > 1.2) AS moved, round(avg(abs(value / 50 - 1)), 6) AS motion FROM ep GROUP BY session, epoch")
 def motion_gate(spark, d) -> DataFrame:
     m = F.abs(F.col("value") / 50 - 1)
