@@ -116,6 +116,36 @@ def test_windows_want_every_required_channel_in_every_epoch(spark):
     assert all(ok(("a",)).values()) and not any(ok(("a", "unknown")).values())
 
 
+def slow_interval(a, b, block, reps, rng):
+    """The stationary bootstrap value by value."""
+    def places(n):
+        out = []
+        while len(out) < n:
+            out.append(rng.integers(n) if not out or rng.random() < 1 / block else (out[-1] + 1) % n)
+        return out
+
+    return np.quantile([np.median(b[places(len(b))]) - np.median(a[places(len(a))]) for _ in range(reps)], [0.025, 0.975])
+
+
+def test_interval_of_the_effect(spark):
+    rng = np.random.default_rng(11)
+    walk = np.cumsum(rng.normal(size=80)) / 2  # its autocorrelation gives a longer block than the other phase's
+    data = {"far": (rng.normal(size=60), rng.normal(size=80) + 3), "same": (rng.normal(size=60), walk - np.median(walk)), "few": (rng.normal(size=2), rng.normal(size=9))}
+    rows = [(k, "m", i, p, float(v)) for k, ab in data.items() for p, x in zip((analysis.A, analysis.B), ab) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, ("far", "m", 99, analysis.A, None), ("far", "m", 98, "SETTLE", 5.0)], "session string, marker string, epoch long, phase string, value double")
+    got = {r["session"]: r for r in stats.effects(df, ["session", "marker"], analysis.A, analysis.B, (4, 12)).collect()}
+    for k in ("far", "same"):
+        a, b = data[k]
+        r = got[k]
+        assert r["block"] == min(max(2 * max(stats.array_lag(a), stats.array_lag(b)), 4), 12) and r["n_effective"] == 60 / r["block"]
+        assert np.isclose(r["effect"], np.median(b) - np.median(a))
+        want = slow_interval(a, b, r["block"], 2000, rng)
+        assert np.allclose((r["ci_low"], r["ci_high"]), want, atol=0.2 * (want[1] - want[0]))
+    assert got["far"]["block"] == 4 and got["same"]["block"] == 12 and got["far"]["reliable"] and not got["same"]["reliable"]
+    assert (got["few"]["effect"], got["few"]["ci_low"], got["few"]["n_effective"], got["few"]["reliable"]) == (None, None, None, False)
+    assert [stats.array_lag(np.array(x, float)) for x in (range(1, 11), [(-1) ** i for i in range(10)], [1, 2, 3], [7] * 9)] == [3, 1, 1, 1]
+
+
 def test_registry():
     assert len(markers.markers("marker")) == 8 and [m.id for m in markers.MARKERS if m.composite] == ["alpha_rel", "beta_rel", "smr_rel"]
     with pytest.raises(KeyError):

@@ -162,7 +162,7 @@ def indexed(spark, d) -> DataFrame:
     " SELECT session, n, lag, least(greatest(2 * lag, 4), 12) AS block FROM l"
 )
 def acf_lag_block_length(spark, d) -> DataFrame:
-    lag = stats.decorrelation_lag(indexed(spark, d), "value", "i", ["session"], 40)
+    lag = stats.decorrelation_lag(indexed(spark, d), "value", "i", ["session"], SERIES.n - 1)
     return lag.select("session", "n", "lag", stats.block_length(F.col("lag"), 4, 12).cast("long").alias("block"))
 
 
@@ -176,10 +176,18 @@ _U = lambda tag: f"(('0x' || substr(md5(concat_ws('|', '{tag}', 'b', session, re
     " SELECT session, count(*) AS reps, round(quantile_cont(stat, 0.025) + 1e-9, 3) AS ci_low, round(quantile_cont(stat, 0.975) + 1e-9, 3) AS ci_high FROM sb GROUP BY session"
 )
 def stationary_bootstrap_ci(spark, d) -> DataFrame:
+    """Of the median of one series, by few replicates, as SQL can follow; effect_bootstrap_ci has the interval of the two-phase effect."""
     st = stats.stationary_bootstrap(indexed(spark, d), "value", "i", ["session"], 4.0, 40, "b")
     return st.groupBy("session").agg(F.count("*").alias("reps"), off_tie(F.percentile("stat", 0.025)).alias("ci_low"), off_tie(F.percentile("stat", 0.975)).alias("ci_high"))
 
 
+@query()
+def effect_bootstrap_ci(spark, d) -> DataFrame:
+    """The summary of each session and marker with the interval of active less baseline: 2,000 replicates of both phases in blocks of computed length."""
+    s = series(spark, d)
+    return analysis.summarise(s, KEYS).join(stats.effects(s, KEYS, analysis.A, analysis.B, (4, 12)), KEYS)
+
+
 @query(
     f"{MS}, w AS (SELECT session, epoch, max(value) FILTER (WHERE marker = 'level') AS x, max(value) FILTER (WHERE marker = 'p2p') AS y FROM ms GROUP BY session, epoch),"
     " k AS (SELECT session, rank() OVER (PARTITION BY session ORDER BY x) + (count(*) OVER (PARTITION BY session, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY session ORDER BY y) + (count(*) OVER (PARTITION BY session, y) - 1) / 2.0 AS ry FROM w WHERE x IS NOT NULL AND y IS NOT NULL)"
