@@ -38,7 +38,7 @@ MS = (
 
 
 def series(spark, d) -> DataFrame:
-    """session, epoch, phase, marker, value."""
+    """session, epoch, phase, marker, value; of all rows, neither cleaned nor gated."""
     ep = grid.assign(samples(spark, d), SERIES)
     st = ep.groupBy("session", "epoch").agg(F.count("*").alias("c"), *[F.expr(v).alias(k) for k, v in STATS.items()])
     long = st.unpivot(["session", "epoch", "c"], list(STATS), "marker", "v")
