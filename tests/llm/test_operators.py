@@ -353,6 +353,17 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert a.positive == b.positive and np.array_equal(a.weights, b.weights)
 
 
+def test_repeated_ids_do_not_enlarge_the_sample(spark, monkeypatch):
+    texts = [(i, f"words of text {i} that is told apart " * 5) for i in range(40)]
+    more = [(3, f"copy {k}") for k in range(500)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(40)], "doc_id long, toxic int, quality int")
+    sizes, collect = [], type(labels).toArrow
+    monkeypatch.setattr(type(labels), "toArrow", lambda df: [t := collect(df), sizes.append(t.num_rows)][0])
+    quality.quality_model(docs(spark, texts), labels)
+    quality.quality_model(docs(spark, texts + more), labels)
+    assert sizes[0] == sizes[1] <= 40
+
+
 def test_classifier_edges(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     rows = docs(spark, [(1, None), (2, ""), (None, "words"), (3, "x" * 100_000)])

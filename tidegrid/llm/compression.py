@@ -5,7 +5,7 @@ which side's text it resembles. What a text's windows give together (means, shar
 whose weights, hence thresholds, are fitted on labelled rows that the dictionaries were not trained on.
 
 A model is fitted on the driver on a bounded sample of labelled rows: at most `per_class` rows of each label, the first in the order of a hash of the
-id, of at most `max_bytes` bytes. Everything else covers whole texts of all rows. The models weigh some 200 KB and travel with the tasks.
+id, of at most `max_bytes` bytes, and the least text of an id that has several. Everything else covers whole texts of all rows. The models weigh some 200 KB and travel with the tasks.
 """
 
 from __future__ import annotations
@@ -148,6 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, held_out: Callable[[Col
     order = F.xxhash64(F.lit(7), "doc_id")
     picks = [known.where(F.col("label") == k).orderBy(order, "doc_id").limit(method.per_class) for k in (0, 1)]
     sample = docs.select("doc_id", "text").where(F.octet_length("text").between(1, method.max_bytes)).join(F.broadcast(picks[0].union(picks[1])), "doc_id")
+    # One text of each picked id, however often the table repeats it.
+    sample = sample.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = sorted({(r["label"], r["text"], r["doc_id"]) for r in sample.toArrow().to_pylist()})
     texts, seen = {0: [], 1: []}, set()
     for label, text, _ in rows:
