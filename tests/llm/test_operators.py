@@ -133,6 +133,18 @@ def test_segments_of_any_form_equal_brute_force():
             assert got == [], form
 
 
+def test_items_of_few_words_are_found_whole(spark):
+    items = {1: "a", 2: "b c", 3: "a b c", 4: "c a b d", 5: "b c", 6: "", 7: "d e f g h"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    rng = random.Random(9)
+    texts = {n: " ".join(rng.choice("abcdxyz") for _ in range(rng.randint(0, 12))) for n in range(80)} | {80: "b", 81: "d e f g h", 82: "A, B"}
+    want = {(n, k) for n, t in texts.items() for k, x in items.items() if x and f" {x} " in f" {t.lower().replace(',', '')} "}
+    got = decontamination.overlaps(docs(spark, list(texts.items())), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want) and all(r["item_share"] == 1 for r in got)
+    kept = {r["doc_id"] for r in decontamination.clean(docs(spark, list(texts.items())), bench).collect()}
+    assert kept == set(texts) - {n for n, _ in want}
+
+
 def test_overlaps_find_whole_items_as_brute_force_does(spark, texts):
     norm = lambda t: " " + re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", t).strip() + " "
     items = {r["item_id"]: norm(r["text"].lower()) for r in table(spark, "benchmark").collect()}

@@ -8,7 +8,8 @@ at most; of those segments the one of most equal words is given. Every such segm
 The benchmark is the stated query set: its words go to the tasks in blocks of BLOCK_WORDS (4 MB, some 50 MB as tables in a task), each block meets
 all documents in a pass that shuffles nothing. A table of bits sorts out most seeds before they are looked up; hits are verified in bounded portions.
 
-Edge cases: null and empty texts overlap with nothing; items of fewer words than a seed names (five) are not searched; null ids are carried through;
+Edge cases: null and empty texts overlap with nothing; items of fewer words than a seed names (five) are found where all their words stand; null ids are
+carried through;
 repeated documents give rows of their own; repeated items are items of their own; an empty table on either side gives no overlaps; columns that
 aren't named are ignored.
 """
@@ -27,6 +28,8 @@ from .shingles import WEIGHTS, mix, word_hashes
 
 #: 1: the word counts, 0: it is ignored. Every mask names five words.
 MASKS = ("11111", "111011", "110111", "1101101", "1011011", "11001011", "10101101", "1100010011")
+#: Items of fewer than five words are found by their whole sequence.
+WHOLE = ("1", "11", "111", "1111")
 LEAST = 8
 BLOCK_WORDS = 500_000
 BITS = 22
@@ -68,6 +71,13 @@ class Block:
             inside = np.flatnonzero(owner[: len(s)] == owner[len(mask) - 1 : len(mask) - 1 + len(s)])
             keys.append(s[inside])
             places.append(inside)
+        sizes, self.masks = np.diff(starts), MASKS
+        for mask in WHOLE:
+            whole = starts[:-1][sizes == len(mask)]
+            if len(whole):
+                self.masks = (*self.masks, mask)
+                keys.append(seeds_of(words, mask)[whole])
+                places.append(whole)
         keys, places = np.concatenate(keys), np.concatenate(places)
         order = np.argsort(keys, kind="stable")
         self.owner, self.keys, self.places = owner, keys[order], places[order]
@@ -77,7 +87,7 @@ class Block:
     def diagonals(self, words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Portions of distinct (text, item, document word less item word) that hits give."""
         text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-        for mask in MASKS:
+        for mask in self.masks:
             s = seeds_of(words, mask)
             near = np.flatnonzero(self.bits[s >> np.uint64(64 - BITS)])
             near = near[text[near] == text[near + len(mask) - 1]]
