@@ -4,9 +4,9 @@ A token sequence is the encoding of its bytes exactly if each token alone and ea
 has one valid last token: the one that ends it and fits behind the last token of the prefix before it. A table of these last tokens gives the
 encoding of every prefix, takes exact appends, and after an edit needs new entries only from the edit to where old and new last tokens agree again.
 
-Texts are cut into pieces by the tokenizer's pattern; a piece that is a token is that token, any other one goes through the table. Each worker
-keeps the ids of the chunks (words with the space before them) that it has seen lately, at most twice CHUNKS of them. Texts are taken in blocks, so a long one needs
-little memory. The vocabulary's path is a parameter that each task resolves: a file's path, or the name of a public tokenizer's file.
+Texts are cut into pieces by the tokenizer's pattern; a piece that is a token is that token, any other one goes through the table. The tokens that end
+at each byte come from an automaton over the vocabulary, the longest first. Each worker keeps the ids of the chunks (words with the space before them)
+that it has seen lately, at most twice CHUNKS of them. Texts are taken in blocks, so a long one needs little memory. The vocabulary's path is a parameter that each task resolves: a file's path, or the name of a public tokenizer's file.
 
 Edge cases: null and empty texts have no tokens and decode to no bytes; special tokens in texts are ordinary text; a null id is carried through;
 repeated rows give one result row each; an empty table gives an empty result; columns that aren't kept are ignored, clashing names included.
@@ -30,10 +30,12 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: New entries of a worker's tables of chunks and of token pairs after which those not asked for again go: twice as many are held.
-CHUNKS, PAIRS = 480_000, 50_000
-#: Tables of prefixes of up to so many bytes are kept from piece to piece, likewise.
-KEPT, TABLES = 24, 120_000
+#: New entries of a worker's table of chunks after which those not asked for again go: twice as many are held.
+CHUNKS = 400_000
+#: Entries after which a worker's table of token pairs starts anew.
+PAIRS = 250_000
+#: Ranks are below 2 ** RANK_BITS: two of them make a key.
+RANK_BITS = 24
 BLOCK = 1 << 18
 #: A rank above all.
 NEVER = 1 << 40
@@ -64,6 +66,7 @@ class Vocabulary:
     """The ranks of a tokenizer and what follows from them."""
 
     def __init__(self, path: str, pattern: str | None = None) -> None:
+        import ahocorasick
         import public_tokenizers
 
         where = path if os.path.isabs(path) else public_tokenizers.path(path)
@@ -72,6 +75,8 @@ class Vocabulary:
         self.pattern = regex.compile(pattern or public_tokenizers.PATTERN)
         self.longest = max(map(len, self.ranks))
         size = max(self.ranks.values()) + 1
+        if size > 1 << RANK_BITS:
+            raise ValueError("a vocabulary of too many tokens")
         by_id: list[bytes] = [b""] * size
         for token, rank in self.ranks.items():
             by_id[rank] = token
@@ -79,17 +84,15 @@ class Vocabulary:
         self.lengths = np.fromiter(map(len, by_id), np.int64, size)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(by_id), np.uint8)
-        #: The tokens that are what their bytes encode to, and the length of the longest one for each three last bytes.
-        self.whole = frozenset(t for t in self.ranks if len(self.merged(t)) == 1)
-        self.reach: dict[bytes, int] = {}
-        for t in self.whole:
-            if len(t) > self.reach.get(t[-3:], 0):
-                self.reach[t[-3:]] = len(t)
-        self.tables = Recent(TABLES)
-        self.chunks = Chunks(self, " "), Chunks(self, "")
-        assert self.longest < 256
-        self.pairs = Recent(PAIRS)
-        self.histories: dict[bytes, tuple[list, list, list]] = {}
+        self.sizes = self.lengths.tolist()
+        #: Finds the tokens that end at each byte, the longest first.
+        self.ends = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            self.ends.add_word(token.decode("latin-1"), rank)
+        self.ends.make_automaton()
+        self.pairs: dict[int, bool] = {}
+        self.histories: dict[int, tuple[list, list, list]] = {}
+        self.spaced, self.plain = Chunks(self, " "), Chunks(self, "")
 
     def merged(self, data: bytes) -> list[bytes]:
         """BPE by its definition: merge the neighbours of lowest rank until no two make a token."""
@@ -104,14 +107,17 @@ class Vocabulary:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def history(self, token: bytes) -> tuple[list, list, list]:
+    def history(self, token: int) -> tuple[list, list, list]:
         """Of a token's merges in order: their ranks (then one above all), and the first and the last part before each (then the token)."""
         known = self.histories.get(token)
         if known is None:
-            parts = [token[i : i + 1] for i in range(len(token))]
+            whole = self.tokens[token]
+            parts = [whole[i : i + 1] for i in range(len(whole))]
             order, first, last = [], [parts[0]], [parts[-1]]
             while len(parts) > 1:
                 rank, at = min((self.ranks.get(parts[i] + parts[i + 1], NEVER), i) for i in range(len(parts) - 1))
+                if rank == NEVER:
+                    break
                 parts[at : at + 2] = [parts[at] + parts[at + 1]]
                 order.append(rank)
                 first.append(parts[0])
@@ -119,24 +125,28 @@ class Vocabulary:
             known = self.histories[token] = ([*order, NEVER], first, last)
         return known
 
-    def fits(self, left: bytes, right: bytes) -> bool:
-        """Whether the bytes of two tokens, each what its bytes encode to, encode to just these two: no merge across the border is ever the next one."""
-        known = self.pairs[left, right]
-        if known is None:
-            (a, _, ends), (b, starts, _) = self.history(left), self.history(right)
-            ranks, i, j, known = self.ranks, 0, 0, True
-            while True:
-                across = ranks.get(ends[i] + starts[j], NEVER)
-                if across < a[i] and across <= b[j] and across < NEVER:
-                    known = False
+    def is_whole(self, token: int) -> bool:
+        """Whether a token is what its own bytes encode to."""
+        return self.history(token)[1][-1] == self.tokens[token]
+
+    def fits(self, left: int, right: int) -> bool:
+        """Whether the bytes of two tokens, of which the left one is what its bytes encode to, encode to just these two: the right one is what its bytes
+        encode to as well, and no merge across the border is ever the next one."""
+        (a, _, ends), (b, starts, _) = self.history(left), self.history(right)
+        ranks, i, j, known = self.ranks, 0, 0, self.is_whole(right)
+        while known:
+            across = ranks.get(ends[i] + starts[j], NEVER)
+            if across < a[i] and across <= b[j] and across < NEVER:
+                known = False
+            elif a[i] <= b[j]:
+                if a[i] == NEVER:
                     break
-                if a[i] <= b[j]:
-                    if a[i] == NEVER:
-                        break
-                    i += 1
-                else:
-                    j += 1
-            self.pairs.put((left, right), known)
+                i += 1
+            else:
+                j += 1
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        self.pairs[left << RANK_BITS | right] = known
         return known
 
 
@@ -146,47 +156,39 @@ def vocabulary(path: str, pattern: str | None = None) -> Vocabulary:
 
 
 class Prefixes:
-    """The unique valid last token of every prefix of some bytes, given by its length."""
+    """The unique valid last token, by its id, of every prefix of some bytes, given by its length."""
 
     def __init__(self, words: Vocabulary, data: bytes = b"") -> None:
-        self.words, self.data, self.last = words, b"", bytearray(1)
+        self.words, self.data, self.last = words, b"", [-1]
         self.append(data)
 
     def _extend(self, stop: int) -> None:
         """Append the entries of the prefixes up to `stop` bytes."""
-        data, last, words = self.data, self.last, self.words
-        whole, pairs, reach = words.whole, words.pairs, words.reach
-        for end in range(len(last), stop + 1):
-            for n in range(min(end, reach.get(data[max(0, end - 3) : end], 2)), 0, -1):
-                token = data[end - n : end]
-                if token in whole:
-                    at = end - n
-                    if not at:
-                        break
-                    left = data[at - last[at] : at]
-                    known = pairs[left, token]
-                    if known or known is None and words.fits(left, token):
-                        break
-            else:
-                raise ValueError("a byte of the text is no token")
-            last.append(n)
+        last, words = self.last, self.words
+        pair, sizes, done = words.pairs.get, words.sizes, len(self.last) - 1
+        start = max(0, done + 1 - words.longest)
+        for at, token in words.ends.iter(self.data[start:stop].decode("latin-1")):
+            at += start
+            if at != done:
+                if at < done:
+                    continue
+                break
+            first = at + 1 - sizes[token]
+            if first:
+                known = pair(last[first] << RANK_BITS | token)
+                if known or known is None and words.fits(last[first], token):
+                    last.append(token)
+                    done += 1
+            elif words.is_whole(token):
+                last.append(token)
+                done += 1
+        if done < stop:
+            raise ValueError("a byte of the text is no token")
 
     def append(self, data: bytes) -> None:
-        """Exact: the entries of the old prefixes stay. The table of the longest prefix that an earlier piece had too is taken over."""
-        start, known = len(self.data), self.words.tables
-        self.data = data = self.data + data
-        if not start:
-            start = min(len(data), KEPT)
-            while start and not (table_ := known[data[:start]]):
-                start -= 1
-            if start:
-                self.last = bytearray(table_)
-        self._extend(len(data))
-        if start < KEPT:
-            top = min(len(data), KEPT)
-            whole = bytes(self.last[: top + 1])
-            for end in range(start + 1, top + 1):
-                known.put(data[:end], whole[: end + 1])
+        """Exact: the entries of the old prefixes stay."""
+        self.data += data
+        self._extend(len(self.data))
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
         """Put data in place of bytes start .. stop; the number of entries that had to be computed anew."""
@@ -198,24 +200,27 @@ class Prefixes:
             if same > self.words.longest:
                 break
             self._extend(end)
-            n, new = self.last[end], new + 1
+            token, new = self.last[end], new + 1
             old = end - shift - stop - 1
-            same = same + 1 if old >= 0 and tail[old] == n else 0
+            same = same + 1 if old >= 0 and tail[old] == token else 0
         else:
             return new
         # As many equal entries as the longest token has bytes: all later ones follow from these and stay.
         self.last += tail[len(self.last) - 1 - shift - stop :]
         return new
 
-    def tokens(self) -> list[bytes]:
-        out, data, last, end = [], self.data, self.last, len(self.data)
+    def ids(self) -> list[int]:
+        out, last, sizes, end = [], self.last, self.words.sizes, len(self.data)
         while end:
-            start = end - last[end]
-            out.append(data[start:end])
-            end = start
+            token = last[end]
+            out.append(token)
+            end -= sizes[token]
         out.reverse()
         return out
 
+    def tokens(self) -> list[bytes]:
+        return [self.words.tokens[i] for i in self.ids()]
+
 
 class Chunks(Recent):
     """The ids, as int32 bytes, of each chunk of text seen; lead: what stands before the chunk."""
@@ -228,15 +233,15 @@ class Chunks(Recent):
         return self.put(chunk, self.old.get(chunk) or self._ids(chunk))
 
     def _ids(self, chunk: str) -> bytes:
-        found: list[int] = []
-        ranks, whole = self.words.ranks, self.lead + chunk
-        for piece in (whole,) if chunk.isalpha() else self.words.pattern.findall(whole):
-            data = piece.encode()
-            if data in ranks:
-                found.append(ranks[data])
-            else:
-                found += [ranks[t] for t in Prefixes(self.words, data).tokens()]
-        return pack(f"{len(found)}i", *found)
+        words, whole = self.words, self.lead + chunk
+        pieces = (whole,) if chunk.isalpha() else words.pattern.findall(whole)
+        if len(pieces) > 1:
+            # Words with marks behind them: the pieces have mostly been seen.
+            return b"".join([words.spaced[p[1:]] if p[0] == " " else words.plain[p] for p in pieces])
+        data = whole.encode()
+        rank = words.ranks.get(data)
+        ids = Prefixes(words, data).ids() if rank is None else (rank,)
+        return pack(f"{len(ids)}i", *ids)
 
 
 def blocks(text: str) -> Iterator[str]:
@@ -250,8 +255,7 @@ def blocks(text: str) -> Iterator[str]:
 
 class Encoder:
     def __init__(self, words: Vocabulary) -> None:
-        self.words = words
-        self.spaced, self.plain = words.chunks
+        self.words, self.spaced, self.plain = words, words.spaced, words.plain
 
     def __call__(self, text: str | None) -> np.ndarray:
         out = []
