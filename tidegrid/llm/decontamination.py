@@ -34,6 +34,8 @@ LEAST = 8
 BLOCK_WORDS = 500_000
 BITS = 22
 PORTION = 1 << 15
+#: Words of diagonals that are compared at a time.
+CELLS = 1 << 18
 #: Stands for a null item_id within a block.
 NO_ID = -(1 << 63)
 WORDS = bytes(32 if b < 0x80 and not chr(b).isalnum() else ord(chr(b).lower()) if b < 0x80 else b for b in range(256))
@@ -111,42 +113,51 @@ class Block:
         return list(np.unique(np.concatenate(found), axis=0).T)
 
     def _verify(self, words: np.ndarray, starts: np.ndarray, text: np.ndarray, item: np.ndarray, shift: np.ndarray) -> np.ndarray:
-        size = self.starts[item + 1] - self.starts[item]
-        order = np.argsort(size, kind="stable")
-        text, item, shift, size = text[order], item[order], shift[order], size[order]
-        out = []
-        step = 512
-        for a in range(0, len(text), step):
-            t, i, d, n = (x[a : a + step] for x in (text, item, shift, size))
-            place = self.starts[i][:, None] + np.arange(n.max())
-            doc = place + d[:, None]
-            inside = (np.arange(n.max()) < n[:, None]) & (doc >= starts[t][:, None]) & (doc < starts[t + 1][:, None])
-            equal = inside & (self.words[np.minimum(place, len(self.words) - 1)] == words[np.clip(doc, 0, len(words) - 1)])
-            # Chance hits with too few equal words on the whole diagonal go before the sums.
-            enough = equal.sum(axis=1) >= np.minimum(self.least, n)
-            if not enough.any():
-                continue
-            t, i, d, n, inside, equal = (x[enough] for x in (t, i, d, n, inside, equal))
-            gain = np.where(equal, 1, np.where(inside, -4, -(1 << 20)))
-            total = np.concatenate([np.zeros((len(t), 1), np.int64), np.cumsum(gain, axis=1)], axis=1)
-            held = np.concatenate([np.zeros((len(t), 1), np.int64), np.cumsum(equal, axis=1)], axis=1)
-            # A segment qualifies if its sum is 0 at least. For each end, the first start whose sum is no higher holds the most equal words.
-            low = np.minimum.accumulate(total, axis=1)
-            rows, size_ = np.arange(len(t)), total.shape[1]
-            apart = rows[:, None] * (int(total.max()) - int(total.min()) + 1)
-            first = np.searchsorted((apart - low).ravel(), (apart - total).ravel()).reshape(total.shape) - rows[:, None] * size_
-            matched = held - np.take_along_axis(held, first, axis=1)
-            # Substitutions in front are left out; of the ends of most equal words the one of fewest substitutions counts, then the earliest.
-            where = np.where(equal, np.arange(size_ - 1), size_ - 1)
-            begin = np.c_[np.minimum.accumulate(where[:, ::-1], axis=1)[:, ::-1], np.full(len(t), size_ - 1)]
-            first = np.minimum(np.take_along_axis(begin, first, axis=1), np.arange(size_))
-            best = np.argmax(matched * (size_ + 1) - (np.arange(size_) - first), axis=1)
-            first, matched = first[rows, best], matched[rows, best]
-            length = best - first
-            good = matched >= np.minimum(self.least, n)
-            start = self.starts[i] + first
-            out.append(np.c_[t, i, matched, length, start + d - starts[t], first][good])
-        return np.concatenate(out) if out else np.zeros((0, 6), np.int64)
+        """What `overlaps` gives of some diagonals, CELLS words of them at a time (or one longer diagonal, no longer than its text or its item)."""
+        begin = np.maximum(self.starts[item], starts[text] - shift)
+        size = np.minimum(self.starts[item + 1], starts[text + 1] - shift) - begin
+        ends = np.cumsum(size + 1)
+        out, a = [np.zeros((0, 6), np.int64)], 0
+        while a < len(text):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CELLS, "right")))
+            out.append(self._segments(words, starts, *(x[a:b] for x in (text, item, shift, begin, size))))
+            a = b
+        return np.concatenate(out)
+
+    def _segments(self, words: np.ndarray, starts: np.ndarray, text: np.ndarray, item: np.ndarray, shift: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        least = np.minimum(self.least, self.starts[item + 1] - self.starts[item])
+        place = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        equal = self.words[place] == words[place + np.repeat(shift, size)]
+        # Chance hits with too few equal words on the whole diagonal go before the sums.
+        enough = np.add.reduceat(equal, np.cumsum(size) - size, dtype=np.int64) >= least
+        if not enough.any():
+            return np.zeros((0, 6), np.int64)
+        equal = equal[np.repeat(enough, size)]
+        text, item, shift, begin, size, least = (x[enough] for x in (text, item, shift, begin, size, least))
+        # All diagonals in a row, each with one place more than it has words: what the words before the place sum up to.
+        heads = np.cumsum(size + 1) - size - 1
+        row = np.repeat(np.arange(len(size)), size + 1)
+        inside = np.ones(len(row), bool)
+        inside[heads] = False
+        said = np.zeros(len(row), bool)
+        said[inside] = equal
+        total = np.cumsum(np.where(inside, np.where(said, 1, -4), 0))
+        total -= total[heads][row]
+        held = np.cumsum(said)
+        # A segment qualifies if its sum is 0 at least. For each end, the first start whose sum is no higher holds the most equal words.
+        apart = row * (int(total.max()) - int(total.min()) + 1)
+        first = np.searchsorted(-np.minimum.accumulate(total - apart), apart - total)
+        matched = held - held[first]
+        # Substitutions in front are left out; of the ends of most equal words the one of fewest substitutions counts, then the earliest.
+        at = np.arange(len(row))
+        after = np.minimum.accumulate(np.where(np.r_[said[1:], False], at, len(row))[::-1])[::-1]
+        first = np.minimum(after[first], at)
+        score = matched * (len(row) + 1) - (at - first)
+        tops = np.flatnonzero(score == np.maximum.reduceat(score, heads)[row])
+        best = tops[np.searchsorted(tops, heads)]
+        first, matched = first[best], matched[best]
+        start = begin + first - heads
+        return np.c_[text, item, matched, best - first, start + shift - starts[text], start - self.starts[item]][matched >= least]
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
