@@ -247,6 +247,64 @@ def test_chat_edges(spark):
 # --- Merkle fingerprints
 
 
+M64 = (1 << 64) - 1
+
+
+def slow_mix(x):
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M64
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M64
+    return x ^ x >> 31
+
+
+def slow_tree(text):
+    """root, sections of (hash, paragraphs of (hash, phrases)), phrase by phrase, all as hex."""
+    def blake(kind, data):
+        return hashlib.blake2b(bytes([kind]) + data, digest_size=16).digest()
+
+    sections, new = [], True
+    for line in text.encode().split(b"\n") if text else []:
+        words = [slow_mix(sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(w)) & M64) for w in re.findall(rb"[^ \t-\r]+", line)]
+        phrases, part = [], []
+        for k, w in enumerate(words):
+            part.append(w)
+            if len(part) >= 3 and w % 4 == 0 or len(part) == 32 or k == len(words) - 1:
+                phrases.append(slow_mix(sum(w * (2 * n + 1) for n, w in enumerate(part)) & M64).to_bytes(8, "little")[:3].hex())
+                part = []
+        leaf = blake(0, line)
+        if new:
+            sections.append([])
+        sections[-1].append((leaf, phrases))
+        new = leaf[0] % 4 == 0 or not line.strip()
+    hashes = [blake(1, b"".join(h for h, _ in s)) for s in sections]
+    return blake(2, b"".join(hashes)).hex(), [(h[:6].hex(), [(p[:6].hex(), q) for p, q in s]) for h, s in zip(hashes, sections)]
+
+
+def slow_aligned(x, y):
+    """Pairs of places: both ends while equal, then the longest chain of pairs of k-th with k-th."""
+    n = 0
+    while n < min(len(x), len(y)) and x[n] == y[n]:
+        n += 1
+    m = 0
+    while m < min(len(x), len(y)) - n and x[len(x) - 1 - m] == y[len(y) - 1 - m]:
+        m += 1
+    number = lambda v: [(w, v[:k].count(w)) for k, w in enumerate(v)]
+    a, b = number(x[n : len(x) - m]), number(y[n : len(y) - m])
+    pairs = [(i, b.index(w)) for i, w in enumerate(a) if w in b]
+    best = [1] * len(pairs)
+    for i in range(len(pairs)):
+        best[i] = 1 + max((best[j] for j in range(i) if pairs[j][1] < pairs[i][1]), default=0)
+    return n + m + max(best, default=0)
+
+
+def test_alignment_equals_brute_force():
+    rng = random.Random(12)
+    for _ in range(3000):
+        x, y = ([rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 12))] for _ in "xy")
+        got = merkle.aligned(x, y)
+        assert len(got) == slow_aligned(x, y) and all(x[i] == y[j] for i, j in got)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:]))
+
+
 def test_op5_equals_brute_force(spark, texts):
     ids = sorted(texts)
     got = {r["doc_id"]: r for r in merkle.op5_merkle_fingerprints(spark, SF).collect()}
@@ -256,8 +314,22 @@ def test_op5_equals_brute_force(spark, texts):
         edited = texts[a][: len(texts[a]) - cut] + texts[b][:cut]
         r = got[a]
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(texts[a])
-        assert r["fingerprint"] == merkle.Tree(texts[a]).fingerprint() and r["edited_fingerprint"] == merkle.Tree(edited).fingerprint()
-        assert r["near_next"] == merkle.likeness(r["fingerprint"], merkle.Tree(texts[b]).fingerprint())
+        trees = {}
+        for fingerprint, text in ((r["fingerprint"], texts[a]), (r["edited_fingerprint"], edited), (got[b]["fingerprint"], texts[b])):
+            root, sections = slow_tree(text)
+            assert fingerprint.partition(":")[0] == root
+            read = [(h.hex(), [(p.hex(), [q[k : k + 3].hex() for k in range(0, len(q), 3)]) for p, q in s]) for h, s in merkle.branches_of(fingerprint)]
+            assert read == sections
+            trees[fingerprint] = sections
+        assert r["near_edited"] == merkle.likeness(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == merkle.likeness(r["fingerprint"], got[b]["fingerprint"])
+        size = lambda t: sum(1 + len(q) for _, s in t for _, q in s)
+        flat = lambda t: [p for _, s in t for p, _ in s]
+        one, other = trees[r["fingerprint"]], trees[r["edited_fingerprint"]]
+        if len(one) == len(other) == 1 and len(flat(one)) == len(flat(other)) == 1:  # one paragraph each: the phrases decide
+            want = slow_aligned(one[0][1][0][1], other[0][1][0][1]) / max(size(one), size(other))
+            assert r["near_edited"] == (1 if one == other else want)
+        assert 0 <= r["near_edited"] <= 1 and (r["near_edited"] < 1) == (edited != texts[a])
     assert len({r["fingerprint"] for r in got.values()}) == len(set(texts.values()))
     assert np.mean([r["near_edited"] for r in got.values()]) > 0.6 > 0.1 > np.mean([r["near_next"] for r in got.values()])
 
@@ -266,8 +338,32 @@ def test_edits_are_located():
     lines = [f"line {i} of the text with some words" for i in range(40)]
     other = [*lines[:17], "another line", *lines[18:]]
     a, b = merkle.Tree("\n".join(lines)), merkle.Tree("\n".join(other))
-    found = [a.sections[i][j][0] for i, j in merkle.edits(a, b)]
-    assert found == [merkle.digest(lines[17].encode())] and merkle.edits(a, a) == []
+    found = [a.branches[i][1][j][0] for i, j in merkle.edits(a.branches, b.branches)]
+    assert found == [merkle.digest(merkle.LEAF, lines[17].encode())[:6]] and merkle.edits(a.branches, a.branches) == []
+    assert 0.9 < merkle.ratio(a.branches, b.branches) < 1
+    moved = merkle.Tree("\n".join(lines[20:] + lines[:20]))
+    assert moved.root != a.root and 0.4 < merkle.ratio(a.branches, moved.branches) < 0.6
+    swapped = merkle.Tree("\n".join([*lines[:10], lines[11], lines[10], *lines[12:]]))
+    assert 0.9 < merkle.ratio(a.branches, swapped.branches) < 1
+
+
+@pytest.mark.parametrize("hot", [None, 5])
+def test_ids_that_fill_ranges_are_dealt_into_them(spark, hot):
+    rng = random.Random(13)
+    rows = [(hot if k % 3 else k, f"text {rng.randint(0, 10**9)}") for k in range(600)]
+    got = [(r["doc_id"], r["near_next"], r["fingerprint"]) for r in merkle.fingerprints(docs(spark, rows)).collect()]
+    assert sorted(x[2] for x in got) == sorted(merkle.Tree(t).fingerprint() for _, t in rows)
+    dealt = merkle.neighbours(docs(spark, rows), 12).where("NOT borrowed").groupBy("range").count().collect()
+    assert len(dealt) > 8 and max(r["count"] for r in dealt) < 200
+    order = merkle.neighbours(docs(spark, rows), 12).orderBy("range", "borrowed", "key", "tie", "text").collect()
+    own = [(r["key"], r["tie"]) for r in order if not r["borrowed"]]
+    assert own == sorted(own)
+    ends = {r["range"]: (r["key"], r["tie"]) for r in order if r["borrowed"]}
+    firsts = {}
+    for r in order:
+        firsts.setdefault(r["range"], (r["key"], r["tie"]))
+    places = sorted(firsts)
+    assert ends == {a: firsts[b] for a, b in zip(places, places[1:] + places[:1])}
 
 
 def test_fingerprint_edges(spark):
@@ -325,6 +421,69 @@ def test_articles_in_named_layouts_stay(page, want):
     assert html_text.main_text(f"<html><body>{page}</body></html>") == want
 
 
+LONG = [f"Sentence {k} of the text says one thing after another, as the sentences of long texts do, and then it ends." for k in range(4)]
+SHORT = ["Well.", "A short one."]
+PARAS = [LONG[0], SHORT[0], LONG[1], LONG[2], SHORT[1], LONG[3]]
+LINKS = "".join(f'<a href="/{w}">{w}</a>' for w in ("Home", "News", "Sport", "About"))
+ITEMS = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in ("Home", "News", "Sport", "About"))
+P = "".join(f"<p>{x}</p>" for x in PARAS)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div>{LINKS}</div><div>{P}</div><div>Copyright</div>", PARAS),
+        (f"<div><a href='/'>Home</a></div><div><a href='/n'>News</a></div><div><h1>Head</h1>{P}</div><div>Copyright 2020</div>", ["Head", *PARAS]),
+        (f"<ul>{ITEMS}</ul><section><h2>Head</h2>{P}</section><ul>{ITEMS}</ul>", ["Head", *PARAS]),
+        (f"<table><tr><td><ul>{ITEMS}</ul></td><td>{P}</td><td>Buy now!</td></tr></table>", PARAS),
+        (f"<table><tr><td>{LINKS}</td></tr><tr><td><table><tr><td>{P}</td></tr></table></td></tr><tr><td>All rights reserved</td></tr></table>", PARAS),
+        (f"<h1>Title</h1><div>{LINKS}</div><div><div>{P}</div></div>", ["Title", *PARAS]),
+        (f"<center>{LINKS}</center>{P}<center>{LINKS}</center>", PARAS),
+        (f"<div class='a'>{LINKS}</div><div class='b'><div>{''.join(f'<div>{x}</div>' for x in PARAS)}</div></div><div class='c'>Imprint</div>", PARAS),
+        (f"<div>{''.join(f'<p>{x}</p>' for x in PARAS[:3])}<ul>{ITEMS}</ul>{''.join(f'<p>{x}</p>' for x in PARAS[3:])}</div><div>Imprint</div>", PARAS),
+        (f"<div><p class='share-price'>{LONG[0]}</p>{P}</div><div class='alert alert-info'><p>{LONG[1]}</p></div>", [LONG[0], *PARAS]),
+        (f"<article><p class='share-price'>{LONG[0]}</p>{P}<div class='alert alert-info'><p>{LONG[1]}</p></div></article>", [LONG[0], *PARAS]),
+        (f"<div>{LINKS}</div><blockquote>{LONG[0]}</blockquote><pre>{LONG[1]}</pre>", LONG[:2]),
+        (f"<dl>{''.join(f'<dt>Term<dd>{x}' for x in LONG)}</dl><div>{LINKS}</div>", [x for k in LONG for x in ("Term", k)]),
+        (f"<div><div class='footer-links'>{LINKS}</div><div>{P}</div><form><p>{LONG[0]}</p></form></div>", PARAS),
+        (f"<main><nav>{LINKS}</nav><h1>Head</h1><p>Short.</p></main>", ["Head", "Short."]),
+    ],
+)
+def test_texts_of_pages_of_many_layouts(page, want):
+    assert html_text.main_text(f"<html><body>{page}</body></html>").split("\n") == want
+
+
+def articles(page):
+    import html as H
+
+    body = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+    blocks = (" ".join(H.unescape(re.sub("<br>", " ", re.sub("</?b>", "", b))).split()) for b in re.split(r"</?(?:p|h1)>", body))
+    return "\n".join(b for b in blocks if b)
+
+
+def test_ratios_decide(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    bare = [re.sub("<(/?)(article|nav|footer)>", r"<\1div>", x).replace(' class="ad"', "") for x in pages]  # no name says what is what
+    want = list(map(articles, pages))
+    right = lambda pages: np.mean([html_text.main_text(x) == w for x, w in zip(pages, want)])
+    assert right(pages) == 1 and right(bare) > 0.8
+    rng = np.random.default_rng(15)
+    monkeypatch.setattr(html_text, "ratios", lambda lines, out: rng.exponential(size=len(lines)))
+    assert right(bare) < 0.7 and right(pages) < 1
+    monkeypatch.setattr(html_text, "ratios", lambda lines, out: np.zeros(len(lines)))
+    assert not any(map(html_text.main_text, pages))
+
+
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    for n in (10_000, 100_000):
+        tracemalloc.start()
+        assert html_text.main_text("<div>" * n + f"<p>{LONG[0]}</p>" + "</div>" * n + "</section>" * n + "<svg>" * 1000 + "<hr>" * n) == LONG[0]
+        assert tracemalloc.get_traced_memory()[1] < 2_000 * n
+        tracemalloc.stop()
+
+
 def test_articles_of_pages_are_whole(spark):
     import html as H
 
@@ -426,12 +585,82 @@ def test_gated_rules_find_what_all_rules_find_in_wrapped_texts(gap):
     scanner = licenses.Scanner()
     for notice in NOTICES:
         text = "Some words. " + notice.replace(" ", gap) + " and more."
-        whole = scanner.detections(text.lower(), set(scanner.of_key))
+        whole = scanner.detections(licenses.Spaced(text.lower()), set(scanner.of_key))
         labels, score, found = scanner.scan(text)[3:]
         assert {x[4] for x in found} == {x[4] for x in scanner.scan(notice)[5]}
         assert found == whole and found and {x[4] for x in found} <= labels and score >= max(x[5] for x in found), notice
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("GNU Lesser General Public License, version 2.1", "gpl,lgpl-2.1"),
+        ("GNU Lesser General Public License, version 2", "gpl,lgpl-2.0"),
+        ("the GNU Affero General Public License v3 applies", "agpl-3.0,gpl"),
+        ("GNU General Public License v3", "gpl,gpl-3.0"),
+        ("see https://opensource.org/licenses/mit-0 for more", "mit-0"),
+        ("see https://opensource.org/licenses/MIT.", "mit"),
+        ("see http://www.apache.org/licenses/LICENSE-2.0.html", "apache-2.0"),
+        ("licensed under the MIT No Attribution License", "mit-0"),
+        ("released under the Unlicense", "unlicense"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl-2.1"),
+        ("BSD 3-Clause License", "bsd-3-clause"),
+        ("license: 'mpl-2.0'", "mpl-2.0"),
+        ("nothing of the kind; submit licenses elsewhere", ""),
+    ],
+)
+def test_license_labels(text, labels):
+    n_words, words, base, found, score, detections = licenses.Scanner().scan(text)
+    assert ",".join(sorted(found)) == labels and (score > 0) == bool(labels)
+    assert all(text[x[2] : x[3]].strip() for x in detections)
+
+
+def test_suppression_equals_brute_force():
+    rng = random.Random(14)
+    for _ in range(2000):
+        found = []
+        for k in range(rng.randint(0, 9)):
+            a = rng.randint(0, 8)
+            found.append((rng.randint(1, 4), k, a, a + rng.randint(1, 8), "x", 1.0))
+        beats = lambda y, x: y[2] <= x[2] and x[3] <= y[3] and (y[0] < x[0] or y[0] == x[0] and (y[2:4] != x[2:4] or y[1] < x[1]))
+        assert sorted(licenses.resolve(found)) == sorted(x for x in found if not any(beats(y, x) for y in found))
+
+
+def test_keywords_and_heads_are_in_what_their_rules_match():
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    for rule in licenses.rules():
+        core = re.sub(r"\(\?<?!(?:[^()]|\\.)*\)", "", rule.pattern.replace(r"(?!\w|-\w)", ""))
+
+        @settings(max_examples=8, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(core, fullmatch=True, alphabet=st.characters(codec="ascii")))
+        def holds(text):
+            text = licenses.GAPS.sub(" ", text.lower())
+            if m := re.search(rule.pattern, text):  # noqa: B023
+                assert rule.keyword in m[0] and (rule.head is None or re.match(rule.head, m[0])), rule  # noqa: B023
+
+        holds()
+
+
+def test_long_license_texts_take_time_in_proportion():
+    import time
+
+    scanner, took = licenses.Scanner(), []
+    lines = ["Licensed under the Apache License, Version 2.0", "MIT License", "GNU General Public License v3", "SPDX-License-Identifier: MIT", "All rights reserved"]
+    for n in (4_000, 32_000):
+        text, start = "\n".join(lines * (n // 5)), time.process_time()
+        assert len(scanner.scan(text)[5]) >= n - n // 5
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * 2.5 * took[0]
+
+
+def test_places_in_wrapped_texts():
+    text = "x  MIT \r\n\r\n License and\n\nthe   GNU\tGPL"
+    found = licenses.Scanner().scan(text)[5]
+    assert [" ".join(text[x[2] : x[3]].split()) for x in found] == ["MIT License", "GNU GPL"]
+
+
 def test_shards_are_whole_and_grow_into_the_new_one(spark, texts):
     got = sharding.op2_rendezvous_sharding(spark, SF).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(texts)

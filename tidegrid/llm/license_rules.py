@@ -1,8 +1,8 @@
 """The ordered license signatures: families by name and identifier, times the forms in which texts state a license, and clauses of license texts.
 
-A rule is (rank, label, keyword, pattern, confidence). Patterns see text with A-Z lower-cased. A lower rank wins.
-A rule runs only on texts that hold its keyword, so the keyword must occur in every text that the pattern matches, once runs of
-white space are one space.
+A rule is (rank, label, keyword, pattern, confidence, head). Patterns see text with A-Z lower-cased and runs of white space as one space. A lower rank
+wins. A rule runs only on texts that hold its keyword, so the keyword must occur in every text that the pattern matches. A rule with a head, a pattern
+with which its own begins, is tried only where that matches: rules of one form share the search for it.
 """
 
 from __future__ import annotations
@@ -16,43 +16,44 @@ class Rule(NamedTuple):
     keyword: str
     pattern: str
     confidence: float
+    head: str | None = None
 
 
 #: (label, identifier pattern, keyword of the identifier, name pattern, keyword of the name, address pattern)
 FAMILIES = [
-    ("mit", r"mit", "mit", r"(?:mit|expat)\s+licen[cs]e", "licen", r"opensource\.org/licenses?/mit"),
+    ("mit", r"mit", "mit", r"(?:mit|expat)\s+licen[cs]e", "licen", r"opensource\.org/licenses?/mit(?:-license)?"),
     ("mit-0", r"mit-0", "mit-0", r"mit\s+no\s+attribution(?:\s+licen[cs]e)?", "no attribution", r"opensource\.org/licenses?/mit-0"),
     ("apache-2.0", r"apache-2\.0", "apache", r"apache(?:\s+software)?\s+licen[cs]e,?\s*(?:\(?version\s+|v\.?\s*)?2(?:\.0)?", "apache", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", r"apache-1\.1", "apache", r"apache(?:\s+software)?\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)?1\.1", "apache", r"apache\.org/licenses/license-1\.1"),
     ("apache-1.0", r"apache-1\.0", "apache", r"apache(?:\s+software)?\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)?1\.0", "apache", r"apache\.org/licenses/license-1\.0"),
-    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", "gpl-3", r"(?:gnu\s+)?general\s+public\s+licen[cs]e,?\s*(?:as\s+published\s+by\s+[a-z\s]{1,40},?\s*)?(?:either\s+)?(?:\(?version\s+|v\.?\s*)3(?:\.0)?", "general", r"gnu\.org/licenses/gpl-3\.0"),
-    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", "gpl-2", r"(?:gnu\s+)?general\s+public\s+licen[cs]e,?\s*(?:as\s+published\s+by\s+[a-z\s]{1,40},?\s*)?(?:either\s+)?(?:\(?version\s+|v\.?\s*)2(?:\.0)?", "general", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
-    ("gpl-1.0", r"gpl-1\.0(?:-only|-or-later|\+)?", "gpl-1", r"(?:gnu\s+)?general\s+public\s+licen[cs]e,?\s*(?:\(?version\s+|v\.?\s*)1(?:\.0)?", "general", r"gnu\.org/licenses/old-licenses/gpl-1\.0"),
+    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later|\+)?", "gpl-3", r"(?:gnu\s+)?(?<!lesser\s)(?<!library\s)(?<!affero\s)general\s+public\s+licen[cs]e,?\s*(?:as\s+published\s+by\s+[a-z\s]{1,40},?\s*)?(?:either\s+)?(?:\(?version\s+|v\.?\s*)3(?:\.0)?", "general", r"gnu\.org/licenses/gpl-3\.0(?:-standalone)?"),
+    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later|\+)?", "gpl-2", r"(?:gnu\s+)?(?<!lesser\s)(?<!library\s)(?<!affero\s)general\s+public\s+licen[cs]e,?\s*(?:as\s+published\s+by\s+[a-z\s]{1,40},?\s*)?(?:either\s+)?(?:\(?version\s+|v\.?\s*)2(?:\.0)?", "general", r"gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0"),
+    ("gpl-1.0", r"gpl-1\.0(?:-only|-or-later|\+)?", "gpl-1", r"(?:gnu\s+)?(?<!lesser\s)(?<!library\s)(?<!affero\s)general\s+public\s+licen[cs]e,?\s*(?:\(?version\s+|v\.?\s*)1(?:\.0)?", "general", r"gnu\.org/licenses/old-licenses/gpl-1\.0"),
     ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later|\+)?", "lgpl-3", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)3(?:\.0)?", "lesser", r"gnu\.org/licenses/lgpl-3\.0"),
     ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later|\+)?", "lgpl-2", r"(?:gnu\s+)?lesser\s+general\s+public\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)2\.1", "lesser", r"gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1"),
-    ("lgpl-2.0", r"lgpl-2\.0(?:-only|-or-later|\+)?", "lgpl-2", r"(?:gnu\s+)?library\s+general\s+public\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)2(?:\.0)?", "library", r"gnu\.org/licenses/old-licenses/lgpl-2\.0"),
+    ("lgpl-2.0", r"lgpl-2\.0(?:-only|-or-later|\+)?", "lgpl-2", r"(?:gnu\s+)?(?:library|lesser)\s+general\s+public\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)2(?:\.0)?(?!\.\d)", "general", r"gnu\.org/licenses/old-licenses/lgpl-2\.0"),
     ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later|\+)?", "agpl-3", r"(?:gnu\s+)?affero\s+general\s+public\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)3(?:\.0)?", "affero", r"gnu\.org/licenses/agpl-3\.0"),
     ("gfdl-1.3", r"gfdl-1\.3(?:-only|-or-later)?", "gfdl", r"(?:gnu\s+)?free\s+documentation\s+licen[cs]e(?:,?\s*version\s+1\.3)?", "documentation", r"gnu\.org/licenses/fdl-1\.3"),
     ("bsd-2-clause", r"bsd-2-clause", "bsd", r"(?:simplified\s+bsd|bsd\s+2-clause|2-clause\s+bsd|freebsd)\s+licen[cs]e", "bsd", r"opensource\.org/licenses?/bsd-2-clause"),
     ("bsd-3-clause", r"bsd-3-clause", "bsd", r"(?:(?:new|revised|modified)\s+bsd|bsd\s+3-clause|3-clause\s+bsd)\s+licen[cs]e", "bsd", r"opensource\.org/licenses?/bsd-3-clause"),
     ("bsd-4-clause", r"bsd-4-clause", "bsd", r"(?:original\s+bsd|bsd\s+4-clause|4-clause\s+bsd)\s+licen[cs]e", "bsd", r"spdx\.org/licenses/bsd-4-clause"),
     ("0bsd", r"0bsd", "0bsd", r"(?:zero-clause\s+bsd|bsd\s+zero\s+clause)(?:\s+licen[cs]e)?", "bsd", r"opensource\.org/licenses?/0bsd"),
-    ("isc", r"isc", "isc", r"isc\s+licen[cs]e", "isc", r"opensource\.org/licenses?/isc"),
+    ("isc", r"isc", "isc", r"isc\s+licen[cs]e", "isc", r"opensource\.org/licenses?/isc(?:-license)?"),
     ("mpl-2.0", r"mpl-2\.0", "mpl-2", r"mozilla\s+public\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)?2(?:\.0)?", "mozilla", r"mozilla\.org/(?:en-us/)?mpl/2\.0"),
     ("mpl-1.1", r"mpl-1\.1", "mpl-1", r"mozilla\s+public\s+licen[cs]e,?\s*(?:version\s+|v\.?\s*)?1\.1", "mozilla", r"mozilla\.org/(?:en-us/)?mpl/1\.1"),
     ("epl-2.0", r"epl-2\.0", "epl-2", r"eclipse\s+public\s+licen[cs]e\s*,?\s*(?:-\s*)?(?:version\s+|v\.?\s*)?2(?:\.0)?", "eclipse", r"eclipse\.org/legal/epl-2\.0"),
     ("epl-1.0", r"epl-1\.0", "epl-1", r"eclipse\s+public\s+licen[cs]e\s*,?\s*(?:-\s*)?(?:version\s+|v\.?\s*)?1(?:\.0)?", "eclipse", r"eclipse\.org/legal/epl-v10"),
-    ("cddl-1.0", r"cddl-1\.0", "cddl", r"common\s+development\s+and\s+distribution\s+licen[cs]e", "distribution", r"opensource\.org/licenses?/cddl"),
-    ("cpl-1.0", r"cpl-1\.0", "cpl", r"common\s+public\s+licen[cs]e(?:\s+version\s+1\.0)?", "common", r"opensource\.org/licenses?/cpl"),
+    ("cddl-1.0", r"cddl-1\.0", "cddl", r"common\s+development\s+and\s+distribution\s+licen[cs]e", "distribution", r"opensource\.org/licenses?/cddl(?:-?1(?:\.0)?)?"),
+    ("cpl-1.0", r"cpl-1\.0", "cpl", r"common\s+public\s+licen[cs]e(?:\s+version\s+1\.0)?", "common", r"opensource\.org/licenses?/cpl(?:-?1\.0)?"),
     ("artistic-2.0", r"artistic-2\.0", "artistic", r"artistic\s+licen[cs]e,?\s*(?:version\s+)?2(?:\.0)?", "artistic", r"opensource\.org/licenses?/artistic-license-2\.0"),
     ("artistic-1.0", r"artistic-1\.0", "artistic", r"artistic\s+licen[cs]e,?\s*(?:version\s+)?1(?:\.0)?", "artistic", r"opensource\.org/licenses?/artistic-license-1\.0"),
     ("bsl-1.0", r"bsl-1\.0", "bsl", r"boost\s+software\s+licen[cs]e", "boost", r"boost\.org/license_1_0"),
-    ("zlib", r"zlib", "zlib", r"zlib(?:/libpng)?\s+licen[cs]e", "zlib", r"opensource\.org/licenses?/zlib"),
+    ("zlib", r"zlib", "zlib", r"zlib(?:/libpng)?\s+licen[cs]e", "zlib", r"opensource\.org/licenses?/zlib(?:-license)?"),
     ("unlicense", r"unlicense", "unlicense", r"the\s+unlicense", "unlicense", r"unlicense\.org"),
     ("wtfpl", r"wtfpl", "wtfpl", r"do\s+what\s+the\s+f\S{1,3}\s+you\s+want\s+to\s+public\s+licen[cs]e", "public", r"wtfpl\.net"),
     ("psf-2.0", r"psf-2\.0", "psf", r"python\s+software\s+foundation\s+licen[cs]e", "python", r"python\.org/psf/license"),
     ("postgresql", r"postgresql", "postgresql", r"postgresql\s+licen[cs]e", "postgresql", r"postgresql\.org/about/licence"),
-    ("eupl-1.2", r"eupl-1\.2", "eupl", r"european\s+union\s+public\s+licen[cs]e(?:,?\s*v(?:ersion|\.)?\s*1\.2)?", "european", r"joinup\.ec\.europa\.eu/\S*eupl"),
+    ("eupl-1.2", r"eupl-1\.2", "eupl", r"european\s+union\s+public\s+licen[cs]e(?:,?\s*v(?:ersion|\.)?\s*1\.2)?", "european", r"joinup\.ec\.europa\.eu/\S{0,80}?eupl\S{0,80}"),
     ("osl-3.0", r"osl-3\.0", "osl", r"open\s+software\s+licen[cs]e(?:\s+v?\.?\s*3\.0)?", "open", r"opensource\.org/licenses?/osl-3\.0"),
     ("ofl-1.1", r"ofl-1\.1", "ofl", r"sil\s+open\s+font\s+licen[cs]e", "font", r"scripts\.sil\.org/ofl"),
     ("odbl-1.0", r"odbl-1\.0", "odbl", r"open\s+(?:data\s+commons\s+open\s+)?database\s+licen[cs]e", "database", r"opendatacommons\.org/licenses/odbl"),
@@ -73,7 +74,7 @@ FAMILIES = [
     ("openssl", r"openssl", "openssl", r"openssl\s+licen[cs]e", "openssl", r"openssl\.org/source/license"),
     ("busl-1.1", r"busl-1\.1", "busl", r"business\s+source\s+licen[cs]e(?:\s+1\.1)?", "business", r"mariadb\.com/bsl11"),
     ("sspl-1.0", r"sspl-1\.0", "sspl", r"server\s+side\s+public\s+licen[cs]e", "server", r"mongodb\.com/licensing/server-side-public-license"),
-    ("elastic-2.0", r"elastic-2\.0", "elastic", r"elastic\s+licen[cs]e(?:\s+2\.0)?", "elastic", r"elastic\.co/licensing/elastic-license"),
+    ("elastic-2.0", r"elastic-2\.0", "elastic", r"elastic\s+licen[cs]e(?:\s+2\.0)?", "elastic", r"elastic\.co/licensing/elastic-license(?:-2\.0)?"),
 ]
 
 #: The forms in which a text states a license, by falling weight: (rank, confidence, keyword or None for the family's, pattern with its place).
@@ -104,13 +105,21 @@ CLAUSES = [
 ]
 
 
+#: The heads of the forms of ranks 1, 3 and 4, and what may not follow an address.
+TAG, ADDRESS, FIELD, END = r"spdx-license-identifier:\s*", r"https?://(?:www\.)?", r"[\"']?licen[cs]e[\"']?\s*[:=]\s*[\"']?", r"(?!\w|-\w)"
+
+
+def host(place: str) -> str:
+    return place.split("/")[0].replace("\\", "")
+
+
 def rules() -> list[Rule]:
     """All rules in order: rank first, then the order of the tables above."""
-    out = [Rule(1, label, "spdx-license", rf"spdx-license-identifier:\s*{ident}(?![\w.-])", 1.0) for label, ident, *_ in FAMILIES]
-    out += [Rule(2, label, "under", rf"{GRANT}{name}(?!\w)", 0.95) for label, _, _, name, _, _ in FAMILIES]
-    out += [Rule(2, label, key, rf"{GRANT}{ident}(?![\w-])", 0.9) for label, ident, key, *_ in FAMILIES if "-" in ident]
-    out += [Rule(3, label, "http", rf"https?://(?:www\.)?{place}", 0.9) for label, *_, place in FAMILIES]
-    out += [Rule(4, label, "licen", rf"[\"']?licen[cs]e[\"']?\s*[:=]\s*[\"']?{ident}(?![\w.-])", 0.9) for label, ident, *_ in FAMILIES]
+    out = [Rule(1, label, key, rf"{TAG}{ident}(?![\w.-])", 1.0, TAG) for label, ident, key, *_ in FAMILIES]
+    out += [Rule(2, label, key, rf"{GRANT}{name}(?!\w)", 0.95, GRANT) for label, _, _, name, key, _ in FAMILIES]
+    out += [Rule(2, label, key, rf"{GRANT}{ident}(?![\w-])", 0.9, GRANT) for label, ident, key, *_ in FAMILIES if "-" in ident]
+    out += [Rule(3, label, host(place), rf"{ADDRESS}{place}{END}", 0.9, ADDRESS) for label, *_, place in FAMILIES]
+    out += [Rule(4, label, key, rf"{FIELD}{ident}(?![\w.-])", 0.9, FIELD) for label, ident, key, *_ in FAMILIES]
     out += [Rule(5, label, key, rf"(?<!\w){pattern}(?!\w)", weight) for label, key, pattern, weight in CLAUSES[:12]]
     out += [Rule(6, label, key, rf"(?<!\w){name}(?!\w)", 0.8) for label, _, _, name, key, _ in FAMILIES]
     out += [Rule(7, label, key, rf"(?<!\w){pattern}(?!\w)", weight) for label, key, pattern, weight in CLAUSES[12:]]

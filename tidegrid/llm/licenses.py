@@ -1,8 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter, overlaps resolved by priority and containment.
 
 Each text, its runs of white space as one space each, is walked once by an Aho-Corasick automaton over the rules' keywords; only the rules whose
-keyword occurs run, on the text as it is.
-Detections are intervals of the lower-cased text. One that lies within the interval of a detection of an earlier rule is suppressed.
+keyword occurs run. Detections are intervals of the lower-cased text. One that lies within the interval of a detection of the same or a lower rank is
+suppressed (of equal intervals and ranks the earlier rule's stays): a sweep over their starts that remembers the furthest end of each rank.
 The base phrases are counted at every place where their words stand consecutively, suppressed or not.
 
 Edge cases: a null or empty text has no words, no labels and score 0; a null id is carried through; repeated rows give one result row each;
@@ -12,6 +12,7 @@ columns other than the id and the text are ignored, so their names cannot clash.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,13 +33,41 @@ DETECTION = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("l
 GAPS = re.compile(r"[^\S ]\s*| \s+")
 
 
+#: No match of a rule with a head is longer, once runs of white space are one space.
+REACH = 400
+
+
 def resolve(found: list[tuple]) -> list[tuple]:
-    """found: (rank, order, start, stop, label, confidence). Keeps those that no earlier rule's interval contains, in text order."""
+    """found: (rank, order, start, stop, label, confidence). Those that stand, in text order."""
     kept: list[tuple] = []
-    for x in sorted(found, key=lambda x: (x[0], x[1], x[2] - x[3])):
-        if not any(k[2] <= x[2] and x[3] <= k[3] for k in kept):
+    furthest: dict[int, int] = {}
+    for x in sorted(found, key=lambda x: (x[2], -x[3], x[0], x[1])):
+        if not any(stop >= x[3] for rank, stop in furthest.items() if rank <= x[0]):
             kept.append(x)
-    return sorted(kept, key=lambda x: (x[2], x[3], x[1]))
+            furthest[x[0]] = max(x[3], furthest.get(x[0], 0))
+    return kept
+
+
+class Spaced:
+    """A text whose runs of white space are one space each; places in it are told as places of the text."""
+
+    def __init__(self, text: str) -> None:
+        self.source, self.text = text, GAPS.sub(" ", text)
+        self.ends: list[int] | None = None
+
+    def place(self, at: int) -> int:
+        if len(self.text) == len(self.source):
+            return at
+        if self.ends is None:
+            # Behind each shortened gap: its end in the spaced text, and how much has been left out so far.
+            self.ends, self.left, gone = [], [], 0
+            for m in GAPS.finditer(self.source):
+                if (more := m.end() - m.start() - 1) > 0:
+                    gone += more
+                    self.ends.append(m.end() - gone)
+                    self.left.append(gone)
+        k = bisect_right(self.ends, at)
+        return at + (self.left[k - 1] if k else 0)
 
 
 class Scanner:
@@ -49,33 +78,48 @@ class Scanner:
 
         self.rules = [(r, re.compile(r.pattern)) for r in rules()]
         self.of_key: dict[str, list[int]] = {}
+        self.heads: dict[str, re.Pattern] = {}
         for i, (r, _) in enumerate(self.rules):
             self.of_key.setdefault(r.keyword, []).append(i)
+            if r.head:
+                self.heads[r.head] = re.compile(r.head)
         self.keys = ahocorasick.Automaton()
         for key in {*self.of_key, *(phrase.split()[-1] for phrase in BASE)}:
             self.keys.add_word(key, key)
         self.keys.make_automaton()
         self.base = [(phrase.split()[-1], label, re.compile(rb"(?<!\S)" + rb" +".join(phrase.encode().split()) + rb"(?!\S)")) for phrase, label in BASE.items()]
 
-    def detections(self, low: str, keys: set[str]) -> list[tuple]:
-        found = []
+    def detections(self, spaced: Spaced, keys: set[str]) -> list[tuple]:
+        text, found, headed = spaced.text, [], {}
         for i in sorted(i for key in keys for i in self.of_key.get(key, ())):
             r, pattern = self.rules[i]
-            found += [(r.rank, i, *m.span(), r.label, r.confidence) for m in pattern.finditer(low)]
-        return resolve(found)
+            if r.head:
+                headed.setdefault(r.head, []).append(i)
+            else:
+                found += [(i, m) for m in pattern.finditer(text)]
+        for head, members in headed.items():
+            for at in self.heads[head].finditer(text):
+                near = text[at.start() : at.start() + REACH]
+                for i in members:
+                    r, pattern = self.rules[i]
+                    if r.keyword in near and (m := pattern.match(text, at.start())):
+                        found.append((i, m))
+        place = spaced.place
+        return resolve([(r.rank, i, place(m.start()), place(m.end() - 1) + 1, r.label, r.confidence) for i, m in found for r in self.rules[i][:1]])
 
     def scan(self, text: str | None) -> tuple:
         low = (text or "").encode().lower()
         spaced = low.translate(SEPARATORS)
         plain = low.decode()
-        keys = {key for _, key in self.keys.iter(GAPS.sub(" ", plain))}
+        flat = Spaced(plain)
+        keys = {key for _, key in self.keys.iter(flat.text)}
         places = sorted((m.start(), label) for key, label, pattern in self.base if key in keys for m in pattern.finditer(spaced))
         words, at, seen = [], 0, 0
         for start, _ in places:
             seen, at = seen + len(spaced[at:start].split()), start
             words.append(seen)
         n_words = seen + len(spaced[at:].split())
-        found = self.detections(plain, keys) if keys else []
+        found = self.detections(flat, keys) if keys else []
         base = {label for _, label in places}
         return n_words, words, base, base | {x[4] for x in found}, max([0.0, *(0.8 for _ in places[:1]), *(x[5] for x in found)]), found
 
