@@ -87,8 +87,15 @@ def test_sign_test(spark):
 
 def test_decorrelation_lag_and_block(spark):
     df = spark.createDataFrame([("up", i, float(i + 1)) for i in range(10)] + [("alt", i, float((-1) ** i)) for i in range(10)], "session string, i long, v double")
-    out = {r["session"]: r["lag"] for r in stats.decorrelation_lag(df, "v", "i", ["session"], 9).collect()}
+    out = {r["session"]: r["lag"] for r in stats.decorrelation_lag(df, "v", "i", ["session"]).collect()}
     assert out == {"up": 3, "alt": 1}
+    slow = np.repeat(np.random.default_rng(1).normal(size=12), 100)  # its first lag below 1/e lies far out
+    df = spark.createDataFrame([("slow", i, float(v)) for i, v in enumerate(slow)], "session string, i long, v double")
+    centred = slow - slow.mean()
+    acf = [float(centred[k:] @ centred[: len(slow) - k]) / float(centred @ centred) for k in range(len(slow))]
+    want = next(k for k, r in enumerate(acf) if r < 0.3679)
+    assert want > 41 and stats.decorrelation_lag(df, "v", "i", ["session"]).first()["lag"] == want
+    assert stats.array_lag(np.repeat(slow, 4)) == next(k for k in range(4800) if float((c := np.repeat(centred, 4))[k:] @ c[: 4800 - k]) / float(c @ c) < 0.3679)
 
 
 def test_counter_gaps(spark):
@@ -102,7 +109,7 @@ def test_grid_sizes():
 
 def test_phase_join_takes_the_first_match(spark):
     e = spark.createDataFrame([("s", 1.0), ("s", 5.0), ("s", 99.0), ("t", 1.0)], "session string, t double")
-    p = spark.createDataFrame([("s", "A", 0.0, 4.0), ("s", "B", 4.0, 9.0), ("s", "C", 4.5, 9.0)], "session string, phase string, start_s double, end_s double")
+    p = spark.createDataFrame([("s", 0, "A", 0.0, 4.0), ("s", 1, "B", 4.0, 9.0), ("s", 2, "C", 2.0, 9.0)], "session string, place int, phase string, start_s double, end_s double")
     assert {(r["session"], r["t"]): r["phase"] for r in grid.phase_join(e, p).collect()} == {("s", 1.0): "A", ("s", 5.0): "B", ("s", 99.0): "", ("t", 1.0): ""}
 
 
@@ -146,6 +153,23 @@ def test_interval_of_the_effect(spark):
     assert [stats.array_lag(np.array(x, float)) for x in (range(1, 11), [(-1) ** i for i in range(10)], [1, 2, 3], [7] * 9)] == [3, 1, 1, 1]
 
 
+def test_horizons_come_from_the_data(spark, tmp_path):
+    from datetime import datetime
+
+    rows = [(k, datetime(2031, 3, 30 if k < 50 else 28, k % 24), k % 3, "click", float(k), "{}") for k in range(90)]
+    rows += [(99, datetime(2031, 7, 1), 1, "view", 1.0, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("epoch_grid_counts", "epoch_centers", "lerp_resample", "window_gate_strict", "longest_segment"):
+        assert compare(spark, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'"), str(tmp_path)) == "", name
+    assert catalogue.QUERIES["epoch_grid_counts"](spark, str(tmp_path)).agg(F.max("epoch")).first()[0] > 1000
+
+
+def test_bootstrap_numbers_are_uniform_and_stated():
+    u = stats.uniforms(1, 0, 2000, 50)
+    assert abs(u.mean() - 0.5) < 0.01 and abs(u.std() - 12**-0.5) < 0.01 and abs(np.corrcoef(u[:, 0], u[:, 1])[0, 1]) < 0.1 and len(np.unique(u)) > 0.99 * u.size
+    assert (stats.uniforms(1, 7, 3, 50) == u[7:10]).all() and not (stats.uniforms(2, 0, 3, 50) == u[:3]).any()
+
+
 def test_registry():
     assert len(markers.markers("marker")) == 8 and [m.id for m in markers.MARKERS if m.composite] == ["alpha_rel", "beta_rel", "smr_rel"]
     with pytest.raises(KeyError):

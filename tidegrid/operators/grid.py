@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+class Spacing(NamedTuple):
+    """A grid's hop and how many hops a window has, whatever the recording's length."""
+
+    hop: int
+    per: int
+
+    @property
+    def win(self) -> int:
+        return self.hop * self.per
+
+    def over(self, total: int) -> Grid:
+        return Grid(self.hop, self.per, total)
+
+
 class Grid(NamedTuple):
     """Windows of `per` hops, one each `hop`; only whole windows within the total count. The unit is that of the time column."""
 
@@ -32,7 +46,7 @@ def assign(df: DataFrame, grid: Grid, time: str = "us") -> DataFrame:
     return df.where(F.col(time) < grid.total).withColumn("epoch", F.explode(F.when(stop >= first, F.sequence(first, stop)).otherwise(F.array().cast("array<long>"))))
 
 
-def centre(grid: Grid, epoch: str = "epoch") -> Column:
+def centre(grid: Grid | Spacing, epoch: str = "epoch") -> Column:
     return F.col(epoch) * F.lit(grid.hop) + F.lit(grid.win // 2)
 
 
@@ -45,10 +59,9 @@ def phase_of(time: Column, phases: list[tuple[str, int, int]]) -> Column:
 
 
 def phase_join(epochs: DataFrame, phases: DataFrame) -> DataFrame:
-    """epochs (session, t) with the first matching phase of phases (session, phase, start_s, end_s), else ''. Both are keyed by session."""
-    keyed = epochs.withColumn("_row", F.struct("session", "t"))
+    """epochs (session, t) with the first listed of the phases (session, place, phase, start_s, end_s) that hold t, else ''. Both are keyed by session."""
     hit = (F.col("t") >= F.col("start_s")) & (F.col("t") < F.col("end_s"))
-    found = keyed.join(phases, "session", "left").groupBy("session", "t").agg(F.min_by(F.when(hit, F.col("phase")), F.when(hit, F.col("start_s"))).alias("phase"))
+    found = epochs.select("session", "t").distinct().join(phases, "session").where(hit).groupBy("session", "t").agg(F.min_by("phase", "place").alias("phase"))
     return epochs.join(found, ["session", "t"], "left").withColumn("phase", F.coalesce("phase", F.lit("")))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,39 +38,57 @@ def delta_label(delta: Column) -> Column:
     return F.when(d < 0.147, "negligible").when(d < 0.33, "small").when(d < 0.474, "medium").when(d.isNotNull(), "large").otherwise("undetermined")
 
 
-def decorrelation_lag(df: DataFrame, value: str, index: str, keys: list[str], most: int) -> DataFrame:
-    """keys, n, lag: the first lag (1 .. most) at which the biased autocorrelation falls below 1/e, else n div 2; 1 for short or constant series."""
-    mean = df.groupBy(*keys).agg(F.avg(value).alias("_m"), F.count(value).alias("n"), F.var_pop(value).alias("_v"))
-    x = df.join(mean.select(*keys, "_m"), keys).select(*keys, F.col(index).alias("_i"), (F.col(value) - F.col("_m")).alias("_x"))
-    later = x.withColumn("_lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("_j", F.col("_i") - F.col("_lag"))
-    pairs = later.join(x.select(*keys, F.col("_i").alias("_j"), F.col("_x").alias("_y")), [*keys, "_j"])
-    acf = pairs.groupBy(*keys, "_lag").agg(F.sum(F.col("_x") * F.col("_y")).alias("_s"))
-    zero = acf.where("_lag = 0").select(*keys, F.col("_s").alias("_s0"))
-    first = acf.where("_lag > 0").join(zero, keys).where(F.col("_s") / F.col("_s0") < 0.3679).groupBy(*keys).agg(F.min("_lag").alias("_first"))
-    lag = F.when((F.col("n") < 4) | (F.col("_v") == 0), 1).otherwise(F.coalesce(F.col("_first"), F.floor(F.col("n") / 2)))
-    return mean.join(first, keys, "left").select(*keys, "n", lag.cast("long").alias("lag"))
+def series_arrays(df: DataFrame, value: str, index: str, keys: list[str], **parts: Column) -> DataFrame:
+    """keys and, for each part (a condition), the array of its known values in the order of the index: one shuffle of the series."""
+    def of(condition: Column) -> Column:
+        pairs = F.collect_list(F.when(condition & F.col(value).isNotNull(), F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v"))))
+        return F.transform(F.array_sort(pairs), lambda e: e["v"])
+
+    return df.groupBy(*keys).agg(*[of(c).alias(k) for k, c in parts.items()])
+
+
+def over_arrays(arrays: DataFrame, keys: list[str], inputs: list[str], outputs: dict[str, pa.DataType], f: Callable[..., tuple]) -> DataFrame:
+    """keys and the outputs of f on each row's arrays, in numpy over Arrow batches."""
+    known = {f.name: f.dataType.simpleString() for f in arrays.schema.fields}
+    names = {pa.float64(): "double", pa.int64(): "long", pa.list_(pa.float64()): "array<double>"}
+    schema = ", ".join([f"`{k}` {known[k]}" for k in keys] + [f"{k} {names[t]}" for k, t in outputs.items()])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [f(*[np.array(x, float) for x in xs]) for xs in zip(*(batch.column(k).to_pylist() for k in inputs))]
+            columns = {k: batch.column(k) for k in keys} | {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(outputs.items())}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+    return arrays.select(*keys, *inputs).mapInArrow(task, schema)
+
+
+def decorrelation_lag(df: DataFrame, value: str, index: str, keys: list[str]) -> DataFrame:
+    """keys, n, lag: the first of all lags at which the biased autocorrelation falls below 1/e, else n div 2; 1 for short or constant series."""
+    arrays = series_arrays(df, value, index, keys, x=F.lit(True))
+    return over_arrays(arrays, keys, ["x"], {"n": pa.int64(), "lag": pa.int64()}, lambda x: (len(x), array_lag(x)))
 
 
 def block_length(lag: Column, least: int, most: int) -> Column:
     return F.least(F.greatest(2 * lag, F.lit(least)), F.lit(most))
 
 
-def hash_uniform(*parts: Column) -> Column:
-    """A uniform number in [0, 1) that depends on the parts alone: the same on every partitioning."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+#: Streams of numbers: where the blocks of either phase begin, and what they begin at.
+RESTART_A, ANCHOR_A, RESTART_B, ANCHOR_B = range(4)
+
+
+def hash32(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers that SQL can state: two rounds of a shift and a multiplication."""
+    low = np.uint64(0xFFFFFFFF)
+    x = x.astype(np.uint64) & low
+    for _ in range(2):
+        x = ((x >> np.uint64(16)) ^ x) * np.uint64(73244475) & low
+    return (x >> np.uint64(16)) ^ x
 
 
-def stationary_bootstrap(df: DataFrame, value: str, index: str, keys: list[str], block: float, reps: int, salt: str) -> DataFrame:
-    """keys, rep, stat: the median of each stationary-bootstrap replicate of a series (index 0 .. n-1 within the keys)."""
-    n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    draws = df.select(*keys, F.col(index).alias("_i")).join(n, keys).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    key = [F.lit(salt), *(F.col(k).cast("string") for k in keys), F.col("rep").cast("string"), F.col("_i").cast("string")]
-    restart = (F.col("_i") == 0) | (hash_uniform(F.lit("r"), *key) < 1.0 / block)
-    anchor = F.when(restart, F.floor(hash_uniform(F.lit("a"), *key) * F.col("_n")) * 1_000_000 + F.col("_i"))
-    w = Window.partitionBy(*keys, "rep").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last_value(anchor, True).over(w) if hasattr(F, "last_value") else F.last(anchor, True).over(w)
-    picked = draws.withColumn("_a", last).withColumn(index, ((F.floor(F.col("_a") / 1_000_000) + F.col("_i") - F.col("_a") % 1_000_000) % F.col("_n")).cast("long"))
-    return picked.select(*keys, "rep", index).join(df.select(*keys, F.col(index).cast("long").alias(index), value), [*keys, index]).groupBy(*keys, "rep").agg(F.median(value).alias("stat"))
+def uniforms(stream: int, first: int, reps: int, n: int) -> np.ndarray:
+    """Numbers in [0, 1) for replicates first .. and places 0 .. n - 1: they depend on stream, replicate and place alone."""
+    of_rep = hash32(np.arange(first, first + reps) * 16 + stream)
+    return hash32(of_rep[:, None] + np.arange(n, dtype=np.uint64)) / 2.0**32
 
 
 def array_lag(x: np.ndarray, threshold: float = 0.3679) -> int:
@@ -79,50 +97,75 @@ def array_lag(x: np.ndarray, threshold: float = 0.3679) -> int:
     square = float(centred @ centred)
     if n < 4 or square <= 0:
         return 1
-    below = np.flatnonzero(np.correlate(centred, centred, "full")[n - 1 :] / square < threshold)
+    if n > 4096:
+        size = 1 << (2 * n - 1).bit_length()
+        acf = np.fft.irfft(np.abs(np.fft.rfft(centred, size)) ** 2, size)[:n] / square
+    else:
+        acf = np.correlate(centred, centred, "full")[n - 1 :] / square
+    below = np.flatnonzero(acf < threshold)
     return int(below[0]) if len(below) else n // 2
 
 
-def resampled(n: int, block: int, reps: int, rng: np.random.Generator) -> np.ndarray:
-    """Places of `reps` stationary-bootstrap replicates of n values: blocks of geometric length, around the end."""
+def resampled(n: int, block: float, first: int, reps: int, streams: tuple[int, int]) -> np.ndarray:
+    """Places of stationary-bootstrap replicates first .. of n values: blocks of geometric length, around the end."""
     at = np.arange(n)
-    restart = rng.random((reps, n)) < 1.0 / block
+    restart = uniforms(streams[0], first, reps, n) < 1.0 / block
     restart[:, 0] = True
     since = np.maximum.accumulate(np.where(restart, at, 0), axis=1)
-    return (np.take_along_axis(rng.integers(n, size=(reps, n)), since, axis=1) + at - since) % n
+    anchor = np.floor(uniforms(streams[1], first, reps, n) * n).astype(np.int64)
+    return (np.take_along_axis(anchor, since, axis=1) + at - since) % n
 
 
-def effect_interval(a: np.ndarray, b: np.ndarray, block: tuple[int, int], reps: int = 2000, level: float = 0.95, seed: int = 0) -> tuple:
-    """Median of b less that of a, its interval with both resampled in blocks of the longer of the two lengths, the block and n_effective."""
+def median_replicates(x: np.ndarray, block: float, reps: int) -> list[float]:
+    """The medians of a series' stationary-bootstrap replicates."""
+    return np.median(x[resampled(len(x), block, 0, reps, (RESTART_A, ANCHOR_A))], axis=1).tolist() if len(x) else []
+
+
+def median_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.median(b, axis=-1) - np.median(a, axis=-1)
+
+
+def effect_interval(a: np.ndarray, b: np.ndarray, block: tuple[int, int], reps: int = 2000, level: float = 0.95, statistic=median_difference) -> tuple:
+    """A statistic of two series (over the last axis), its interval with both resampled in blocks of the longer of their lengths, the block and n_effective.
+    Null below three values; the interval is null if fewer than a tenth of the replicates are finite."""
     n = min(len(a), len(b))
     if n < 3:
         return None, None, None, 0, None
     length = max(min(max(2 * array_lag(x), block[0]), block[1]) for x in (a, b))
-    rng, step, found = np.random.default_rng(seed), max(1, (1 << 20) // max(len(a), len(b))), []
+    step, found = max(1, (1 << 20) // max(len(a), len(b))), []
     for at in range(0, reps, step):
         k = min(step, reps - at)
-        found.append(np.median(b[resampled(len(b), length, k, rng)], axis=1) - np.median(a[resampled(len(a), length, k, rng)], axis=1))
-    low, high = np.quantile(np.concatenate(found), [(1 - level) / 2, (1 + level) / 2])
-    return float(np.median(b) - np.median(a)), float(low), float(high), length, n / length
+        one, other = resampled(len(a), length, at, k, (RESTART_A, ANCHOR_A)), resampled(len(b), length, at, k, (RESTART_B, ANCHOR_B))
+        found.append(statistic(a[one], b[other]))
+    stat = np.concatenate(found)
+    stat = stat[np.isfinite(stat)]
+    low, high = np.quantile(stat, [(1 - level) / 2, (1 + level) / 2]).tolist() if len(stat) >= max(1, reps / 10) else (None, None)
+    return float(statistic(a, b)), low, high, length, n / length
+
+
+def effects(series: DataFrame, keys: list[str], a: str, b: str, block: tuple[int, int], reps: int = 2000, statistic=median_difference) -> DataFrame:
+    """series (keys, epoch, phase, value) -> keys, effect, ci_low, ci_high, block, n_effective, crosses_zero, reliable: the interval excludes 0, of 5
+    independent values."""
+    arrays = series_arrays(series, "value", "epoch", keys, _a=F.col("phase") == a, _b=F.col("phase") == b)
+    kinds = {"effect": pa.float64(), "ci_low": pa.float64(), "ci_high": pa.float64(), "block": pa.int64(), "n_effective": pa.float64()}
+    out = over_arrays(arrays, keys, ["_a", "_b"], kinds, lambda x, y: effect_interval(x, y, block, reps, statistic=statistic))
+    crosses = (F.col("ci_low") <= 0) & (F.col("ci_high") >= 0)
+    return out.withColumn("crosses_zero", crosses).withColumn("reliable", F.coalesce(~crosses & (F.col("n_effective") >= 5), F.lit(False)))
 
 
-def effects(series: DataFrame, keys: list[str], a: str, b: str, block: tuple[int, int], reps: int = 2000) -> DataFrame:
-    """series (keys, epoch, phase, value) -> keys, effect, ci_low, ci_high, block, n_effective, reliable: the interval excludes 0, of 5 independent values."""
-    of = lambda p: F.transform(F.array_sort(F.collect_list(F.when((F.col("phase") == p) & F.col("value").isNotNull(), F.struct("epoch", "value")))), lambda e: e["value"])
-    arrays = series.groupBy(*keys).agg(of(a).alias("_a"), of(b).alias("_b"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in arrays.schema.fields if f.name in keys)
-    kinds = {"effect": pa.float64(), "ci_low": pa.float64(), "ci_high": pa.float64(), "block": pa.int64(), "n_effective": pa.float64()}
+def median_intervals(df: DataFrame, value: str, keys: list[str], order: list[str], reps: int = 4000) -> DataFrame:
+    """keys, n, ci_low, ci_high: the interval of the median of independent values by resampling; null below 3 values. The replicates are dealt over tasks."""
+    arrays = series_arrays(df.withColumn("_o", F.struct(*order)), value, "_o", keys, x=F.lit(True)).where(F.size("x") >= 3)
+    parts = arrays.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(250)))).repartition(*keys, "first")
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist())
-            rows = [effect_interval(np.array(x, float), np.array(y, float), block, reps) for x, y in pairs]
-            columns = {k: batch.column(k) for k in keys} | {k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(kinds.items())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+    def medians(x: np.ndarray, first: np.ndarray) -> tuple:
+        at, n = int(first[0]), len(x)
+        draws = (x[np.floor(uniforms(ANCHOR_A, k, 1, n)[0] * n).astype(np.int64)] for k in range(at, min(at + 250, reps)))
+        return ([float(np.median(d)) for d in draws],)
 
-    out = arrays.mapInArrow(task, f"{fields}, effect double, ci_low double, ci_high double, block long, n_effective double")
-    clear = F.col("ci_low").isNotNull() & ((F.col("ci_low") > 0) | (F.col("ci_high") < 0)) & (F.col("n_effective") >= 5)
-    return out.withColumn("reliable", F.coalesce(clear, F.lit(False)))
+    stats_ = over_arrays(parts.withColumn("_first", F.array(F.col("first").cast("double"))), keys, ["x", "_first"], {"stat": pa.list_(pa.float64())}, medians)
+    found = stats_.withColumn("stat", F.explode("stat")).groupBy(*keys).agg(F.percentile("stat", 0.025).alias("ci_low"), F.percentile("stat", 0.975).alias("ci_high"))
+    return df.groupBy(*keys).agg(F.count(value).alias("n")).join(found, keys, "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5) -> DataFrame:
@@ -134,10 +177,14 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5) ->
 
 
 def sign_test(up: Column, n: Column) -> Column:
-    """The exact two-sided sign test, by log-binomials from sums of logarithms: any n."""
+    """The exact two-sided sign test for any n: one pass over k that carries the logarithm of the binomial."""
     low = F.least(up, n - up)
-    log_choose = lambda k: F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), F.lit(0.0), lambda a, i: a + F.log((n - i + 1) / i))
-    total = F.aggregate(F.sequence(F.lit(0).cast("long"), low), F.lit(0.0), lambda a, k: a + F.exp(log_choose(k) - n * F.log(F.lit(2.0))))
+    zero = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"))
+
+    def add(a: Column, k: Column) -> Column:
+        return F.struct((a["log"] + F.log((n - k) / (k + 1))).alias("log"), (a["sum"] + F.exp(a["log"] - n * F.log(F.lit(2.0)))).alias("sum"))
+
+    total = F.aggregate(F.sequence(F.lit(0).cast("long"), low), zero, add)["sum"]
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * total))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import analysis, grid, stats
-from ..sources.tables import samples, table
-from .signals import EV, PHASES, SERIES, centre_sql, member_sql, phase_sql, r6
+from ..sources.tables import samples, table, total
+from .signals import EV, PHASES, SERIES, TOTAL, centre_sql, epochs, member_sql, phase_sql, r6
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +40,7 @@ MS = (
 
 def series(spark, d) -> DataFrame:
     """session, epoch, phase, marker, value; of all rows, neither cleaned nor gated."""
-    ep = grid.assign(samples(spark, d), SERIES)
+    ep = epochs(spark, d, SERIES)
     st = ep.groupBy("session", "epoch").agg(F.count("*").alias("c"), *[F.expr(v).alias(k) for k, v in STATS.items()])
     long = st.unpivot(["session", "epoch", "c"], list(STATS), "marker", "v")
     return long.select("session", "epoch", grid.phase_of(grid.centre(SERIES), PHASES).alias("phase"), "marker", F.when(F.col("c") >= 2, F.col("v")).alias("value"))
@@ -156,29 +157,60 @@ def indexed(spark, d) -> DataFrame:
 
 @query(
     f"{_IX}, m AS (SELECT session, avg(value) AS m, count(*) AS n, var_pop(value) AS v FROM ix GROUP BY session), x AS (SELECT session, i, value - m AS x FROM ix JOIN m USING (session)),"
-    " a AS (SELECT p.session, p.i - q.i AS lag, sum(p.x * q.x) AS s FROM x p JOIN x q ON p.session = q.session AND p.i - q.i BETWEEN 0 AND 40 GROUP BY ALL),"
+    " a AS (SELECT p.session, p.i - q.i AS lag, sum(p.x * q.x) AS s FROM x p JOIN x q ON p.session = q.session AND p.i >= q.i GROUP BY ALL),"
     " f AS (SELECT a.session, min(a.lag) AS f FROM a JOIN (SELECT session, s AS s0 FROM a WHERE lag = 0) z USING (session) WHERE a.lag > 0 AND a.s / z.s0 < 0.3679 GROUP BY a.session),"
     " l AS (SELECT session, n, CASE WHEN n < 4 OR v = 0 THEN 1 ELSE coalesce(f, n // 2) END AS lag FROM m LEFT JOIN f USING (session))"
     " SELECT session, n, lag, least(greatest(2 * lag, 4), 12) AS block FROM l"
 )
 def acf_lag_block_length(spark, d) -> DataFrame:
-    lag = stats.decorrelation_lag(indexed(spark, d), "value", "i", ["session"], SERIES.n - 1)
+    lag = stats.decorrelation_lag(indexed(spark, d), "value", "i", ["session"])
     return lag.select("session", "n", "lag", stats.block_length(F.col("lag"), 4, 12).cast("long").alias("block"))
 
 
-_U = lambda tag: f"(('0x' || substr(md5(concat_ws('|', '{tag}', 'b', session, rep, i)), 1, 8))::BIGINT / 4294967296.0)"
+def hash_sql(e: str) -> str:
+    """stats.hash32 of a whole number below 2 ** 32."""
+    turn = "lambda x: (xor(x >> 16, x) * 73244475) % 4294967296"
+    return f"list_transform(list_transform(list_transform([({e})::BIGINT], {turn}), {turn}), lambda x: xor(x >> 16, x))[1]"
+
+
+def reps_sql(reps: int, streams: int = 4) -> str:
+    """rp: each replicate's part of the hash, by stream."""
+    return f"rp AS (SELECT rep, {', '.join(f'{hash_sql(f'rep * 16 + {s}')} AS h{s}' for s in range(streams))} FROM range({reps}) t(rep))"
+
+
+def uniform_sql(stream: int) -> str:
+    """stats.uniforms of a replicate and a place i."""
+    return f"({hash_sql(f'(h{stream} + i) % 4294967296')} / 4294967296.0)"
+
+
+REPS = 200
 
 
 @query(
-    f"{_IX}, n AS (SELECT session, count(*) AS n FROM ix GROUP BY session), dr AS (SELECT session, i, n, rep FROM ix JOIN n USING (session), range(1, 41) t(rep)),"
-    f" an AS (SELECT *, last_value(CASE WHEN i = 0 OR {_U('r')} < 0.25 THEN floor({_U('a')} * n)::BIGINT * 1000000 + i END IGNORE NULLS) OVER (PARTITION BY session, rep ORDER BY i) AS a FROM dr),"
-    " pk AS (SELECT session, rep, (a // 1000000 + i - a % 1000000) % n AS i FROM an), sb AS (SELECT session, rep, median(value) AS stat FROM pk JOIN ix USING (session, i) GROUP BY session, rep)"
+    f"{_IX}, n AS (SELECT session, count(*) AS n FROM ix GROUP BY session), {reps_sql(REPS, 2)}, dr AS (SELECT session, i, n, rep, h0, h1 FROM ix JOIN n USING (session), rp),"
+    f" an AS (SELECT *, last_value(CASE WHEN i = 0 OR {uniform_sql(0)} < 0.25 THEN floor({uniform_sql(1)} * n)::BIGINT - i END IGNORE NULLS) OVER (PARTITION BY session, rep ORDER BY i) AS a FROM dr),"
+    " pk AS (SELECT session, rep, (a + i) % n AS i FROM an), sb AS (SELECT session, rep, median(value) AS stat FROM pk JOIN ix USING (session, i) GROUP BY session, rep)"
     " SELECT session, count(*) AS reps, round(quantile_cont(stat, 0.025) + 1e-9, 3) AS ci_low, round(quantile_cont(stat, 0.975) + 1e-9, 3) AS ci_high FROM sb GROUP BY session"
 )
 def stationary_bootstrap_ci(spark, d) -> DataFrame:
-    """Of the median of one series, by few replicates, as SQL can follow; effect_bootstrap_ci has the interval of the two-phase effect."""
-    st = stats.stationary_bootstrap(indexed(spark, d), "value", "i", ["session"], 4.0, 40, "b")
-    return st.groupBy("session").agg(F.count("*").alias("reps"), off_tie(F.percentile("stat", 0.025)).alias("ci_low"), off_tie(F.percentile("stat", 0.975)).alias("ci_high"))
+    """Of the median of each session's level, by blocks of 4 on average; effect_bootstrap_ci has the interval of the two-phase effect."""
+    arrays = stats.series_arrays(indexed(spark, d), "value", "i", ["session"], x=F.lit(True))
+    st = stats.over_arrays(arrays, ["session"], ["x"], {"stat": pa.list_(pa.float64())}, lambda x: (stats.median_replicates(x, 4.0, REPS),))
+    point = lambda q: off_tie(F.percentile("s", q))
+    return st.withColumn("s", F.explode("stat")).groupBy("session").agg(F.count("*").alias("reps"), point(0.025).alias("ci_low"), point(0.975).alias("ci_high"))
+
+
+@query(
+    f"{_COHORT}, {reps_sql(4000, 2)}, sx AS (SELECT marker, row_number() OVER (PARTITION BY marker ORDER BY session) - 1 AS i, std_change AS value FROM us WHERE std_change IS NOT NULL),"
+    f" cn AS (SELECT marker, count(*) AS n FROM sx GROUP BY marker), dr AS (SELECT marker, rep, floor({uniform_sql(1)} * n)::BIGINT AS i FROM sx JOIN cn USING (marker), rp),"
+    " sb AS (SELECT marker, rep, median(value) AS stat FROM dr JOIN sx USING (marker, i) GROUP BY marker, rep),"
+    " q AS (SELECT marker, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi FROM sb GROUP BY marker)"
+    " SELECT marker, n, CASE WHEN n >= 3 THEN round(lo + 1e-9, 3) END AS ci_low, CASE WHEN n >= 3 THEN round(hi + 1e-9, 3) END AS ci_high FROM cn LEFT JOIN q USING (marker)"
+)
+def session_median_ci(spark, d) -> DataFrame:
+    """Per marker the interval of the sessions' median standardised change, by 4,000 resamples."""
+    ci = stats.median_intervals(usable(spark, d).where("std_change IS NOT NULL"), "std_change", ["marker"], ["session"])
+    return ci.select("marker", "n", off_tie(F.col("ci_low")).alias("ci_low"), off_tie(F.col("ci_high")).alias("ci_high"))
 
 
 @query()
@@ -200,11 +232,11 @@ def spearman_index(spark, d) -> DataFrame:
 
 
 @query(
-    f"WITH {EV}, iv AS (SELECT session, channel AS label, sample, us AS start, coalesce(lead(us) OVER (PARTITION BY session ORDER BY us, sample), 2678400000000) AS stop FROM ev),"
+    f"WITH {EV}, iv AS (SELECT session, channel AS label, sample, us AS start, coalesce(lead(us) OVER (PARTITION BY session ORDER BY us, sample), {TOTAL}) AS stop FROM ev),"
     " r AS (SELECT *, row_number() OVER (PARTITION BY session, label ORDER BY stop - start DESC, sample) AS k FROM iv) SELECT session, label, start, stop FROM r WHERE k = 1"
 )
 def longest_segment(spark, d) -> DataFrame:
-    iv = grid.intervals(samples(spark, d), F.lit(2_678_400_000_000), ["session"], "us", ["sample"])
+    iv = grid.intervals(samples(spark, d), F.lit(total(spark, d)), ["session"], "us", ["sample"])
     best = iv.groupBy("session", F.col("channel").alias("label")).agg(F.max(F.struct((F.col("end") - F.col("us")).alias("len"), (-F.col("sample")).alias("m"), "us", "end")).alias("b"))
     return best.select("session", "label", F.col("b.us").alias("start"), F.col("b.end").alias("stop"))
 

@@ -6,26 +6,39 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import clean, grid
-from ..sources.tables import DAY, HOUR, samples, table
+from ..sources.tables import DAY, HOUR, samples, table, total
 
-POWER = grid.Grid(2 * HOUR, 2, 31 * DAY)
-CONN = grid.Grid(5 * HOUR, 2, 31 * DAY)
+POWER = grid.Spacing(2 * HOUR, 2)
+CONN = grid.Spacing(5 * HOUR, 2)
 #: The grid on which one session's sparse events make a series.
-SERIES = grid.Grid(12 * HOUR, 2, 31 * DAY)
+SERIES = grid.Spacing(12 * HOUR, 2)
+#: The grid of the window gates, whose epochs hold several events of each channel.
+GATES = grid.Spacing(5 * DAY, 2)
 PHASES = [("CALIBRATION", 0, 10 * DAY), ("MANTRA", 10 * DAY, 25 * DAY), ("SETTLE", 25 * DAY, 31 * DAY)]
 
-EV = "ev AS (SELECT user_id AS session, event_type AS channel, event_id AS sample, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS us, value FROM events)"
+#: Recordings in SQL. hz: their first day, and the microseconds of all their days.
+EV = (
+    "hz AS (SELECT date_trunc('day', min(ts))::TIMESTAMP AS t0, (date_diff('day', min(ts), max(ts)) + 1) * 86400000000 AS total FROM events),"
+    " ev AS (SELECT user_id AS session, event_type AS channel, event_id AS sample, epoch_us(ts) - epoch_us((SELECT t0 FROM hz)) AS us, value FROM events)"
+)
+TOTAL = "(SELECT total FROM hz)"
+
 
+def last_sql(g: grid.Spacing) -> str:
+    """The number of the last whole window."""
+    return f"(({TOTAL} - {g.win}) // {g.hop})"
 
-def member_sql(g: grid.Grid, name: str = "ep", source: str = "ev") -> str:
-    return f"{name} AS (SELECT *, unnest(generate_series(greatest(us // {g.hop} - {g.per - 1}, 0), least(us // {g.hop}, {g.n - 1}))) AS epoch FROM {source} WHERE us < {g.total})"
+
+def member_sql(g: grid.Spacing, name: str = "ep", source: str = "ev") -> str:
+    epochs = f"generate_series(greatest(us // {g.hop} - {g.per - 1}, 0), least(us // {g.hop}, {last_sql(g)}))"
+    return f"{name} AS (SELECT *, unnest({epochs}) AS epoch FROM {source})"
 
 
 def phase_sql(t: str) -> str:
     return "CASE " + " ".join(f"WHEN {t} >= {a} AND {t} < {b} THEN '{p}'" for p, a, b in PHASES) + " ELSE '' END"
 
 
-def centre_sql(g: grid.Grid) -> str:
+def centre_sql(g: grid.Spacing) -> str:
     return f"(epoch * {g.hop} + {g.win // 2})"
 
 
@@ -33,6 +46,11 @@ def r6(c) -> "F.Column":
     return F.round(c if not isinstance(c, str) else F.col(c), 6) + F.lit(0.0)
 
 
+def epochs(spark, d, spacing: grid.Spacing) -> DataFrame:
+    """The samples, once for each window of the recordings that they lie in."""
+    return grid.assign(samples(spark, d), spacing.over(total(spark, d)))
+
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -47,33 +65,36 @@ def query(sql: str | None = None):
     return add
 
 
-def _counts(g: grid.Grid) -> str:
+def _counts(g: grid.Spacing) -> str:
     return f"WITH {EV}, {member_sql(g)} SELECT session, epoch, count(*) AS n, round(stddev_pop(value), 6) + 0.0 AS sd FROM ep GROUP BY session, epoch"
 
 
 @query(_counts(POWER))
 def epoch_grid_counts(spark, d) -> DataFrame:
-    return grid.assign(samples(spark, d), POWER).groupBy("session", "epoch").agg(F.count("*").alias("n"), r6(F.stddev_pop("value")).alias("sd"))
+    return epochs(spark, d, POWER).groupBy("session", "epoch").agg(F.count("*").alias("n"), r6(F.stddev_pop("value")).alias("sd"))
 
 
 @query(_counts(CONN))
 def grid_conn_counts(spark, d) -> DataFrame:
-    return grid.assign(samples(spark, d), CONN).groupBy("session", "epoch").agg(F.count("*").alias("n"), r6(F.stddev_pop("value")).alias("sd"))
+    return epochs(spark, d, CONN).groupBy("session", "epoch").agg(F.count("*").alias("n"), r6(F.stddev_pop("value")).alias("sd"))
 
 
-@query(f"SELECT epoch, epoch * {POWER.hop} AS start, epoch * {POWER.hop} + {POWER.win} AS stop, {centre_sql(POWER)} AS t_center, {phase_sql(centre_sql(POWER))} AS phase FROM range({POWER.n}) t(epoch)")
+@query(
+    f"WITH {EV}, e AS (SELECT unnest(range({last_sql(POWER)} + 1)) AS epoch)"
+    f" SELECT epoch, epoch * {POWER.hop} AS start, epoch * {POWER.hop} + {POWER.win} AS stop, {centre_sql(POWER)} AS t_center, {phase_sql(centre_sql(POWER))} AS phase FROM e"
+)
 def epoch_centers(spark, d) -> DataFrame:
     e = F.col("epoch")
-    return spark.range(POWER.n).withColumnRenamed("id", "epoch").select(
-        "epoch", (e * POWER.hop).alias("start"), (e * POWER.hop + POWER.win).alias("stop"), grid.centre(POWER).alias("t_center"), grid.phase_of(grid.centre(POWER), PHASES).alias("phase")
-    )
+    ends = (e * POWER.hop).alias("start"), (e * POWER.hop + POWER.win).alias("stop")
+    all_epochs = spark.range(POWER.over(total(spark, d)).n).withColumnRenamed("id", "epoch")
+    return all_epochs.select("epoch", *ends, grid.centre(POWER).alias("t_center"), grid.phase_of(grid.centre(POWER), PHASES).alias("phase"))
 
 
 PHASED = f"WITH {EV}, {member_sql(SERIES)}, ph AS (SELECT session, epoch, value, {phase_sql(centre_sql(SERIES))} AS phase FROM ep)"
 
 
 def phased(spark, d) -> DataFrame:
-    return grid.assign(samples(spark, d), SERIES).withColumn("phase", grid.phase_of(grid.centre(SERIES), PHASES))
+    return epochs(spark, d, SERIES).withColumn("phase", grid.phase_of(grid.centre(SERIES), PHASES))
 
 
 @query(f"{PHASED} SELECT session, phase, count(*) AS n, count(DISTINCT epoch) AS epochs FROM ph GROUP BY session, phase")
@@ -82,11 +103,11 @@ def epoch_phase_join(spark, d) -> DataFrame:
 
 
 @query(
-    f"WITH {EV}, iv AS (SELECT session, channel AS phase, us AS start, coalesce(lead(us) OVER (PARTITION BY session ORDER BY us, sample), {31 * DAY}) AS stop FROM ev)"
+    f"WITH {EV}, iv AS (SELECT session, channel AS phase, us AS start, coalesce(lead(us) OVER (PARTITION BY session ORDER BY us, sample), {TOTAL}) AS stop FROM ev)"
     " SELECT session, phase, count(*) AS n, max(stop - start) AS longest FROM iv WHERE stop > start GROUP BY session, phase"
 )
 def phase_interval_build(spark, d) -> DataFrame:
-    iv = grid.intervals(samples(spark, d), F.lit(31 * DAY), ["session"], "us", ["sample"])
+    iv = grid.intervals(samples(spark, d), F.lit(total(spark, d)), ["session"], "us", ["sample"])
     return iv.groupBy("session", F.col("channel").alias("phase")).agg(F.count("*").alias("n"), F.max(F.col("end") - F.col("us")).alias("longest"))
 
 
@@ -145,21 +166,26 @@ def detrend_constant(spark, d) -> DataFrame:
     return clean.detrend(samples(spark, d), "value", "sample", ["session", "channel"], linear=False).select("session", "channel", "sample", r6("flat").alias("flat"))
 
 
-_GATE = (
-    f"WITH {EV}, {member_sql(SERIES)}, dv AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY session, channel, epoch ORDER BY sample)) AS dx FROM ep),"
-    " q AS (SELECT session, epoch, channel, max(abs(value)) <= 120 AND coalesce(max(dx), 0) <= 100 AND coalesce(stddev_pop(value), 0) >= 0.5 AS ok, max(dx) AS step FROM dv GROUP BY session, epoch, channel)"
-)
+def gate_sql(g: grid.Spacing) -> str:
+    return (
+        f"WITH {EV}, {member_sql(g)}, dv AS (SELECT *, abs(value - lag(value) OVER (PARTITION BY session, channel, epoch ORDER BY sample)) AS dx FROM ep),"
+        " q AS (SELECT session, epoch, channel, max(abs(value)) <= 120 AND coalesce(max(dx), 0) <= 100 AND coalesce(stddev_pop(value), 0) >= 0.5 AS ok,"
+        " max(dx) AS step FROM dv GROUP BY session, epoch, channel)"
+    )
+
+
+_GATE = gate_sql(SERIES)
 
 
-def gated(spark, d) -> DataFrame:
+def gated(spark, d, spacing: grid.Spacing = SERIES) -> DataFrame:
     """session, epoch, channel, ok, step: amplitude, step and flatness of each epoch and channel."""
-    ep = grid.assign(samples(spark, d), SERIES)
+    ep = epochs(spark, d, spacing)
     dv = ep.withColumn("dx", F.abs(F.col("value") - F.lag("value").over(Window.partitionBy("session", "channel", "epoch").orderBy("sample"))))
     ok = (F.max(F.abs("value")) <= 120) & (F.coalesce(F.max("dx"), F.lit(0.0)) <= 100) & (F.coalesce(F.stddev_pop("value"), F.lit(0.0)) >= 0.5)
     return dv.groupBy("session", "epoch", "channel").agg(ok.alias("ok"), F.max("dx").alias("step"))
 
 
-#: Channels that all must be good for a window of window_gate_required.
+#: Channels that all must be good for a window to stand.
 REQUIRED = ("click", "view")
 
 
@@ -182,32 +208,32 @@ def epoch_quality_gate(spark, d) -> DataFrame:
     return gated(spark, d).select("session", "epoch", "channel", "ok")
 
 
-@query(
-    f"{_GATE}, e AS (SELECT session, epoch, bool_or(ok) AS ok FROM q GROUP BY session, epoch),"
-    " w AS (SELECT session, epoch AS target, unnest(generate_series(epoch - 2, epoch + 1)) AS epoch FROM e)"
-    " SELECT session, target AS epoch, bool_and(e.ok) AS ok, count(*) AS covered FROM w JOIN e USING (session, epoch) GROUP BY session, target"
-)
+def required_sql(g: grid.Spacing) -> str:
+    """A window stands only if each required channel is good in every epoch that overlaps or touches it at its start; without rows a channel is bad."""
+    return (
+        f"{gate_sql(g)}, c AS (SELECT unnest([{', '.join(f"'{c}'" for c in REQUIRED)}]) AS channel),"
+        f" t AS (SELECT session, unnest(generate_series(0, {last_sql(g)})) AS epoch FROM (SELECT DISTINCT session FROM q)),"
+        f" w AS (SELECT session, epoch AS target, unnest(generate_series(greatest(epoch - 2, 0), least(epoch + 1, {last_sql(g)}))) AS epoch FROM t)"
+        " SELECT w.session, target AS epoch, bool_and(coalesce(q.ok, false)) AS ok, count(DISTINCT w.epoch) AS covered FROM w CROSS JOIN c"
+        " LEFT JOIN q ON q.session = w.session AND q.epoch = w.epoch AND q.channel = c.channel GROUP BY w.session, target"
+    )
+
+
+@query(required_sql(GATES))
 def window_gate_strict(spark, d) -> DataFrame:
-    """A window stands only if every epoch that overlaps or touches it at its start has a good channel; window_gate_required asks it of each channel."""
-    e = gated(spark, d).groupBy("session", "epoch").agg(F.bool_or("ok").alias("ok"))
-    w = e.select("session", F.col("epoch").alias("target"), F.explode(F.sequence(F.col("epoch") - 2, F.col("epoch") + 1)).alias("epoch"))
-    return w.join(e, ["session", "epoch"]).groupBy("session", F.col("target").alias("epoch")).agg(F.bool_and("ok").alias("ok"), F.count("*").alias("covered"))
+    return windows_ok(gated(spark, d, GATES), REQUIRED, GATES.over(total(spark, d)).n)
 
 
-@query(
-    f"{_GATE}, c AS (SELECT unnest([{', '.join(f"'{c}'" for c in REQUIRED)}]) AS channel), t AS (SELECT session, epoch FROM (SELECT DISTINCT session FROM q), range({SERIES.n}) r(epoch)),"
-    f" w AS (SELECT session, epoch AS target, unnest(generate_series(greatest(epoch - 2, 0), least(epoch + 1, {SERIES.n - 1}))) AS epoch FROM t)"
-    " SELECT w.session, target AS epoch, bool_and(coalesce(q.ok, false)) AS ok, count(DISTINCT w.epoch) AS covered FROM w CROSS JOIN c"
-    " LEFT JOIN q ON q.session = w.session AND q.epoch = w.epoch AND q.channel = c.channel GROUP BY w.session, target"
-)
+@query(required_sql(SERIES))
 def window_gate_required(spark, d) -> DataFrame:
-    return windows_ok(gated(spark, d), REQUIRED, SERIES.n)
+    """The same on the fine grid, where hardly an epoch has two good channels."""
+    return windows_ok(gated(spark, d), REQUIRED, SERIES.over(total(spark, d)).n)
 
 
 @query(f"WITH {EV}, {member_sql(SERIES)} SELECT session, epoch, bool_or(abs(value / 50 - 1) > 1.2) AS moved, round(avg(abs(value / 50 - 1)), 6) AS motion FROM ep GROUP BY session, epoch")
 def motion_gate(spark, d) -> DataFrame:
     m = F.abs(F.col("value") / 50 - 1)
-    return grid.assign(samples(spark, d), SERIES).groupBy("session", "epoch").agg(F.bool_or(m > 1.2).alias("moved"), F.round(F.avg(m), 6).alias("motion"))
+    return epochs(spark, d, SERIES).groupBy("session", "epoch").agg(F.bool_or(m > 1.2).alias("moved"), F.round(F.avg(m), 6).alias("motion"))
 
 
 @query(
@@ -234,12 +260,36 @@ def event_props_json(spark, d) -> DataFrame:
     return table(spark, d, "events").select("event_id", k.alias("k")).where("k >= 50")
 
 
+_NAMES = "WITH n AS (SELECT o_orderkey, o_custkey, printf('%d_%s', o_custkey, strftime(o_orderdate, '%H%M%S%d%m%Y')) AS session_name FROM orders)"
+
+
+def session_names(spark, d) -> DataFrame:
+    name = F.concat_ws("_", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "HHmmssddMMyyyy"))
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", name.alias("session_name"))
+
+
+@query(f"{_NAMES} SELECT o_orderkey, session_name, split_part(session_name, '_', 1)::BIGINT AS device FROM n")
+def session_name_parse(spark, d) -> DataFrame:
+    return session_names(spark, d).select("o_orderkey", "session_name", F.split("session_name", "_")[0].cast("long").alias("device"))
+
+
+@query("SELECT count(*) AS sessions, printf('p%03d', max(regexp_extract(printf('p%03d', c_custkey), 'p([0-9]+)', 1)::BIGINT) + 1) AS next_id FROM customer")
+def session_next_id(spark, d) -> DataFrame:
+    """One more than the highest number that a session's name has."""
+    number = F.regexp_extract(F.format_string("p%03d", "c_custkey"), "p([0-9]+)", 1).cast("long")
+    return table(spark, d, "customer").agg(F.count("*").alias("sessions"), F.format_string("p%03d", F.max(number) + 1).alias("next_id"))
+
+
 @query(
-    "SELECT o_orderkey, printf('%d_%s', o_custkey, strftime(o_orderdate, '%H%M%S%d%m%Y')) AS session_name, printf('p%03d', o_custkey % 1000 + 1) AS next_id FROM orders"
+    "WITH s AS (SELECT o_custkey AS device, o_orderkey AS session, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders)"
+    " SELECT device, max(session) FILTER (WHERE k = 1) AS latest, list(session ORDER BY k) AS last_three FROM s WHERE k <= 3 GROUP BY device"
 )
-def session_name_parse(spark, d) -> DataFrame:
-    name = F.concat_ws("_", F.col("o_custkey").cast("string"), F.date_format("o_orderdate", "HHmmssddMMyyyy"))
-    return table(spark, d, "orders").select("o_orderkey", name.alias("session_name"), F.format_string("p%03d", F.col("o_custkey") % 1000 + 1).alias("next_id"))
+def latest_sessions(spark, d) -> DataFrame:
+    """Of each device the session started last, and its last three, the newest first."""
+    newest = F.struct(F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("session"))
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc()))
+    last = table(spark, d, "orders").withColumn("k", k).where("k <= 3").groupBy(F.col("o_custkey").alias("device"))
+    return last.agg(F.max(newest)["session"].alias("latest"), F.transform(F.sort_array(F.collect_list(newest), asc=False), lambda x: x["session"]).alias("last_three"))
 
 
 @query(
@@ -250,14 +300,14 @@ def session_name_parse(spark, d) -> DataFrame:
 def moving_median_smooth(spark, d) -> DataFrame:
     from ..functions.spectral import median5
 
-    s = grid.assign(samples(spark, d), SERIES).groupBy("session", "epoch").agg(F.avg("value").alias("v"))
+    s = epochs(spark, d, SERIES).groupBy("session", "epoch").agg(F.avg("value").alias("v"))
     a = s.groupBy("session").agg(F.transform(F.array_sort(F.collect_list(F.struct("epoch", "v"))), lambda e: e["v"]).alias("x"))
     y = a.select("session", median5(F.col("x")).alias("y"))
     return y.select("session", F.size("y").cast("long").alias("n"), F.round(F.aggregate("y", F.lit(0.0), lambda s, v: s + v), 4).alias("total"), F.round(F.get("y", F.lit(0)), 6).alias("first"))
 
 
 @query(
-    f"WITH {EV}, q AS (SELECT session, unnest(range(0, {31 * DAY}, {12 * HOUR})) AS us FROM (SELECT DISTINCT session FROM ev)),"
+    f"WITH {EV}, q AS (SELECT session, unnest(range(0, {TOTAL}, {12 * HOUR})) AS us FROM (SELECT DISTINCT session FROM ev)),"
     " u AS (SELECT session, us, sample, value, NULL::BIGINT AS grid FROM ev UNION ALL SELECT session, us, -1, NULL, us FROM q),"
     " j AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN us END IGNORE NULLS) OVER p AS t0, last_value(value IGNORE NULLS) OVER p AS v0,"
     " first_value(CASE WHEN value IS NOT NULL THEN us END IGNORE NULLS) OVER f AS t1, first_value(value IGNORE NULLS) OVER f AS v1 FROM u"
@@ -267,7 +317,7 @@ def moving_median_smooth(spark, d) -> DataFrame:
 def lerp_resample(spark, d) -> DataFrame:
     """Each session on a common grid, by linear interpolation between its neighbours; nothing outside them."""
     ev = samples(spark, d)
-    q = ev.select("session").distinct().withColumn("us", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31 * DAY - 1), F.lit(12 * HOUR))))
+    q = ev.select("session").distinct().withColumn("us", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total(spark, d) - 1), F.lit(12 * HOUR))))
     u = ev.select("session", "us", "sample", "value", F.lit(None).cast("long").alias("grid")).unionByName(
         q.select("session", "us", F.lit(-1).cast("long").alias("sample"), F.lit(None).cast("double").alias("value"), F.col("us").alias("grid"))
     )

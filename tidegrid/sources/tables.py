@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
@@ -19,10 +21,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def horizon(events: DataFrame) -> tuple[str, int]:
+    """The first day of the events as a timestamp's text, and the microseconds of the days from it to the last one's end: what grids have to cover."""
+    low, high = events.agg(F.date_trunc("day", F.min("ts")).cast("date").cast("string"), F.date_trunc("day", F.max("ts")).cast("date").cast("string")).first()
+    days = (date.fromisoformat(high) - date.fromisoformat(low)).days + 1 if low else 0
+    return f"{low or '1970-01-01'} 00:00:00", days * DAY
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """session, channel, sample, us (microseconds since the recording's start), value, from the event table."""
-    us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_type").alias("channel"), F.col("event_id").alias("sample"), us.alias("us"), "value")
+    """session, channel, sample, us (microseconds since the first day's start), value, from the event table."""
+    events = table(spark, sf_dir, "events")
+    us = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'{horizon(events)[0]}', ts)")
+    return events.select(F.col("user_id").alias("session"), F.col("event_type").alias("channel"), F.col("event_id").alias("sample"), us.alias("us"), "value")
+
+
+def total(spark: SparkSession, sf_dir: str) -> int:
+    return horizon(table(spark, sf_dir, "events"))[1]
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

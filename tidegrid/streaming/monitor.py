@@ -5,7 +5,6 @@ Streams run with availableNow and write Parquet to the folder the executors shar
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,8 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="spark-tidegrid-")
-        spark.sparkContext.setCheckpointDir(named)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named.rstrip("/")
 
 
