@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import complexity, markers, spectral
 from tidegrid.operators import analysis, clean, grid, stats
-from tidegrid.plans import catalogue, signals
+from tidegrid.plans import catalogue, recordings, signals
 
 SF = "/root/testdata/sf0.001"
 
@@ -170,6 +170,65 @@ def test_bootstrap_numbers_are_uniform_and_stated():
     assert (stats.uniforms(1, 7, 3, 50) == u[7:10]).all() and not (stats.uniforms(2, 0, 3, 50) == u[:3]).any()
 
 
+def vectors_table(spark, path, rows):
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
+
+
+def test_markers_without_their_channels_are_null(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = {k: [float(v) for v in rng.normal(size=64) / 8] for k in range(16)}
+    vectors_table(spark, tmp_path, [(k, v, 0) for k, v in x.items() if k != 8 + 1])  # no F4 in the second window
+    got = {(r["epoch"], r["marker"]): r["value"] for r in recordings.markers_psd(spark, str(tmp_path)).collect()}
+    got |= {(r["epoch"], r["marker"]): r["value"] for r in recordings.markers_pair(spark, str(tmp_path)).collect()}
+    for m in markers.MARKERS:
+        if m.kind != "timeseries":
+            assert got[0, m.id] is not None or m.id == "wpli_alpha1", m.id
+            assert (got[1, m.id] is None) == ("F4" in m.channels), m.id
+    ok = {(r["epoch"], r["channel"]): r["ok"] for r in recordings.quality_gate_full(spark, str(tmp_path)).collect()}
+    assert (1, "F4") not in ok and len(ok) == 11
+
+
+def test_a_new_entry_is_a_new_marker(spark, monkeypatch):
+    own = markers.Marker("own", "psd", ("C3",), "extra", "up", lambda w, channels: w.channel["C3"]["alpha"])
+    monkeypatch.setattr(markers, "MARKERS", [*markers.MARKERS, own])
+    rows = recordings.values(recordings.measured(spark, SF), [markers.get("own")], recordings.PLACE)
+    assert {r["marker"] for r in rows.collect()} == {"own"} and rows.where("value > 0").count() > 0
+
+
+def test_pairs_and_the_gate_follow_their_definitions(spark):
+    t = np.arange(640) / 64
+    rng = np.random.default_rng(5)
+    same, noise, other = np.sin(2 * np.pi * 9 * t), rng.normal(size=640), rng.normal(size=640)
+    late = np.sin(2 * np.pi * 9 * t - np.pi / 2)
+    rows = [(0, (same + noise / 10).tolist(), (same + other / 10).tolist()), (1, noise.tolist(), other.tolist()), (2, same.tolist(), (late + noise / 10).tolist()), (3, same[:64].tolist(), same[:64].tolist()), (4, None, same.tolist())]
+    df = spark.createDataFrame(rows, "k int, a array<double>, b array<double>")
+    r = {x["k"]: x["m"] for x in df.select("k", complexity.pair_measures(F.col("a"), F.col("b"), 64.0, 64, (8, 10)).alias("m")).collect()}
+    assert r[0]["msc"] > 0.6 > r[1]["msc"] and r[2]["imcoh"] > 0.3 > r[0]["imcoh"] and r[2]["wpli"] > 0.5
+    assert r[3]["msc"] is None and r[4]["msc"] is None  # below 19 segments, without a channel
+
+
+def test_ranking_puts_what_artefacts_explain_behind(spark):
+    rows = [("s", "alpha_rel", 90.0, 0.9, 0.7, 0.1), ("s", "beta_rel", 10.0, 0.9, 0.1, None), ("s", "smr_rel", 50.0, 0.9, 0.1, -0.8), ("s", "theta_rel", 40.0, 0.5, 0.1, 0.1), ("s", "lziv", 99.0, 0.9, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "session string, marker string, pct double, coverage double, r_emg double, r_motion double").withColumn("std_change", F.lit(1.0))
+    pool = [m.id for m in markers.markers("marker")]
+    got = [(r["marker"], r["flagged"]) for r in analysis.rank(df, ["session"], 9, pool=pool).orderBy("place").collect()]
+    assert got == [("beta_rel", False), ("alpha_rel", True), ("smr_rel", True), ("theta_rel", True)]
+
+
+def test_display_series():
+    nan = float("nan")
+    line, start = recordings.sparkline(np.array([nan, 1, nan, 3, 5, nan]), np.array([0, 0, 0, 1, 1, 1]))
+    assert line == [1, 1, 2, 3, 5, 5] and start == 0.5
+    assert recordings.sparkline(np.array([nan, 1, nan, 3]), np.array([0, 1, 1, 1])) == ([], None)
+    active = np.array([0, 0, 0, 0, 1, 1, 1])
+    a, b = np.array([nan, 1, 2, 3, nan, 9, 9]), np.array([5.0, 5, 5, 5, 5, 5, nan])
+    start, x, y, fx, fy = recordings.deviations(active, a, b)
+    assert start == 1 and len(x) == 5 and y == [] and fx == 0 and fy is None  # b's baseline and series don't vary
+    assert np.allclose(x[0], (1 - 2) / 1.4826) and x[-1] > x[0]
+    assert recordings.deviations(active, np.full(7, nan), b)[0] == 0  # no common support: the union
+    assert recordings.deviations(active, np.full(7, nan), np.full(7, nan))[0] is None
+
+
 def test_registry():
     assert len(markers.markers("marker")) == 8 and [m.id for m in markers.MARKERS if m.composite] == ["alpha_rel", "beta_rel", "smr_rel"]
     with pytest.raises(KeyError):

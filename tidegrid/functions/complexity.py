@@ -36,6 +36,37 @@ def lempel_ziv(x: Column) -> Column:
     return F.pandas_udf(batch, "double")(x)
 
 
+def pair_measures(x: Column, y: Column, fs: float, seg: int, band: tuple[float, float], least: int = 19) -> Column:
+    """struct<msc, imcoh, wpli> of two signals over a band, both edges in it, from half-overlapping segments of `seg` samples, each less its line and under
+    a Hann taper: coherence, imaginary coherence, debiased squared phase lag index. Null below `least` segments or without both signals."""
+    k = np.arange(seg) - (seg - 1) / 2
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(seg) / seg)
+    freq = np.fft.rfftfreq(seg, 1 / fs)
+    bins = np.flatnonzero((freq >= band[0]) & (freq <= band[1]))
+
+    def spectra(v: np.ndarray) -> np.ndarray:
+        parts = np.lib.stride_tricks.sliding_window_view(v, seg)[:: seg // 2]
+        flat = parts - parts.mean(axis=1, keepdims=True) - np.outer(parts @ k / (k @ k), k)
+        return np.fft.rfft(flat * taper, axis=1)[:, bins]
+
+    def one(a: np.ndarray | None, b: np.ndarray | None) -> tuple:
+        if a is None or b is None or min(len(a), len(b)) < seg or (len(a) - seg) // (seg // 2) + 1 < least or not len(bins):
+            return None, None, None
+        za, zb = spectra(np.asarray(a, float)), spectra(np.asarray(b, float))
+        cross, im = za * zb.conj(), (za * zb.conj()).imag
+        power = (abs(za) ** 2).mean(axis=0) * (abs(zb) ** 2).mean(axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            square = (im**2).sum(axis=0)
+            rest = abs(im).sum(axis=0) ** 2 - square
+            found = abs(cross.mean(axis=0)) ** 2 / power, abs(im.mean(axis=0)) / np.sqrt(power), np.where(rest > 0, (im.sum(axis=0) ** 2 - square) / rest, np.nan)
+        return tuple(float(v[np.isfinite(v)].mean()) if np.isfinite(v).any() else None for v in found)
+
+    def batch(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*v) for v in zip(a, b)], columns=["msc", "imcoh", "wpli"], dtype=object).astype(float)
+
+    return F.pandas_udf(batch, "msc double, imcoh double, wpli double")(x, y)
+
+
 def butterworth_gain(freq: np.ndarray, lo: float, hi: float, order: int, fs: float) -> np.ndarray:
     """Squared magnitude of a digital Butterworth band-pass (bilinear transform), at frequencies below fs / 2."""
     warp = lambda f: np.tan(np.pi * np.asarray(f, float) / fs)

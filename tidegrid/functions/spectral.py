@@ -31,11 +31,16 @@ def mean(values: Column) -> Column:
     return total(values) / F.size(values)
 
 
+def tapered(x: Column, n: int) -> Column:
+    """The window under a periodic Hann taper."""
+    taper = [0.5 - 0.5 * math.cos(2 * math.pi * i / n) for i in range(n)]
+    return F.zip_with(x, F.array(*map(F.lit, taper)), lambda v, w: v * w)
+
+
 def hann(x: Column, n: int) -> Column:
     """The window less its mean, under a periodic Hann taper."""
     m = mean(x)
-    taper = [0.5 - 0.5 * math.cos(2 * math.pi * i / n) for i in range(n)]
-    return F.zip_with(x, F.array(*map(F.lit, taper)), lambda v, w: (v - m) * w)
+    return tapered(F.transform(x, lambda v: v - m), n)
 
 
 def line_removed(x: Column, n: int) -> Column:
@@ -47,13 +52,15 @@ def line_removed(x: Column, n: int) -> Column:
 
 
 def dft(y: Column) -> Column:
-    """The real parts of bins 0 .. n / 2, then the imaginary ones: one FFT over a whole Arrow batch of windows of one length."""
+    """The real parts of bins 0 .. n / 2, then the imaginary ones: one FFT over a whole Arrow batch of windows of one length. Null without a window."""
 
     def batch(windows: pd.Series) -> pd.Series:
-        if not len(windows):
-            return pd.Series([], dtype=object)
-        z = np.fft.rfft(np.stack(windows.to_numpy()), axis=1)
-        return pd.Series(list(np.concatenate([z.real, z.imag], axis=1)))
+        there = windows.notna().to_numpy()
+        if not there.any():
+            return pd.Series([None] * len(windows), dtype=object)
+        z = np.fft.rfft(np.stack(windows[there].to_numpy()), axis=1)
+        rows = iter(np.concatenate([z.real, z.imag], axis=1))
+        return pd.Series([next(rows) if t else None for t in there], dtype=object)
 
     return F.pandas_udf(batch, "array<double>")(y)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,28 +13,40 @@ A, B = "CALIBRATION", "MANTRA"
 
 
 def summarise(series: DataFrame, keys: list[str]) -> DataFrame:
-    """series (keys, phase, value with null where the gate fails) -> baseline, active, n, percent changes, delta, spread, coverage; null below 3 values."""
-    of = lambda p: F.when(F.col("phase") == p, F.col("value"))
-    s = series.groupBy(*keys).agg(
-        F.count(of(A)).alias("n_baseline"), F.count(of(B)).alias("n_active"), F.median(of(A)).alias("_a"), F.median(of(B)).alias("_b"), (F.count("value") / F.count("*")).alias("coverage")
-    )
-    enough = (F.col("n_baseline") >= 3) & (F.col("n_active") >= 3)
-    s = s.withColumn("baseline", F.when(enough, F.col("_a"))).withColumn("active", F.when(enough, F.col("_b"))).drop("_a", "_b")
-    spread = stats.spread(series.where(F.col("phase") == A), "value", keys).select(*keys, "spread")
-    delta = stats.cliffs_delta(series, "value", "phase", A, B, keys).select(*keys, "delta")
-    out = s.join(spread, keys, "left").join(delta, keys, "left")
+    """series (keys, epoch, phase, value with null where the gate fails) -> baseline, active, n, percent changes, delta, spread, coverage; null below 3
+    values. The series is shuffled once, to arrays of either phase."""
+    covered = (F.count("value") / F.count("*")).alias("coverage")
+    known = lambda p: F.collect_list(F.when(F.col("phase") == p, F.col("value").cast("double")))
+    arrays = series.groupBy(*keys).agg(known(A).alias("_a"), known(B).alias("_b"), covered)
+    sizes = [F.size("_a").cast("long").alias("n_baseline"), F.size("_b").cast("long").alias("n_active")]
+    kinds = dict.fromkeys(("baseline", "active", "spread", "delta"), pa.float64())
+    out = stats.over_arrays(arrays.select(*keys, *sizes, "coverage", "_a", "_b"), [*keys, "n_baseline", "n_active", "coverage"], ["_a", "_b"], kinds, stats.two_phase)
     signed = F.col("marker").isin(*SIGNED) if "marker" in keys else F.lit(False)
     return out.withColumn("pct_raw", F.when(F.col("baseline") != 0, (F.col("active") / F.col("baseline") - 1) * 100)).withColumn(
         "pct", F.when(~signed, stats.percent_change(F.col("active"), F.col("baseline"), F.col("spread")))
     ).withColumn("std_change", (F.col("active") - F.col("baseline")) / F.col("spread"))
 
 
-def rank(summary: DataFrame, keys: list[str], limit: int, least_coverage: float = 0.6) -> DataFrame:
-    """Top `limit` by absolute change of each session, poorly covered ones behind the others; ties by marker."""
+def artifact_correlation(series: DataFrame, keys: list[str], indices: list[str]) -> DataFrame:
+    """keys, r_<index> for each index column of the series: rank correlation where both are known, null below 5 epochs."""
+    both = lambda k: F.collect_list(F.when(F.col("value").isNotNull() & F.col(k).isNotNull(), F.struct(F.col("value").cast("double").alias("x"), F.col(k).alias("y"))))
+    pairs = series.groupBy(*keys).agg(*[both(k).alias(k) for k in indices])
+    arrays = pairs.select(*keys, *[F.transform(k, stats.field(n)).alias(f"{n}_{k}") for k in indices for n in "xy"])
+    found = lambda *v: tuple(stats.rank_correlation(v[i], v[i + 1]) for i in range(0, len(v), 2))
+    return stats.over_arrays(arrays, keys, [f"{n}_{k}" for k in indices for n in "xy"], {f"r_{k}": pa.float64() for k in indices}, found)
+
+
+def rank(summary: DataFrame, keys: list[str], limit: int, least_coverage: float = 0.6, most_r: float = 0.5, pool: list[str] | None = None) -> DataFrame:
+    """Top `limit` by absolute change of each session, of the pool's markers if one is named; poorly covered ones, and those that go with r_emg or r_motion
+    if the summary has these, stand behind the others (an unknown correlation flags none); ties by marker."""
     score = F.coalesce(F.abs("pct"), F.abs("std_change"))
     flagged = F.col("coverage") < least_coverage
-    w = Window.partitionBy(*keys).orderBy(flagged.asc(), F.round(score, 6).desc(), F.col("marker").asc())
-    return summary.where(score > 0).withColumn("score", score).withColumn("flagged", flagged).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
+    for r in ("r_emg", "r_motion"):
+        if r in summary.columns:
+            flagged = flagged | F.coalesce(F.round(F.abs(r), 9) > most_r, F.lit(False))
+    rows = summary.where(score > 0) if pool is None else summary.where(score > 0).where(F.col("marker").isin(*pool))
+    w = Window.partitionBy(*keys).orderBy(F.col("flagged").asc(), F.round("score", 6).desc(), F.col("marker").asc())
+    return rows.withColumn("score", score).withColumn("flagged", flagged).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
 def tier(coverage: Column) -> Column:

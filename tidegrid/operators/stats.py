@@ -33,16 +33,48 @@ def cliffs_delta(df: DataFrame, value: str, group: str, a: str, b: str, keys: li
     return out.select(*keys, "n_a", "n_b", F.when((F.col("n_a") > 0) & (F.col("n_b") > 0), delta).alias("delta"))
 
 
+def two_phase(a: np.ndarray, b: np.ndarray) -> tuple:
+    """median of a, of b, 1.4826 times the median distance of a's values from their median, Cliff's delta: null below 3 values (the delta: without any)."""
+    n, m = len(a), len(b)
+    middle = float(np.median(a)) if n else None
+    far = float(MAD * np.median(np.abs(a - middle))) if n >= 3 else 0.0
+    order = np.sort(a)
+    less, most = np.searchsorted(order, b), np.searchsorted(order, b, "right")
+    delta = float((less.sum() - (n - most).sum()) / (n * m)) if n and m else None
+    enough = min(n, m) >= 3
+    return middle if enough else None, float(np.median(b)) if enough else None, far if far > 0 else None, delta
+
+
+def ranks(x: np.ndarray) -> np.ndarray:
+    """Ranks from 1, those of equal values averaged."""
+    _, place, count = np.unique(x, return_inverse=True, return_counts=True)
+    return (np.cumsum(count) - (count - 1) / 2)[place]
+
+
+def rank_correlation(x: np.ndarray, y: np.ndarray, least: int = 5) -> float | None:
+    if len(x) < least:
+        return None
+    a, b = ranks(x), ranks(y)
+    a, b = a - a.mean(), b - b.mean()
+    size = float(np.sqrt((a @ a) * (b @ b)))
+    return float(a @ b) / size if size > 0 else None
+
+
 def delta_label(delta: Column) -> Column:
     d = F.abs(delta)
     return F.when(d < 0.147, "negligible").when(d < 0.33, "small").when(d < 0.474, "medium").when(d.isNotNull(), "large").otherwise("undetermined")
 
 
+def field(name: str) -> Callable[[Column], Column]:
+    """A function that takes a field of structs, for transform()."""
+    return lambda e: e[name]
+
+
 def series_arrays(df: DataFrame, value: str, index: str, keys: list[str], **parts: Column) -> DataFrame:
     """keys and, for each part (a condition), the array of its known values in the order of the index: one shuffle of the series."""
     def of(condition: Column) -> Column:
         pairs = F.collect_list(F.when(condition & F.col(value).isNotNull(), F.struct(F.col(index).alias("i"), F.col(value).cast("double").alias("v"))))
-        return F.transform(F.array_sort(pairs), lambda e: e["v"])
+        return F.transform(F.array_sort(pairs), field("v"))
 
     return df.groupBy(*keys).agg(*[of(c).alias(k) for k, c in parts.items()])
 
