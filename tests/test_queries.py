@@ -44,10 +44,30 @@ def test_filter_gains():
 def test_zero_phase_keeps_what_is_in_the_band():
     t = np.arange(2000) / 250
     x = np.sin(2 * np.pi * 10 * t) + np.sin(2 * np.pi * 100 * t)
-    y = complexity.zero_phase(x, lambda f: complexity.butterworth_gain(f, 1, 45, 4, 250.0), 250.0, 500)
+    y = complexity.zero_phase(x[None], complexity.butterworth_sections(1, 45, 4, 250.0), 27)[0]
     assert np.abs(y - np.sin(2 * np.pi * 10 * t))[700:-700].max() < 0.01
 
 
+def test_sections_have_the_published_gains():
+    t = np.arange(30_000) / 250
+    freqs = [1.0, 10.0, 45.0, 50.0]
+    x = np.array([np.sin(2 * np.pi * f * t) for f in freqs])
+
+    def gains(sections, passes=1):
+        y = complexity.zero_phase(x, sections, 27, passes)[:, 8000:-8000]
+        return 20 * np.log10(y.std(axis=1) / x[:, 8000:-8000].std(axis=1) + 1e-12)
+
+    assert np.allclose(gains(complexity.butterworth_sections(1, 45, 4, 250.0)), [-6.02, 0, -6.02, -12.18], atol=0.02)
+    notch = complexity.notch_section(50.0, 30.0, 250.0)
+    assert np.isclose(gains(notch)[2], -0.226, atol=0.002) and np.isclose(gains(notch, 2)[2], -0.452, atol=0.004) and gains(notch)[3] < -60
+
+
+def test_a_level_passes_a_notch_from_the_first_sample_on():
+    flat = np.full((2, 40), 3.0)
+    assert np.allclose(complexity.zero_phase(flat, complexity.notch_section(16.0, 30.0, 64.0), 9), flat)
+    assert np.allclose(complexity.zero_phase(flat, complexity.butterworth_sections(4, 20, 4, 64.0), 27), 0, atol=1e-9)
+
+
 def test_density_of_a_sine(spark):
     x = [float(v) for v in np.sin(2 * np.pi * 10 * np.arange(64) / 64)]
     p = spark.createDataFrame([(x,)], "x array<double>").select(spectral.periodogram(F.col("x"), 64, 64.0).alias("p"))
@@ -229,6 +249,43 @@ def test_display_series():
     assert recordings.deviations(active, np.full(7, nan), np.full(7, nan))[0] is None
 
 
+def test_scans(spark, tmp_path):
+    import json
+
+    from tidegrid.sources import tables
+
+    head = ",".join(tables.RECORDING_COLUMNS)
+    rows = "\n".join(",".join(str(float(i * 100 + k)) for k in range(17)) for i in range(5))
+    for name, bom, header in (("good", "", head), ("bom", "\ufeff", head), ("bad", "", head.replace("EEG 1", "EEG one"))):
+        (tmp_path / f"{name}.csv").write_text(f"{bom}{header}\n{rows}\n", encoding="utf-8")
+    for name in ("good", "bom"):
+        got = tables.read_recording_csv(spark, f"{tmp_path}/{name}.csv").collect()
+        assert [list(r) for r in got] == [[float(i * 100 + k) for k in range(17)] for i in range(5)]
+    with pytest.raises(Exception):
+        tables.read_recording_csv(spark, f"{tmp_path}/bad.csv").collect()
+    for k, n in (("a", 300), ("b", 70)):
+        (tmp_path / k).mkdir()
+        np.save(tmp_path / k / "raw.npy", np.arange(17 * n, dtype=np.float32).reshape(17, n))
+        events = [{"t_s": 1.5, "kind": "phase", "detail": "MANTRA", "payload": {"x": "1"}}, {"t_s": 9.0, "kind": "mark", "detail": "", "payload": {}}]
+        (tmp_path / k / "events.json").write_text(json.dumps(events))
+    long = tables.read_recording_npy(spark, f"{tmp_path}/*/raw.npy")
+    assert long.count() == 17 * 370 and long.where("sample = 7 AND row = 2 AND file LIKE '%/a/raw.npy'").first()["value"] == 2 * 300 + 7
+    np.save(tmp_path / "short.npy", np.zeros((3, 4), np.float32))
+    with pytest.raises(Exception, match="17"):
+        tables.read_recording_npy(spark, f"{tmp_path}/short.npy").collect()
+    ev = tables.read_events_json(spark, f"{tmp_path}/*/events.json").collect()
+    assert len(ev) == 4 and {(r["kind"], (r["payload"] or {}).get("x")) for r in ev} == {("phase", "1"), ("mark", None)}
+
+
+def test_units_are_told_from_the_spread(spark):
+    from tidegrid.sources import tables
+
+    rng = np.random.default_rng(2)
+    rows = [(s, c, float(v)) for s, scale in (("uv", 20), ("volts", 2e-5)) for c in "abc" for v in rng.normal(size=50) * scale + 1e5 * scale]
+    got = tables.plausible_units(spark.createDataFrame(rows, "session string, channel string, value double")).collect()
+    assert {r["session"]: r["plausible"] for r in got} == {"uv": True, "volts": False}
+
+
 def test_registry():
     assert len(markers.markers("marker")) == 8 and [m.id for m in markers.MARKERS if m.composite] == ["alpha_rel", "beta_rel", "smr_rel"]
     with pytest.raises(KeyError):

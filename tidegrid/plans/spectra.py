@@ -229,22 +229,29 @@ def lempel_ziv(spark, d) -> DataFrame:
 
 @query()
 def zero_phase_bandpass(spark, d) -> DataFrame:
-    band = lambda f: complexity.butterworth_gain(f, 4, 20, 4, 64.0)
-    out = vectors(spark, d).select("vec_id", "x").mapInPandas(complexity.filter_arrays(band, 64.0, 27), "vec_id long, x array<double>")
+    """4 to 20 Hz, of order 4, forward and backward."""
+    band = complexity.filter_arrays(complexity.butterworth_sections(4, 20, 4, 64.0), 27)
+    out = vectors(spark, d).select("vec_id", "x").mapInPandas(band, "vec_id long, x array<double>")
     return out.select("vec_id", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
 
 
 @query()
 def notch_filter(spark, d) -> DataFrame:
-    notch = lambda f: complexity.notch_gain(f, 16.0, 30.0, 64.0) ** 2
-    out = vectors(spark, d).select("vec_id", "x").mapInPandas(complexity.filter_arrays(notch, 64.0, 9), "vec_id long, x array<double>")
+    """16 Hz with quality 30, two passes forward and backward."""
+    notch = complexity.filter_arrays(complexity.notch_section(16.0, 30.0, 64.0), 9, passes=2)
+    out = vectors(spark, d).select("vec_id", "x").mapInPandas(notch, "vec_id long, x array<double>")
     return out.select("vec_id", F.transform("x", lambda v: F.round(v, 6)).alias("x"))
 
 
-@query()
+def registry_sql() -> str:
+    from ..functions.markers import MARKERS
+
+    rows = ", ".join(f"('{m.id}', '{m.kind}', {list(m.channels)}, '{m.role}', '{m.expected}', {str(m.composite).lower()})" for m in MARKERS)
+    return f"SELECT * FROM (VALUES {rows}) t(id, kind, channels, role, expected, composite)"
+
+
+@query(registry_sql())
 def marker_registry(spark, d) -> DataFrame:
     from ..functions.markers import frame
 
     return frame(spark)
-
-

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StringType, StructField, StructType
 
 #: The header of a recording's CSV file, in order.
 RECORDING_COLUMNS = [*(f"EEG {i}" for i in range(1, 9)), *(f"Accelerometer {a}" for a in "XYZ"), *(f"Gyroscope {a}" for a in "XYZ"), "Battery Level", "Counter", "Validation Indicator"]
 RECORDING_SCHEMA = StructType([StructField(c, FloatType()) for c in RECORDING_COLUMNS])
-EVENTS_JSON = ArrayType(StructType([StructField("t_s", DoubleType()), StructField("kind", StringType()), StructField("detail", StringType())]))
+EVENTS_JSON = ArrayType(
+    StructType([StructField("t_s", DoubleType()), StructField("kind", StringType()), StructField("detail", StringType()), StructField("payload", MapType(StringType(), StringType()))])
+)
 
 HOUR = 3_600_000_000
 DAY = 24 * HOUR
@@ -45,10 +51,33 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def read_recording_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A recording's CSV file; a header that differs from RECORDING_COLUMNS fails."""
+    """A recording's CSV file, with or without a byte order mark; a header that differs from RECORDING_COLUMNS fails."""
     return spark.read.schema(RECORDING_SCHEMA).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
+#: Samples of a recording that one row of the scan's first step holds.
+NPY_SAMPLES = 1 << 16
+
+
+def read_recording_npy(spark: SparkSession, path: str) -> DataFrame:
+    """file, row, sample, value of recordings saved as one array of 17 rows each; another shape fails. A file is read by one task, in parts of NPY_SAMPLES."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+                data = np.load(io.BytesIO(content.as_buffer()), allow_pickle=False)
+                if data.ndim != 2 or data.shape[0] != len(RECORDING_COLUMNS):
+                    raise ValueError(f"{name}: {len(RECORDING_COLUMNS)} rows are wanted, the shape is {data.shape}")
+                for row in range(data.shape[0]):
+                    for at in range(0, data.shape[1], NPY_SAMPLES):
+                        part = pa.array([data[row, at : at + NPY_SAMPLES].astype(np.float32)], pa.list_(pa.float32()))
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([row], pa.int32()), pa.array([at], pa.int64()), part], names=["file", "row", "first", "values"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInArrow(parts, "file string, row int, first long, values array<float>")
+    return rows.select("file", "row", "first", F.posexplode("values").alias("at", "value")).select("file", "row", (F.col("first") + F.col("at")).alias("sample"), "value")
+
+
 def read_events_json(spark: SparkSession, path: str) -> DataFrame:
     """The events of session folders: one row for each, with the file it came from."""
     rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.from_json("value", EVENTS_JSON).alias("e"))
