@@ -475,6 +475,77 @@ def channel_agreement(spark, d) -> DataFrame:
     return g.select("session", F.round("agreement", 6).alias("agreement"), "strong", "detected", "most", F.expr(AGREEMENT).alias("verdict"))
 
 
+@query(
+    f"{PSD_SQL}, av AS (SELECT e // {WINDOWS} AS session, {NAMES_SQL} AS channel, freq, avg(power) FILTER (WHERE e % {WINDOWS} < {BASELINE}) AS a, avg(power) FILTER (WHERE e % {WINDOWS} >= {BASELINE}) AS b FROM psd GROUP BY ALL),"
+    " ra AS (SELECT session, channel, freq, CASE WHEN a > 0 THEN coalesce(b / a, 0) ELSE 0 END AS r FROM av WHERE a IS NOT NULL AND b IS NOT NULL),"
+    " sm AS (SELECT session, channel, freq, (r + coalesce(lag(r) OVER o, 0) + coalesce(lead(r) OVER o, 0)) / 3 AS s FROM ra WINDOW o AS (PARTITION BY session, channel ORDER BY freq))"
+    " SELECT session, channel, arg_max(freq, (round(s, 9), -freq)) AS peak, round(max(s), 6) AS ratio FROM sm WHERE freq BETWEEN 7 AND 13 GROUP BY session, channel"
+)
+def reactivity_peak(spark, d) -> DataFrame:
+    """The frequency between 7 and 13 Hz at which a channel's mean density grows most from the first phase to the second, smoothed over three bins."""
+    x = F.col("x")
+    rows = placed(channels(spark, d).where(F.col("c") < len(EEG)).withColumn("p", S.periodogram(x, N, FS)))
+    long = rows.select("session", "phase", F.get(F.array(*map(F.lit, EEG)), F.col("c")).alias("channel"), F.posexplode("p").alias("freq", "power"))
+    of = lambda p: F.avg(F.when(F.col("phase") == p, F.col("power")))
+    mean = long.groupBy("session", "channel", "freq").agg(of(analysis.A).alias("a"), of(analysis.B).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    ratio = F.when(F.col("a") > 0, F.coalesce(F.col("b") / F.col("a"), F.lit(0.0))).otherwise(0.0)
+    arrays = mean.groupBy("session", "channel").agg(F.transform(F.array_sort(F.collect_list(F.struct("freq", ratio.alias("r")))), stats.field("r")).alias("r"))
+    band = F.slice(S.box(F.col("r"), 3), 8, 7)
+    top = F.array_max(F.transform(band, lambda v, i: F.struct(F.round(v, 9).alias("s"), (-i).alias("i"))))
+    return arrays.select("session", "channel", (7 - top["i"]).cast("long").alias("peak"), F.round(F.array_max(band), 6).alias("ratio"))
+
+
+# --- ocular regression
+
+#: Samples a blink reaches beyond its own, its threshold, and the blink samples without which all samples are fitted.
+BLINK_PAD, BLINK, BLINK_LEAST = 4, 0.12, 24
+OCULAR, THETA = (1, 5), (4, 7)
+
+
+def ocular(*x: np.ndarray) -> tuple:
+    """Of a window of four target channels, Fp1 and Fp2: blink samples, whether all samples were fitted, and by target the weights of the ocular band's mean
+    and difference and the share of theta variance that their subtraction removes."""
+    x = np.array(x)
+    z = np.fft.rfft(x - x.mean(axis=1, keepdims=True), axis=1)
+    inside = (np.arange(z.shape[1]) >= OCULAR[0]) & (np.arange(z.shape[1]) <= OCULAR[1])
+    fp = np.fft.irfft(z[4:] * inside, N, axis=1)
+    near = np.abs(fp).max(axis=0) > BLINK
+    blink = np.array([near[max(0, i - BLINK_PAD) : i + BLINK_PAD + 1].any() for i in range(N)])
+    fit = blink if blink.sum() >= BLINK_LEAST else np.ones(N, bool)
+    design = np.stack([fp.mean(axis=0), fp[1] - fp[0], np.ones(N)], axis=1)
+    weights = np.linalg.lstsq(design[fit], x[:4, fit].T, rcond=None)[0]
+    after = np.fft.rfft(x[:4] - (design[:, :2] @ weights[:2]).T, axis=1)
+    band = slice(THETA[0], THETA[1] + 1)
+    before = (np.abs(z[:4, band]) ** 2).sum(axis=1)
+    removed = [1 - float(v / b) if b > 0 else None for v, b in zip((np.abs(after[:, band]) ** 2).sum(axis=1), before)]
+    return int(blink.sum()), int(fit.all()), weights[0].tolist(), weights[1].tolist(), removed
+
+
+@query(
+    f"WITH {X_SQL}, fu AS (SELECT e FROM x WHERE c < 6 GROUP BY e HAVING count(*) = 6), v AS (SELECT e, c, n, x[n + 1] - list_avg(x) AS v FROM x JOIN fu USING (e), range(64) t(n) WHERE c < 6),"
+    " ft AS (SELECT e, c, f, sum(v * cos(2 * pi() * f * n / 64)) AS re, sum(v * sin(2 * pi() * f * n / 64)) AS im FROM v, range(1, 8) t(f) GROUP BY e, c, f),"
+    " ob AS (SELECT e, c, n, 2 / 64.0 * sum(re * cos(2 * pi() * f * n / 64) + im * sin(2 * pi() * f * n / 64)) AS b FROM ft, range(64) t(n) WHERE c >= 4 AND f <= 5 GROUP BY e, c, n),"
+    " rg AS (SELECT e, n, avg(b) AS m, max(b) FILTER (WHERE c = 5) - max(b) FILTER (WHERE c = 4) AS d, max(abs(b)) AS a FROM ob GROUP BY e, n),"
+    f" bk AS (SELECT *, max(a > {BLINK}) OVER (PARTITION BY e ORDER BY n ROWS BETWEEN {BLINK_PAD} PRECEDING AND {BLINK_PAD} FOLLOWING) AS blink FROM rg),"
+    f" bn AS (SELECT e, count(*) FILTER (WHERE blink) AS blinks FROM bk GROUP BY e), ft2 AS (SELECT v.e, v.c, v.n, v.v AS y, m, d FROM v JOIN bk ON v.e = bk.e AND v.n = bk.n JOIN bn ON bn.e = v.e WHERE v.c < 4 AND (blink OR blinks < {BLINK_LEAST})),"
+    " gs AS (SELECT e, c, count(*) AS k, regr_sxx(m, m) AS mm, regr_sxx(d, d) AS dd, regr_sxy(m, d) AS md, regr_sxy(y, m) AS my, regr_sxy(y, d) AS dy FROM ft2 GROUP BY e, c),"
+    " bt AS (SELECT e, c, (my * dd - dy * md) / (mm * dd - md * md) AS wm, (dy * mm - my * md) / (mm * dd - md * md) AS wd FROM gs),"
+    " rf AS (SELECT a.e, a.f, CASE WHEN a.f <= 5 THEN (a.re + b.re) / 2 ELSE 0 END AS mr, CASE WHEN a.f <= 5 THEN (a.im + b.im) / 2 ELSE 0 END AS mi, CASE WHEN a.f <= 5 THEN b.re - a.re ELSE 0 END AS dr,"
+    " CASE WHEN a.f <= 5 THEN b.im - a.im ELSE 0 END AS di FROM ft a JOIN ft b ON a.e = b.e AND a.f = b.f AND a.c = 4 AND b.c = 5),"
+    " va AS (SELECT ft.e, ft.c, 1 - sum(pow(re - wm * mr - wd * dr, 2) + pow(im - wm * mi - wd * di, 2)) / sum(re * re + im * im) AS removed FROM ft JOIN bt ON ft.e = bt.e AND ft.c = bt.c JOIN rf ON rf.e = ft.e AND rf.f = ft.f WHERE ft.f >= 4 GROUP BY ft.e, ft.c)"
+    f" SELECT {SESSION_SQL}, {NAMES_SQL} AS channel, blinks, blinks < {BLINK_LEAST} OR blinks = 64 AS all_samples, round(wm, 5) + 0.0 AS of_mean, round(wd, 5) + 0.0 AS of_difference, round(removed, 5) + 0.0 AS theta_removed"
+    " FROM bt JOIN va USING (e, c) JOIN bn USING (e)"
+)
+def ocular_regression(spark, d) -> DataFrame:
+    w = windows(spark, d)
+    whole = w.where(" AND ".join(f"x_{c} IS NOT NULL" for c in EEG))
+    numbers, lists = ("blinks", "all_samples"), ("of_mean", "of_difference", "theta_removed")
+    kinds = dict.fromkeys(numbers, pa.int64()) | dict.fromkeys(lists, pa.list_(pa.float64()))
+    out = stats.over_arrays(whole, PLACE, [f"x_{c}" for c in EEG], kinds, ocular).withColumn("channel", F.array(*map(F.lit, markers.FOUR)))
+    long = out.select(*PLACE, "blinks", (F.col("all_samples") == 1).alias("all_samples"), F.inline(F.arrays_zip("channel", *lists)))
+    return long.select(*PLACE, "channel", "blinks", "all_samples", *[(F.round(c, 5) + 0.0).alias(c) for c in lists])
+
+
 # --- montage checks and contact
 
 MIN_R, MAX_DIFF, DOMINANCE = 0.98, 0.02, 1.0

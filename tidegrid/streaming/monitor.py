@@ -5,6 +5,8 @@ Streams run with availableNow and write Parquet to the folder the executors shar
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="spark-tidegrid-")
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
