@@ -145,6 +145,22 @@ def test_items_of_few_words_are_found_whole(spark):
     assert kept == set(texts) - {n for n, _ in want}
 
 
+def test_long_items_are_verified_in_bounded_portions(monkeypatch):
+    rng = random.Random(10)
+    items = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) for n in (200_000, 30, 9)]
+    words, starts = decontamination.joined(items)
+    block = decontamination.Block(np.arange(3), words, starts, 8)
+    long = items[0].split()
+    for at in range(3, len(long), 6):
+        long[at] = "other"
+    texts = [" ".join(long), items[1], f"{items[2]} {items[1]}", "none of it"]
+    sizes, segments = [], decontamination.Block._segments
+    monkeypatch.setattr(decontamination.Block, "_segments", lambda self, *a: [sizes.append((len(a[-1]), int(a[-1].sum()))), segments(self, *a)][1])
+    got = np.array(block.overlaps(*decontamination.joined(texts))).T.tolist()
+    assert {(t, i) for t, i, *_ in got} == {(0, 0), (1, 1), (2, 1), (2, 2)}
+    assert max(x[2] for x in got) == sum(w != "other" for w in long) and all(n == 1 or total <= decontamination.CELLS for n, total in sizes)
+
+
 def test_overlaps_find_whole_items_as_brute_force_does(spark, texts):
     norm = lambda t: " " + re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", t).strip() + " "
     items = {r["item_id"]: norm(r["text"].lower()) for r in table(spark, "benchmark").collect()}
@@ -504,7 +520,7 @@ def auc(y, s):
     return (ranks[y == 1].sum() - pos * (pos + 1) / 2) / (pos * (len(y) - pos))
 
 
-@pytest.mark.parametrize(("module", "column", "mod", "out", "least"), [(toxicity, "toxic", 4, 2, 0.75), (quality, "quality", 5, 0, 0.9)])
+@pytest.mark.parametrize(("module", "column", "mod", "out", "least"), [(toxicity, "toxic", 4, 2, 0.9), (quality, "quality", 5, 0, 0.95)])
 def test_held_out_accuracy(spark, module, column, mod, out, least):
     d = "/root/testdata/sf0.1"
     f = next(iter(module.QUERIES.values()))
@@ -672,6 +688,33 @@ def test_shards_are_whole_and_grow_into_the_new_one(spark, texts):
     assert len(copies) == 7 and sorted(r["slot"] for r in copies if r["doc_id"] == 1) == sorted({r["slot"] for r in copies if r["doc_id"] == 1})
 
 
+@pytest.mark.parametrize("bits", [1, 3, None])
+def test_shards_and_slots_equal_brute_force(spark, texts, bits):
+    from pyspark.sql import functions as F
+
+    weights = [1.0, 2.5, 0.5]
+    rows = [*texts.items(), (1, texts[min(texts)]), (None, "x"), (None, None)]
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("\0null"))
+    hashes = docs(spark, rows).select("doc_id", "text", *[F.xxhash64(F.lit(5), key, F.lit(s)).alias(f"h{s}") for s in range(4)]).collect()
+    text = F.coalesce("text", F.lit(""))
+    size, crc = (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("crc")
+    order = {(r[0], r[1], r[2]): r[3] % (1 << 64) for r in docs(spark, rows).select("doc_id", size, crc).select("*", F.xxhash64(F.lit(6), "doc_id", "size", "crc")).collect()}
+    best = lambda r, w: min(range(len(w)), key=lambda s: (-np.log(((r[f"h{s}"] % (1 << 64) >> 11) + 0.5) / (1 << 53)) / w[s], s))
+    want = defaultdict(list)
+    for r in hashes:
+        data = (r["text"] or "").encode()
+        want[best(r, weights)].append((order[r["doc_id"], len(data) + 8, zlib.crc32(data)], r["doc_id"], len(data) + 8, zlib.crc32(data), best(r, [*weights, weights[-1]])))
+    expected = sorted(((x[1], x[2], x[3], s, k, x[4]) for s, v in want.items() for k, x in enumerate(sorted(v, key=lambda x: x[0]))), key=str)
+    got = sharding.shard(docs(spark, rows), weights, seed=5, range_bits=bits).collect()
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"], r["grown_shard"]) for r in got), key=str) == expected
+
+
+def test_long_segments_are_copied_whole():
+    values = pa.array(["a" * 5000, "", None, "bc", "é" * 9000])
+    got, sizes = chat.assemble([b"<", chat.escape(values), b">"])
+    assert got.to_pylist() == [f"<{v or ''}>" for v in values.to_pylist()] and sizes[1].tolist() == [5000, 0, 0, 2, 18000]
+
+
 # --- all of them
 
 
@@ -700,3 +743,11 @@ def test_queries_on_odd_tables(spark, name, tmp_path):
             assert sorted(r["doc_id"] for r in got) == [1, 1, 2, 3, 4, 5, 6]
         elif name.startswith("op6"):
             assert sorted({(r["doc_id"], r["item_id"]) for r in got}) == [(1, 1), (6, 1)]
+        elif name.startswith("op4"):
+            told = html_text.main_text(PAGE)
+            assert sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in got), key=str) == sorted([(1, None, "", 0), (None, "u", told, len(told)), (2, "u", "", 0)], key=str)
+        else:
+            digest = lambda *turns: hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+            said = "</s>[INST] ok [/INST]"
+            want = {1: digest(("user", ""), ("user", "")), None: digest(("", "x")), -1: digest(("user", said), ("assistant", said))}
+            assert {r["conv_id"]: r["turns_sha256"] for r in got} == want and {r["conv_id"]: r["loss_chars"] for r in got} == {1: 0, None: 0, -1: len(said)}

@@ -43,3 +43,28 @@ def test_stages(spark, tmp_path, tiktoken_own):  # noqa: F811
 
 def test_run_equals_its_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_run_on_odd_tables(spark, tmp_path, empty):
+    """Nulls in any column, empty and very long texts, repeated rows, extra columns with clashing names; then empty tables."""
+    from pyspark.sql import functions as F
+
+    text = "some words of a text that stand here and there and go on " * 3
+    rows = [(1, text, "en", "s", 5), (1, text, "en", "s", 5), (2, None, None, None, None), (3, "", "en", None, 0), (4, "word " * 60_000, "en", "s", 7), (None, text + "x y z", None, "s", 1), (6, text + " end", "de", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({"score": F.lit("x"), "predicted": F.lit(9), "node": F.lit("x"), "token_ids": F.lit("x"), "kept": F.lit(False)})
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (6, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    benchmark = spark.createDataFrame([(1, "no document has these words in a row"), (2, None)], "item_id long, text string")
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", benchmark)):
+        (df.limit(0) if empty else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_sha256"]
+    out = got.collect()
+    if empty:
+        assert out == []
+    said = {i: t or "" for i, t, *_ in rows}
+    for r in out:
+        assert len(r["token_ids"]) == r["n_tokens"] and r["decoded_sha256"] == hashlib.sha256(said[r["doc_id"]].encode()).hexdigest()
+    ids = [r["doc_id"] for r in out]
+    assert len(ids) == len(set(ids))

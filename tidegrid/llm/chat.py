@@ -7,8 +7,9 @@ stands inside a text and unescaping gives back every text exactly. The loss mask
 Assembly. For a batch of turns the segment lengths give cumulative offsets, these give the scatter indices of headers, contents and endings, and
 numpy copies all bytes into one preallocated buffer that becomes the Arrow column. The formatted turns of a conversation, in the order of its turns,
 are its formatted text. Readers take the turns sorted by conversation, one at a time: a conversation of any length needs no more memory than a turn.
+The digest of a conversation runs over its turns in order, so one conversation is read back in one task, however many turns it has.
 
-Edge cases: null texts and roles count as empty; equal turn numbers are ordered by role, then text; a null conv_id is a conversation of its own and
+Edge cases: null texts and roles count as empty; equal turn numbers are ordered by role, then text, both as escaped; a null conv_id is a conversation of its own and
 null turns come first; an empty conversation doesn't exist; repeated rows are turns of their own; other columns are ignored.
 """
 
@@ -31,6 +32,9 @@ START, MIDDLE, END = b"<|im_start|>", b"\n", b"<|im_end|>\n"
 CONTROL = r"([<\[])(\\*)(\||/?s>|/?INST\]|</?SYS>>)"
 ESCAPED = re.compile(r"([<\[])\\(\\*)(\||/?s>|/?INST\]|</?SYS>>)")
 
+#: Bytes from which a segment is copied as a slice.
+SEGMENT = 4096
+
 FORMATTED = "conv_id long, turn long, formatted string, loss_start long, loss_stop long, n_chars long"
 
 
@@ -53,7 +57,11 @@ def unescape(text: str) -> str:
 
 
 def scatter(out: np.ndarray, to: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
-    """Copy segment i, data[starts[i]:][:sizes[i]], to out[to[i]:]."""
+    """Copy segment i, data[starts[i]:][:sizes[i]], to out[to[i]:]: short segments by one index array for many, long ones each as a slice."""
+    for i in np.flatnonzero(sizes > SEGMENT).tolist():
+        out[to[i] : to[i] + sizes[i]] = data[starts[i] : starts[i] + sizes[i]]
+    short = np.flatnonzero(sizes <= SEGMENT)
+    to, starts, sizes = to[short], starts[short], sizes[short]
     within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out[np.repeat(to, sizes) + within] = data[np.repeat(starts, sizes) + within]
 

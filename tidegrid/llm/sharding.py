@@ -3,7 +3,8 @@
 A record goes to the shard of the least cost -ln(u) / weight, u being a hash of (seed, key, shard) in (0, 1). A shard's cost for a key
 depends on nothing else, so a new shard takes records only into itself and a removed one gives up only its own.
 The slot is the record's rank within its shard in the order of a hash of the whole record, found without a window over a whole shard:
-equal records are counted first, ranked within ranges of the hash, and the ranges' sizes (shards x ranges rows, a fixed bound) are summed up before them.
+equal records are counted first, ranked within ranges of the hash, and the ranges' sizes are summed up before them. There are as many ranges as keep
+some RANGE_ROWS rows in each, so the table of their sizes has one row for about as many records.
 
 Edge cases: null text counts 8 bytes and has the crc of an empty one; a null key is a key of its own; equal rows get slots of their own;
 an empty table gives an empty result; other columns are ignored, so their names cannot clash.
@@ -20,6 +21,8 @@ from .common import table
 
 #: Rows of one explode() array when a count of equal records is spread out again.
 CHUNK = 65_536
+#: Rows that a range of a shard should have, and the least number of ranges as a power of two.
+RANGE_ROWS, LEAST_BITS = 100_000, 6
 
 
 def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
@@ -32,11 +35,14 @@ def rendezvous(key: Column, weights: Sequence[float], seed: int = 0) -> Column:
     return (F.least(*costs) if len(costs) > 1 else costs[0])["shard"]
 
 
-def shard(df: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", seed: int = 0, range_bits: int = 6) -> DataFrame:
+def shard(df: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_col: str = "text", seed: int = 0, range_bits: int | None = None) -> DataFrame:
     """One row for each record: its shard under these weights, its slot there, and its shard once one more of the last weight is added.
 
-    range_bits: 2 ** range_bits ranges of a shard are ranked apart; more of them make smaller groups and never change a slot.
+    range_bits (1 at least): 2 ** range_bits ranges of a shard are ranked apart, by default as the number of rows asks; their number never changes a slot.
     """
+    if range_bits is None:
+        share = max(weights) / sum(weights)
+        range_bits = max(LEAST_BITS, int(df.count() * share / RANGE_ROWS).bit_length())
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(
         F.col(id_col).alias("doc_id"),
