@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where the session names none (tests)."""
+    """The folder that all executors share, as spark.checkpoint.dir or the session's checkpoint folder names it; one of this machine's where the driver is
+    the only executor and none is named, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="spark-tidegrid-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -40,11 +44,23 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table made by cut() that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+class Scratch:
+    """The written tables of one operator; drop() deletes those that nothing reads any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def cut(self, df: DataFrame, tag: str) -> DataFrame:
+        self.tables.append(cut(df, tag))
+        return self.tables[-1]
+
+    def drop(self, *keep: DataFrame) -> None:
+        for df in self.tables:
+            if not any(df is k for k in keep):
+                spark = df.sparkSession
+                path = spark._jvm.org.apache.hadoop.fs.Path(df.cut_path)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.tables = list(keep)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,8 @@ which side's text it resembles. What a text's windows give together (means, shar
 whose weights, hence thresholds, are fitted on labelled rows that the dictionaries were not trained on.
 
 A model is fitted on the driver on a bounded sample of labelled rows: at most `per_class` rows of each label, the first in the order of a hash of the
-id, of at most `max_bytes` bytes, and the least text of an id that has several. Everything else covers whole texts of all rows. The models weigh some 200 KB and travel with the tasks.
+id, of at most `max_bytes` bytes, and the least text of an id that has several. Of these rows' windows each dictionary is trained on `train_windows` to
+twice as many, evenly spaced where there are more. Everything else covers whole texts of all rows. The models weigh some 200 KB and travel with the tasks.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ MEASURES = 14
 
 
 class Method(NamedTuple):
-    """The parameters of a fit. contrast: the positive side's dictionary is trained on what sets its texts apart, and laid over the other's."""
+    """The parameters of a fit. contrast: the positive side's dictionary is trained on the words that set its texts apart, and laid over the other's."""
 
     window: int
     level: int
@@ -39,6 +40,7 @@ class Method(NamedTuple):
     contrast: bool
     per_class: int = 2500
     max_bytes: int = 32_768
+    train_windows: int = 60_000
     cut: float = 0.3
 
 
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, held_out: Callable[[Col
         if not train or not tune:
             part[k] = (texts[k], texts[k])
     pieces = {k: [w for t in train for w in windows(t, method.window)] for k, (train, _) in part.items()}
-    step = {k: max(1, len(v) // 60_000) for k, v in pieces.items()}
+    step = {k: max(1, len(v) // method.train_windows) for k, v in pieces.items()}
     negative = trained(pieces[0][:: step[0]], method.dict_bytes)
     if method.contrast and texts[0] and texts[1]:
         telling = telling_words(part[1][0], part[0][0])

@@ -1,7 +1,8 @@
 """Toxicity by compression distance: dictionaries of toxic and of ordinary text, windows of some 24 bytes, calibrated thresholds.
 
-Toxic texts are mostly ordinary ones, so the toxic dictionary is trained on what sets them apart and laid over the ordinary dictionary: an ordinary
-window then compresses alike with both, and a window with toxic words shorter with the toxic one.
+Toxic texts are mostly ordinary ones, so a dictionary of whole toxic texts tells little. The toxic dictionary is trained on the words that a
+significance test finds far more often in toxic texts, and laid over the ordinary dictionary: an ordinary window then compresses alike with both, and a
+window with such words shorter with the toxic one. The selection of words is a departure from plain compression distance; the README has the figures.
 
 Edge cases: null and empty texts have no windows and get the score of an all-zero measure; without labels of both kinds every score is the share of
 label 1 (0.5 if there are none); labels of null ids and labels other than 0 and 1 are ignored; a null doc_id is scored, held_out is null; repeated
