@@ -286,6 +286,29 @@ def test_units_are_told_from_the_spread(spark):
     assert {r["session"]: r["plausible"] for r in got} == {"uv": True, "volts": False}
 
 
+def test_streams_go_on_over_batches_and_restarts(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tidegrid.streaming import monitor
+
+    def add(name, ids):
+        rows = [(i, datetime(2024, 1, 1) + timedelta(hours=i), i % 2, "click", float(i), "{}") for i in ids]
+        df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+        return rows
+
+    add("a", range(0, 40))
+    add("b", [*range(40, 60), *range(70, 80)])
+    of = lambda: monitor.counter_gaps(monitor.events_stream(spark, str(tmp_path), files=1))
+    total = lambda df: {r["session"]: (r["gaps"], r["seen"]) for r in df.groupBy("session").agg(F.sum("gaps").alias("gaps"), F.sum("seen").alias("seen")).collect()}
+    assert total(monitor.drained(of(), f"{tmp_path}/run")) == {0: (1, 35), 1: (1, 35)}  # counters of one user go up by two
+    add("c", range(90, 100))
+    assert total(monitor.drained(of(), f"{tmp_path}/run")) == {0: (2, 40), 1: (2, 40)}
+    windows = monitor.session_windows(monitor.events_stream(spark, str(tmp_path), files=1), "5 hours", "1 hour")
+    got = sorted((r["session"], r["n"]) for r in monitor.drained(windows).collect())
+    assert got == [(0, 5), (0, 30), (1, 5), (1, 30)]
+
+
 def test_registry():
     assert len(markers.markers("marker")) == 8 and [m.id for m in markers.MARKERS if m.composite] == ["alpha_rel", "beta_rel", "smr_rel"]
     with pytest.raises(KeyError):

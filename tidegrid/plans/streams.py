@@ -21,7 +21,7 @@ def stream_contact_windows(spark, d) -> DataFrame:
 
 
 def stream_counter_gaps(spark, d) -> DataFrame:
-    out = monitor.drained(monitor.counter_gaps(monitor.events_stream(spark, d)), "append")
+    out = monitor.drained(monitor.counter_gaps(monitor.events_stream(spark, d)))
     return out.groupBy("session").agg(F.sum("gaps").alias("gaps"), F.sum("seen").alias("seen"))
 
 

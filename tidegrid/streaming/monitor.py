@@ -26,19 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_stream(spark: SparkSession, sf_dir: str, files: int = 64) -> DataFrame:
+    """The event files as a stream, the oldest first, at most so many in a micro-batch."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(f"{sf_dir}/events.parquet*")
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/events.parquet*")
     return s.withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over all there is, then read what it wrote."""
-    spark, base = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
-    else:
-        stream.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"{base}/out")).outputMode(mode).option("checkpointLocation", f"{base}/log").trigger(availableNow=True).start().awaitTermination()
+def drained(stream: DataFrame, base: str | None = None) -> DataFrame:
+    """Run a stream over all there is, then read what it wrote. With a base folder, a later call goes on from where an earlier one ended."""
+    spark = stream.sparkSession
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    sink = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log")
+    sink.trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
