@@ -132,6 +132,17 @@ def cohort_aggregate(spark, d) -> DataFrame:
     return c.select("marker", "n", (F.round("median_pct", 4) + 0.0).alias("median_pct"), r6("median_std").alias("median_std"), "n_up", "n_down", F.round("p", 6).alias("p"), "consistent", "direction")
 
 
+@query(
+    f"{_COHORT}, c AS (SELECT marker, count(std_change) AS n, median(std_change) AS md FROM us GROUP BY marker HAVING count(std_change) >= 3)"
+    " SELECT marker, n, row_number() OVER (ORDER BY abs(round(md, 9)) DESC, marker) AS position FROM c"
+)
+def cohort_order(spark, d) -> DataFrame:
+    """The markers that three sessions or more tell of, the largest median change first. One row a marker, so the order is found in one task."""
+    c = analysis.cohort(usable(spark, d)).where("n >= 3")
+    position = F.row_number().over(Window.orderBy(F.abs(F.round("median_std", 9)).desc(), "marker"))
+    return c.select("marker", "n", position.cast("long").alias("position"))
+
+
 @query(f"{SM} SELECT session, count(*) FILTER (WHERE n_baseline >= 5 AND spread > 0 AND abs(std_change) <= 20) AS kept, count(*) FILTER (WHERE n_baseline >= 5 AND spread > 0 AND abs(std_change) > 20) AS degenerate, round(avg(coverage), 6) AS coverage FROM sm GROUP BY session")
 def session_summary_degenerate(spark, d) -> DataFrame:
     enough = "n_baseline >= 5 AND spread > 0 AND abs(std_change)"

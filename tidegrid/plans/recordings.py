@@ -718,3 +718,24 @@ def baseline_deviation_series(spark, d) -> DataFrame:
     arrays = display_arrays(wide, ["session"], {"active": (F.col("phase") == analysis.B).cast("int")} | {k: F.col(k) for k in SHOWN})
     kinds = {"start": pa.int64()} | {k: pa.list_(pa.float64()) for k in SHOWN} | {f"filled_{k}": pa.float64() for k in SHOWN}
     return stats.over_arrays(arrays, ["session"], ["active", *SHOWN], kinds, deviations)
+
+
+SHOWN_SQL = "('" + "', '".join(SHOWN) + "')"
+
+
+@query(f"{ALL_SQL} SELECT session, epoch, bool_and(value IS NOT NULL) AS common, bool_or(value IS NOT NULL) AS any_known FROM ms WHERE marker IN {SHOWN_SQL} GROUP BY session, epoch")
+def display_support(spark, d) -> DataFrame:
+    """Where all shown markers are known, and where any is: the axis of a display is the one, or the other where the one is empty."""
+    known = F.col("value").isNotNull()
+    s = gated_series(spark, d, [markers.get(k) for k in SHOWN])
+    return s.groupBy("session", "epoch").agg(F.bool_and(known).alias("common"), F.bool_or(known).alias("any_known"))
+
+
+@query(
+    f"{ALL_SQL} (SELECT DISTINCT session, marker, unnest(['{analysis.A}', '{analysis.B}']) AS phase FROM ms) EXCEPT (SELECT session, marker, phase FROM ms WHERE value IS NOT NULL GROUP BY ALL HAVING count(*) >= 3)"
+)
+def phases_without_data(spark, d) -> DataFrame:
+    """The phases in which a session's marker has fewer than three values: all phases less those that have them."""
+    s = gated_series(spark, d)
+    wanted = s.select(*KEYS).distinct().withColumn("phase", F.explode(F.array(F.lit(analysis.A), F.lit(analysis.B))))
+    return wanted.subtract(s.where("value IS NOT NULL").groupBy(*KEYS, "phase").count().where("count >= 3").select(*KEYS, "phase"))

@@ -327,3 +327,15 @@ def lerp_resample(spark, d) -> DataFrame:
     j = u.select("session", "grid", F.last(t, True).over(p).alias("t0"), F.last("value", True).over(p).alias("v0"), F.first(t, True).over(f).alias("t1"), F.first("value", True).over(f).alias("v1"))
     v = F.when(F.col("t1") == F.col("t0"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("grid") - F.col("t0")) / (F.col("t1") - F.col("t0")))
     return j.where("grid IS NOT NULL AND t0 IS NOT NULL AND t1 IS NOT NULL").select("session", F.col("grid").alias("us"), r6(v).alias("value"))
+
+
+@query(
+    f"WITH {EV}, c AS (SELECT session, channel, count(*) AS n FROM ev GROUP BY session, channel)"
+    " SELECT session, list(channel ORDER BY channel) AS channels, coalesce(max(n) FILTER (WHERE channel = 'click'), 0) AS clicks, coalesce(max(n) FILTER (WHERE channel = 'none such'), 0) AS others FROM c GROUP BY session"
+)
+def session_channels(spark, d) -> DataFrame:
+    """The sorted channels of a session, and counts looked up by channel in a map, 0 where it has none."""
+    c = samples(spark, d).groupBy("session", "channel").agg(F.count("*").alias("n")).groupBy("session")
+    m = c.agg(F.array_sort(F.collect_set("channel")).alias("channels"), F.map_from_entries(F.collect_list(F.struct("channel", "n"))).alias("n"))
+    of = lambda k: F.coalesce(F.try_element_at("n", F.lit(k)), F.lit(0).cast("long"))
+    return m.select("session", "channels", of("click").alias("clicks"), of("none such").alias("others"))
