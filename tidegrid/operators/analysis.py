@@ -55,7 +55,7 @@ def tier(coverage: Column) -> Column:
 
 def change_text(delta: Column, pct: Column) -> Column:
     """Signed number without a percentage: D and three decimals, else a whole percentage."""
-    return F.when(pct.isNull(), F.concat(F.lit("D"), F.format_string("%+.3f", delta))).otherwise(F.concat(F.format_string("%+.0f", pct), F.lit("%")))
+    return F.when(pct.isNull(), F.concat(F.lit("D"), F.format_string("%+.3f", F.round(delta, 3)))).otherwise(F.concat(F.format_string("%+.0f", F.round(pct, 0)), F.lit("%")))
 
 
 def cohort(sessions: DataFrame) -> DataFrame:

@@ -280,12 +280,20 @@ def ols_two_regressors(spark, d) -> DataFrame:
     return c.selectExpr("session", "n", "round((p*b-q*c)/(a*b-c*c), 2) AS slope_quantity", "round((q*a-p*c)/(a*b-c*c), 1) AS slope_discount")
 
 
-@query()
+@query(
+    f"{SM}, sc AS (SELECT *, coalesce(abs(pct), abs(std_change)) AS score, coverage < 0.6 AS flagged FROM sm),"
+    " rn AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY flagged, round(score, 6) DESC, marker)::INT AS place FROM sc WHERE score > 0),"
+    " it AS (SELECT session, place, struct_pack(place := place, marker := marker, pct := round(pct, 2) + 0.0, std_change := round(std_change, 3) + 0.0, coverage := round(coverage, 3),"
+    " text := CASE WHEN pct IS NULL THEN concat('D', printf('%+.3f', round(delta, 3) + 0.0)) ELSE concat(printf('%+.0f', round(pct) + 0.0), '%') END) AS item FROM rn WHERE place <= 6)"
+    " SELECT session, to_json(struct_pack(metrics := list(item ORDER BY place)))::VARCHAR AS payload FROM it GROUP BY session"
+)
 def payload_json(spark, d) -> DataFrame:
     """One JSON document for each session: its markers in rank order."""
     r = analysis.rank(summary(spark, d), ["session"], 6)
-    item = F.struct("place", "marker", F.round("pct", 2).alias("pct"), F.round("std_change", 3).alias("std_change"), F.round("coverage", 3).alias("coverage"), analysis.change_text(F.col("delta"), F.col("pct")).alias("text"))
-    return r.groupBy("session").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("metrics"))).alias("payload"))
+    figures = [(F.round(c, n) + 0.0).alias(c) for c, n in (("pct", 2), ("std_change", 3), ("coverage", 3))]
+    item = F.struct("place", "marker", *figures, analysis.change_text(F.col("delta"), F.col("pct")).alias("text"))
+    document = F.struct(F.array_sort(F.collect_list(item)).alias("metrics"))
+    return r.groupBy("session").agg(F.to_json(document, {"ignoreNullFields": "false"}).alias("payload"))
 
 
 def flagship(spark, d) -> DataFrame:
