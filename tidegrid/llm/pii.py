@@ -17,7 +17,6 @@ the prior's weights; other columns are ignored. Digits of any number are read (p
 
 from __future__ import annotations
 
-import hashlib
 import re
 from typing import NamedTuple
 
@@ -295,7 +294,13 @@ def added_spans(texts: list[str], spans: list, w: Weights, sure: float = SURE) -
 def fit(docs: DataFrame) -> Weights:
     """Weights from the bounded sample of (doc_id, text)."""
     short = docs.where((F.length("text") <= SAMPLE_CHARS) & F.col("text").rlike("[0-9@]"))
-    rows = short.orderBy(F.xxhash64(F.col("doc_id").cast("string")), F.xxhash64("text")).limit(SAMPLE_DOCS).collect()
+    marked = short.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("by_id"), F.xxhash64("text").alias("by_text"), "text")
+    # First the hashes alone: each task sends the driver so many numbers, and only the chosen texts follow, each once.
+    chosen = marked.select("by_id", "by_text").orderBy("by_id", "by_text").limit(SAMPLE_DOCS).distinct().collect()
+    if not chosen:
+        return fitted(Field([], []))
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "by_id long, by_text long"))
+    rows = marked.join(wanted, ["by_id", "by_text"]).groupBy("by_id", "by_text").agg(F.min("text").alias("text")).orderBy("by_id", "by_text").collect()
     texts = [r["text"] for r in rows]
     return fitted(Field(texts, [base_spans(t) for t in texts]))
 
