@@ -33,8 +33,8 @@ PIECES = byte_set(*b".,;:!?", (0x0A, 0x0D))
 BREAKS = PIECES | byte_set(0x20, 0x09)
 #: Counters of a line of the sketch as powers of two, bytes of text for each counter, and counters of a chunk.
 LEAST_BITS, MOST_BITS, BYTES_PER_COUNTER, CHUNK = 16, 28, 16, 1 << 16
-#: Different phrases that a task counts before it writes them.
-HELD = 500_000
+#: Different phrases that a task counts before it writes them (some 150 MB), and rows of a batch that it writes.
+HELD, WRITTEN = 1_000_000, 50_000
 #: The most a score can be, and the width of the buckets that scores are counted in.
 SCALE, BUCKET = 2_000_000, 100
 
@@ -119,8 +119,7 @@ def sketches(docs: DataFrame, bits: int, least: int, longest: int) -> DataFrame:
                 if part.any():
                     yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([chunk]), pa.array([part.tobytes()], pa.binary())], names=["line", "chunk", "counters"])
 
-    n = max(8, 2 * docs.sparkSession.sparkContext.defaultParallelism)
-    return short_batches(docs.coalesce(n)).mapInArrow(task, "line long, chunk long, counters binary")
+    return few_tasks(docs).mapInArrow(task, "line long, chunk long, counters binary")
 
 
 def merged(parts: DataFrame, least: int) -> DataFrame:
@@ -178,9 +177,20 @@ class Held:
         self.counts = np.concatenate([self.counts, counts[new]])
         self.keys, self.ids = np.insert(self.keys, spot[new], found[new]), np.insert(self.ids, spot[new], ids)
 
-    def batch(self) -> pa.RecordBatch:
-        langs, sizes, names = zip(*self.names) if self.names else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(names, pa.string()), pa.array(self.counts)], names=["lang", "size", "phrase", "a"])
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(self.names), WRITTEN):
+            yield counted(self.names[k : k + WRITTEN], self.counts[k : k + WRITTEN])
+
+
+def counted(names: list[tuple[str, int, str]], counts: np.ndarray) -> pa.RecordBatch:
+    langs, sizes, phrases = zip(*names) if names else ((), (), ())
+    columns = [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "a"])
+
+
+def few_tasks(docs: DataFrame) -> DataFrame:
+    """docs in at most twice as many tasks as there are cores: what a task sums up before it writes then doesn't grow in number with the partitions."""
+    return short_batches(docs.coalesce(max(8, 2 * docs.sparkSession.sparkContext.defaultParallelism)))
 
 
 def exact_counts(docs: DataFrame, alive: np.ndarray, bits: int, least: int, longest: int) -> DataFrame:
@@ -207,13 +217,12 @@ def exact_counts(docs: DataFrame, alive: np.ndarray, bits: int, least: int, long
                 held.add(words, size, at, grams[at])
                 before = live
             if len(held.keys) > HELD:
-                yield held.batch()
+                yield from held.batches()
                 held = Held()
-        yield held.batch()
-        yield pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array([0] * len(total), pa.int32()), pa.array([""] * len(total), pa.string()), pa.array(total.values(), pa.int64())], names=["lang", "size", "phrase", "a"])
+        yield from held.batches()
+        yield counted([(lang, 0, "") for lang in total], np.array(list(total.values()), np.int64))
 
-    counted = short_batches(docs).mapInArrow(task, "lang string, size int, phrase string, a long")
-    return counted.groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("size") == 0))
+    return few_tasks(docs).mapInArrow(task, "lang string, size int, phrase string, a long").groupBy("lang", "size", "phrase").agg(F.sum("a").alias("a")).where((F.col("a") >= least) | (F.col("size") == 0))
 
 
 def part_of(words: str, start, size) -> "F.Column":

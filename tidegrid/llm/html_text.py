@@ -12,13 +12,16 @@ and headings above the region. Boilerplate told by class or id alone ends at an
 (sidebar), or one of other articles (related-posts), only if no other such element has content.
 
 Edge cases: null, empty and textless pages give an empty text; unclosed and misnested tags end where their container ends; pages of boilerplate alone
-give an empty text; repeated rows give one result row each; a null page_id or url is carried through; other columns are ignored.
+give an empty text; repeated rows give one result row each; a null page_id or url is carried through; other columns are ignored. Broken markup never
+fails: unknown declarations are comments up to their first >, a tag, comment or declaration that the page's end cuts off is dropped, and where a quote never
+ends the rest is read without quotes.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from html import unescape
 from html.parser import HTMLParser
 from typing import NamedTuple
 
@@ -63,6 +66,8 @@ OTHERS = frozenset("comment comments disqus popular promo promoted promotion rec
 STATES = frozenset("has no not with without hide show".split())
 OWN = frozenset("article content entry post story title".split())
 PARTS = re.compile(r"[_-]+")
+#: What starts a tag, comment or declaration, and what quotes a value in it.
+TAG, QUOTES = re.compile(r"<[A-Za-z/!?]"), re.compile(r"[\"']")
 #: Why an element is boilerplate: a word that qualifies a name (share-price), a whole name, its last word or one of OTHERS, or what it is.
 PART, NAME, SURE = 1, 2, 3
 
@@ -185,10 +190,23 @@ class Lines(HTMLParser):
             if self.links:
                 self.linked += len(data.strip())
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """<![...> is a comment up to its first >, whatever it declares."""
+        return self.rawdata.find(">", i + 3) + 1 or -1
+
     def whole(self, html: str) -> Lines:
-        for i in range(0, len(html), FEED):
-            self.feed(html[i : i + FEED])
-        self.close()
+        end = html.rfind(">") + 1  # no tag ends after it
+        for i in range(0, end, FEED):
+            self.feed(html[i : min(end, i + FEED)])
+        rest, self.rawdata = self.rawdata, ""
+        if rest.startswith("<") and not rest.startswith("<!--") and not self.cdata_elem:
+            # A quote that never ends: without quotes every tag ends at its first >.
+            self.feed(QUOTES.sub("", rest))
+            rest, self.rawdata = self.rawdata, ""
+        if not rest.startswith("<") and not self.cdata_elem:
+            tail = rest + html[end:]
+            opened = TAG.search(tail)
+            self.handle_data(unescape(tail[: opened.start()] if opened else tail))
         self._break()
         return self
 
