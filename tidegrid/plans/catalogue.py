@@ -1,9 +1,9 @@
 """The registered queries and their SQL."""
 
-from . import inference, recordings, signals, spectra, streams
+from . import continuous, inference, recordings, signals, spectra, streams
 from .inference import flagship
 
-MODULES = [signals, inference, spectra, recordings, streams]
+MODULES = [signals, inference, spectra, recordings, continuous, streams]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in MODULES for k, s in m.ORACLE_SQL.items()}
 
