@@ -45,6 +45,15 @@ def interpolate(points: DataFrame, series: DataFrame, keys: list[str], block: fl
     return rows.select(*keys, *[c for c in rest if c != name], read.alias(name))
 
 
+def following(rows: DataFrame, keys: list[str], t: str, block: float, name: str = "next") -> DataFrame:
+    """rows (keys, t, ...), of which a key has no two of one t, with the t of the next row of its keys as `name`, null for the last."""
+    dealt = rows.withColumn("_block", block_of(t, block))
+    near = Window.partitionBy(*keys, "_block").orderBy(t)
+    edges = dealt.groupBy(*keys, "_block").agg(F.min(t).alias("_first"))
+    beyond = edges.select(*keys, "_block", F.lead("_first").over(Window.partitionBy(*keys).orderBy("_block")).alias("_beyond"))
+    return dealt.withColumn(name, F.lead(t).over(near)).join(beyond, [*keys, "_block"]).withColumn(name, F.coalesce(name, "_beyond")).drop("_block", "_beyond")
+
+
 def median_step(series: DataFrame, keys: list[str], block: float, t: str = "t") -> DataFrame:
     """keys, step: the median time between a series' rows, null for a single one; steps over a block's end come from the blocks' edges."""
     rows = series.select(*keys, F.col(t).cast("double").alias("_t"), block_of(t, block).alias("_block"))

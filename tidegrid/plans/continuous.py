@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import complexity
-from ..operators import ocular, recursive
+from ..functions import spectral as S
+from ..operators import align, ocular, recursive
 from ..sources.tables import vectors
 
 FS, N, WINDOWS, PER_CHUNK = 64.0, 64, 30, 10
@@ -110,6 +111,34 @@ def record_ocular(spark, d) -> DataFrame:
     return fit.select("session", "c", "blink_samples", "fit_samples", "everywhere", *rounded)
 
 
+def record_pairs(spark, d) -> DataFrame:
+    """Coherence of F3 and F4 on ten seconds of the filtered record, one window each five, from nineteen segments of a second: bands of 1 Hz bins."""
+    windows = recursive.epochs(filtered(spark, d).where("c < 2"), KEYS, SIZE, 10 * N, 5 * N)
+    side = lambda c: F.max(F.when(F.col("c") == c, F.col("x")))
+    pairs = windows.groupBy("session", "epoch").agg(side(0).alias("a"), side(1).alias("b"))
+    of = lambda band: complexity.pair_measures(F.col("a"), F.col("b"), FS, N, S.BANDS[band])
+    found = pairs.withColumns({"theta2": of("theta2"), "alpha1": of("alpha1")})
+    named = {"coh_theta2": "theta2.msc", "coh_alpha1": "alpha1.msc", "imcoh_alpha1": "alpha1.imcoh", "wpli_alpha1": "alpha1.wpli"}
+    return found.select("session", "epoch", *[(F.round(v, 6) + F.lit(0.0)).alias(k) for k, v in named.items()])
+
+
+def good_spectrum(spark, d) -> DataFrame:
+    """A session's mean spectrum in dB of the epochs that are good in its four channels, joined one to the next: segments are the epochs themselves and, over
+    each joint, the second half of one with the first of the next good one."""
+    rows = recursive.cut(recursive.epochs(filtered(spark, d).where("c < 4"), KEYS, SIZE, N, N // 2), "epochs")
+    step = F.array_max(F.zip_with(F.slice("x", 2, N - 1), F.slice("x", 1, N - 1), lambda a, b: F.abs(a - b)))
+    kept = (F.array_max(F.transform("x", F.abs)) <= AMPLITUDE) & (step <= STEP)
+    good = rows.groupBy("session", "epoch").agg((F.bool_and(kept) & (F.count("*") == 4)).alias("good")).where("good").select("session", "epoch")
+    ordered = align.following(good, ["session"], "epoch", 1024)
+    own = rows.join(ordered, ["session", "epoch"])
+    ahead = own.select("session", "c", F.col("epoch").alias("next"), F.slice("x", 1, N // 2).alias("ahead"))
+    joint = own.join(ahead, ["session", "c", "next"]).select("session", "c", F.concat(F.slice("x", N // 2 + 1, N // 2), "ahead").alias("x"))
+    parts = own.select("session", "c", "x").union(joint).select("session", "c", S.periodogram(F.col("x"), N, FS).alias("p"))
+    power = parts.select("session", F.posexplode("p").alias("freq", "power")).where("freq BETWEEN 1 AND 31").groupBy("session", "freq").agg(F.avg("power").alias("power"))
+    epochs = good.groupBy("session").agg(F.count("*").alias("epochs"))
+    return power.join(epochs, "session").select("session", F.col("freq").cast("long").alias("freq"), F.round(10 * F.log10(F.greatest("power", F.lit(1e-12))), 2).alias("db"), "epochs")
+
+
 EPOCHS_SQL = (
     f"{FILTERED_SQL}, w AS (SELECT session, c, epoch, e[epoch * {N // 2} + 1 : epoch * {N // 2} + {N}] AS x FROM fil, range({WINDOWS * 2}) t(epoch) WHERE epoch * {N // 2} + {N} <= len(e)),"
     f" u AS (SELECT session, c, epoch, n, x[n + 1] AS v, abs(x[n + 2] - x[n + 1]) AS step FROM w, range({N}) t(n)),"
@@ -139,4 +168,27 @@ ORACLE_SQL["record_ocular"] = (
     " round(any_value(wq), 6) AS difference_weight, round(var_pop(y), 6) AS variance, round(1 - var_pop(y - wm * m - wq * q) / var_pop(y), 6) AS removed"
     " FROM b JOIN (SELECT session, c, m, q, y FROM y) z ON z.session = b.session AND z.c = b.c GROUP BY b.session, b.c"
 )
-QUERIES |= {f.__name__: f for f in (record_epochs, record_windows, record_ocular)}
+ORACLE_SQL["record_pairs"] = (
+    f"{FILTERED_SQL}, w AS (SELECT session, c, epoch, e[epoch * 320 + 1 : epoch * 320 + 640] AS x FROM fil, range(60) t(epoch) WHERE c < 2 AND epoch * 320 + 640 <= len(e)),"
+    " k AS (SELECT session, c, epoch, s, n, x[32 * s + n + 1] AS v FROM w, range(19) t(s), range(64) u(n)),"
+    " l AS (SELECT session, c, epoch, s, n, v - (regr_slope(v, n) OVER q * n + regr_intercept(v, n) OVER q) AS v FROM k WINDOW q AS (PARTITION BY session, c, epoch, s)),"
+    " f AS (SELECT session, c, epoch, s, f, sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 64)) * cos(2 * pi() * ((f * n) % 64) / 64)) AS re,"
+    " -sum(v * (0.5 - 0.5 * cos(2 * pi() * n / 64)) * sin(2 * pi() * ((f * n) % 64) / 64)) AS im FROM l, range(6, 11) t(f) GROUP BY session, c, epoch, s, f),"
+    " x AS (SELECT a.session, a.epoch, a.f, a.re * b.re + a.im * b.im AS cr, a.im * b.re - a.re * b.im AS ci, a.re * a.re + a.im * a.im AS xx, b.re * b.re + b.im * b.im AS yy"
+    " FROM f a JOIN f b ON a.session = b.session AND a.epoch = b.epoch AND a.s = b.s AND a.f = b.f AND a.c = 0 AND b.c = 1),"
+    " m AS (SELECT session, epoch, f, (pow(avg(cr), 2) + pow(avg(ci), 2)) / (avg(xx) * avg(yy)) AS msc, abs(avg(ci)) / sqrt(avg(xx) * avg(yy)) AS imcoh,"
+    " (pow(sum(ci), 2) - sum(ci * ci)) / (pow(sum(abs(ci)), 2) - sum(ci * ci)) AS wpli FROM x GROUP BY session, epoch, f)"
+    " SELECT session, epoch, round(avg(msc) FILTER (WHERE f <= 8), 6) + 0.0 AS coh_theta2, round(avg(msc) FILTER (WHERE f >= 8), 6) + 0.0 AS coh_alpha1,"
+    " round(avg(imcoh) FILTER (WHERE f >= 8), 6) + 0.0 AS imcoh_alpha1, round(avg(wpli) FILTER (WHERE f >= 8), 6) + 0.0 AS wpli_alpha1 FROM m GROUP BY session, epoch"
+)
+ORACLE_SQL["good_spectrum"] = (
+    f"{EPOCHS_SQL}, ok AS (SELECT session, epoch, row_number() OVER (PARTITION BY session ORDER BY epoch) - 1 AS r FROM g WHERE c < 4"
+    " GROUP BY session, epoch HAVING count(*) FILTER (WHERE amplitude <= 0.33 AND step <= 0.34) = 4),"
+    " j AS (SELECT session, c, flatten(list(x ORDER BY r)) AS y, count(*) AS epochs FROM w JOIN ok USING (session, epoch) WHERE c < 4 GROUP BY session, c),"
+    " sg AS (SELECT session, c, epochs, s, y[32 * s + 1 : 32 * s + 64] AS x FROM j, range(200) t(s) WHERE 32 * s + 64 <= len(y)),"
+    " h AS (SELECT session, c, epochs, s, n, (x[n + 1] - list_avg(x)) * (0.5 - 0.5 * cos(2 * pi() * n / 64)) AS v FROM sg, range(64) t(n)),"
+    " p AS (SELECT session, epochs, c, s, f AS freq, 2 * (pow(sum(v * cos(2 * pi() * ((f * n) % 64) / 64)), 2) + pow(sum(v * sin(2 * pi() * ((f * n) % 64) / 64)), 2)) / (64 * 24.0) AS power"
+    " FROM h, range(1, 32) t(f) GROUP BY session, epochs, c, s, f)"
+    " SELECT session, freq, round(10 * log10(greatest(avg(power), 1e-12)), 2) AS db, any_value(epochs) AS epochs FROM p GROUP BY session, freq"
+)
+QUERIES |= {f.__name__: f for f in (record_epochs, record_windows, record_ocular, record_pairs, good_spectrum)}
