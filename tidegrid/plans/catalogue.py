@@ -1,7 +1,7 @@
 """The registered queries and their SQL."""
 
 from . import continuous, grids, inference, recordings, signals, spectra, streams
-from .inference import flagship
+from .recordings import rank_by_variation_flags as flagship
 
 MODULES = [signals, inference, spectra, recordings, continuous, grids, streams]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}

@@ -20,7 +20,7 @@ SIZE = N * PER_CHUNK
 KEYS = ["session", "c"]
 #: Pass band, its order and reflected samples; the notch; the band of eye movements.
 BAND, ORDER, PAD = (2, 24), 4, 27
-OCULAR_BAND, BLINK, BLINK_PAD = (1, 5), 0.2, 6
+OCULAR_BAND, BLINK, BLINK_PAD = (1, 5), 0.08, 6
 #: What an epoch of the filtered record may reach: largest amplitude, largest step.
 AMPLITUDE, STEP = 0.33, 0.34
 
@@ -154,7 +154,7 @@ ORACLE_SQL["record_windows"] = (
 )
 ORACLE_SQL["record_ocular"] = (
     f"{FILTERED_SQL}, eye AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE two AS (SELECT * FROM fil WHERE c >= 4), {zero_phase_sql('oc', 'two', band_sections(*OCULAR_BAND), PAD)} SELECT * FROM oc)),"
-    " s AS (SELECT a.session, n, (a.e[n] + b.e[n]) / 2 AS m, b.e[n] - a.e[n] AS q, greatest(abs(a.e[n]), abs(b.e[n])) > 0.2 AS hit"
+    " s AS (SELECT a.session, n, (a.e[n] + b.e[n]) / 2 AS m, b.e[n] - a.e[n] AS q, greatest(abs(a.e[n]), abs(b.e[n])) > 0.08 AS hit"
     " FROM eye a JOIN eye b ON a.session = b.session AND a.c = 4 AND b.c = 5, range(1, 1921) t(n) WHERE n <= len(a.e) AND n <= len(b.e)),"
     " k AS (SELECT *, coalesce(bool_or(hit) OVER (PARTITION BY session ORDER BY n ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING), false) AS blink FROM s),"
     " h AS (SELECT session, count(*) FILTER (WHERE blink) AS blink_samples, count(*) AS every FROM k GROUP BY session),"

@@ -294,7 +294,3 @@ def payload_json(spark, d) -> DataFrame:
     item = F.struct("place", "marker", *figures, analysis.change_text(F.col("delta"), F.col("pct")).alias("text"))
     document = F.struct(F.array_sort(F.collect_list(item)).alias("metrics"))
     return r.groupBy("session").agg(F.to_json(document, {"ignoreNullFields": "false"}).alias("payload"))
-
-
-def flagship(spark, d) -> DataFrame:
-    return rank_by_variation(spark, d)

@@ -14,6 +14,8 @@ CONN = grid.Spacing(5 * HOUR, 2)
 SERIES = grid.Spacing(12 * HOUR, 2)
 #: The grid of the window gates, whose epochs hold several events of each channel.
 GATES = grid.Spacing(5 * DAY, 2)
+#: A grid between the two, where a channel is good in about every other window.
+BETWEEN = grid.Spacing(3 * DAY, 2)
 PHASES = [("CALIBRATION", 0, 10 * DAY), ("MANTRA", 10 * DAY, 25 * DAY), ("SETTLE", 25 * DAY, 31 * DAY)]
 
 #: Recordings in SQL. hz: their first day, and the microseconds of all their days.
@@ -224,10 +226,10 @@ def window_gate_strict(spark, d) -> DataFrame:
     return windows_ok(gated(spark, d, GATES), REQUIRED, GATES.over(total(spark, d)).n)
 
 
-@query(required_sql(SERIES))
+@query(required_sql(BETWEEN))
 def window_gate_required(spark, d) -> DataFrame:
-    """The same on the fine grid, where hardly an epoch has two good channels."""
-    return windows_ok(gated(spark, d), REQUIRED, SERIES.over(total(spark, d)).n)
+    """The same on a finer grid, where few windows have both channels throughout."""
+    return windows_ok(gated(spark, d, BETWEEN), REQUIRED, BETWEEN.over(total(spark, d)).n)
 
 
 @query(f"WITH {EV}, {member_sql(SERIES)} SELECT session, epoch, bool_or(abs(value / 50 - 1) > 1.2) AS moved, round(avg(abs(value / 50 - 1)), 6) AS motion FROM ep GROUP BY session, epoch")
