@@ -3,8 +3,8 @@
 First pass. Each task keeps one count-min sketch of two lines and adds every word and every run of up to `longest` words to it, by language. The sketches are
 cut into chunks and summed over all tasks, and what remains of a counter is one bit: whether it reached `least`. A counter is never less than what any
 phrase behind it occurs, so every phrase that occurs often enough has both bits. Counters saturate, which can't take a bit away.
-The number of counters follows the bytes of the texts up to 2 ** MOST_BITS, and there are as many sketches as twice the cores, whatever the number of
-partitions; more text than that makes the filter let more through and changes no result.
+The number of counters follows the bytes of the texts up to 2 ** MOST_BITS; more text than that makes the filter let more through and changes no result.
+Both passes run in at most twice as many tasks as there are cores: sketches, and counts that tasks write, don't grow in number with the partitions.
 
 Second pass. A phrase survives if its bits and those of all its parts are set. A task counts its survivors by 64-bit hashes, writes each with its words, and
 Spark sums these up; those below `least` go. Counts of all candidates and of their parts are thus exact.
