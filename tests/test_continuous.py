@@ -107,6 +107,26 @@ def test_common_grid_takes_the_finest_step_and_falls_back_to_any(spark):
         assert {r["t"] for r in got if r["session"] == 1 and r["shown"]} == {0, 2, 4}  # never known together: where any is
 
 
+def test_rows_across_blocks(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, int(t), float(rng.integers(0, 100))) for s in range(4) for t in rng.choice(300, size=(1, 5, 60, 200)[s], replace=False)]
+    df = spark.createDataFrame(rows, "session long, t long, v double").repartition(5)
+    own = {s: sorted((t, v) for x, t, v in rows if x == s) for s in range(4)}
+    for block in (7, 64, 10_000):
+        numbered = align.numbered(df, ["session"], ["t"], align.block_of("t", block))
+        flagged = align.near_flag(numbered, ["session"], F.col("v") >= 95, 3, "near")
+        for r in flagged.collect():
+            k = own[r["session"]]
+            assert (k[r["i"] - 1][0], r["n"]) == (r["t"], len(k))
+            assert r["near"] == any(v >= 95 for _, v in k[max(0, r["i"] - 4) : r["i"] + 3])
+        before = align.preceding(df, ["session"], "t", block, ["v", "t"])
+        after = align.following(df, ["session"], "t", block)
+        for s, k in own.items():
+            got = {r["t"]: (r["before_t"], r["before_v"]) for r in before.where(F.col("session") == s).collect()}
+            assert got == {t: k[i - 1] if i else (None, None) for i, (t, _) in enumerate(k)}
+            assert {r["t"]: r["next"] for r in after.where(F.col("session") == s).collect()} == {t: k[i + 1][0] if i + 1 < len(k) else None for i, (t, _) in enumerate(k)}
+
+
 # --- streams
 
 

@@ -54,6 +54,35 @@ def following(rows: DataFrame, keys: list[str], t: str, block: float, name: str
     return dealt.withColumn(name, F.lead(t).over(near)).join(beyond, [*keys, "_block"]).withColumn(name, F.coalesce(name, "_beyond")).drop("_block", "_beyond")
 
 
+def preceding(rows: DataFrame, keys: list[str], t: str, block: float, columns: list[str]) -> DataFrame:
+    """rows, of which a key has no two of one t, with `columns` of the row before as before_<column>, null for the first."""
+    dealt = rows.withColumn("_block", block_of(t, block))
+    held = F.struct(t, *[c for c in columns if c != t])
+    near = Window.partitionBy(*keys, "_block").orderBy(t)
+    edges = dealt.groupBy(*keys, "_block").agg(F.max(held).alias("_last"))
+    beyond = edges.select(*keys, "_block", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_beyond"))
+    found = dealt.withColumn("_before", F.lag(held).over(near)).join(beyond, [*keys, "_block"]).withColumn("_before", F.coalesce("_before", "_beyond"))
+    return found.select(*rows.columns, *[F.col("_before")[c].alias(f"before_{c}") for c in columns])
+
+
+def numbered(rows: DataFrame, keys: list[str], order: list[str], block: Column) -> DataFrame:
+    """rows with their place among those of their keys, from 1, and how many these are: i, n. block grows with the order; rows of one block are numbered in
+    one window, and the blocks before it count as one row each."""
+    dealt = rows.withColumn("_block", block)
+    sizes = dealt.groupBy(*keys, "_block").agg(F.count("*").alias("_size"))
+    of_keys = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_size").over(of_keys.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*keys, "_block", before.alias("_start"), F.sum("_size").over(of_keys).alias("n"))
+    place = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
+    return dealt.withColumn("_place", place).join(sizes, [*keys, "_block"]).withColumn("i", F.col("_start") + F.col("_place")).drop("_block", "_place", "_start")
+
+
+def near_flag(placed: DataFrame, keys: list[str], flag: Column, reach: int, name: str) -> DataFrame:
+    """placed (keys, i, ...) with `name`: whether any row at most `reach` places away has the flag. Only flagged places are spread out."""
+    spread = placed.where(flag).select(*keys, F.explode(F.sequence(F.col("i") - reach, F.col("i") + reach)).alias("i")).distinct().withColumn(name, F.lit(True))
+    return placed.join(spread, [*keys, "i"], "left").withColumn(name, F.coalesce(name, F.lit(False)))
+
+
 def median_step(series: DataFrame, keys: list[str], block: float, t: str = "t") -> DataFrame:
     """keys, step: the median time between a series' rows, null for a single one; steps over a block's end come from the blocks' edges."""
     rows = series.select(*keys, F.col(t).cast("double").alias("_t"), block_of(t, block).alias("_block"))

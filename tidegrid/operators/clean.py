@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import align
 
-def dilate(flag: Column, keys: list[str], order: list[str], reach: int) -> Column:
-    """Whether any row at most `reach` rows away has the flag."""
-    return F.max(flag).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(-reach, reach))
+
+def dilate(df: DataFrame, flag: Column, keys: list[str], order: list[str], block: Column, reach: int, name: str = "mask") -> DataFrame:
+    """df with `name`: whether any row at most `reach` rows away, in this order, has the flag. block deals a key's rows and grows with the order."""
+    return align.near_flag(align.numbered(df, keys, order, block), keys, flag, reach, name).drop("i", "n")
 
 
 def excise(df: DataFrame, value: str, mask: str, keys: list[str]) -> DataFrame:
@@ -28,7 +30,8 @@ def detrend(df: DataFrame, value: str, index: str, keys: list[str], linear: bool
     return df.join(fit, keys).withColumn("flat", flat).drop("_a", "_b")
 
 
-def gaps(df: DataFrame, counter: str, keys: list[str]) -> DataFrame:
-    """step to the row before; gap: a step above 2. A step of 2 is none, a negative one a wrap."""
-    step = F.col(counter) - F.lag(counter).over(Window.partitionBy(*keys).orderBy(counter))
-    return df.withColumn("step", step).withColumn("gap", F.coalesce((F.abs(step - 1) > 1) & (step >= 0), F.lit(False)))
+def gaps(df: DataFrame, counter: str, keys: list[str], block: int = 1 << 20) -> DataFrame:
+    """step to the row before; gap: a step above 2. A step of 2 is none, a negative one a wrap. Rows meet in blocks of the counter."""
+    before = align.preceding(df, keys, counter, block, [counter])
+    step = F.col(counter) - F.col(f"before_{counter}")
+    return before.withColumn("step", step).withColumn("gap", F.coalesce((F.abs(step - 1) > 1) & (step >= 0), F.lit(False))).drop(f"before_{counter}")

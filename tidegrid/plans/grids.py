@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import align, grid, stats
+from ..operators.recursive import cut
 from ..sources.tables import DAY, HOUR, samples, total
 from .signals import EV, member_sql
 
@@ -36,7 +37,7 @@ def interpolated_index_join(spark, d) -> DataFrame:
 
 def common_grid_series(spark, d) -> DataFrame:
     """All four series of a session on the finest grid, and where they are shown."""
-    both = on_grid(spark, d, FAST, OF_FAST).union(on_grid(spark, d, SLOW, OF_SLOW))
+    both = cut(on_grid(spark, d, FAST, OF_FAST).union(on_grid(spark, d, SLOW, OF_SLOW)), "series")
     return align.common_grid(both, ["session"], "marker", BLOCK).select("session", "marker", "t", (F.round("value", 6) + F.lit(0.0)).alias("value"), "shown")
 
 

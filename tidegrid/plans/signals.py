@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import clean, grid
+from ..operators import align, clean, grid
 from ..sources.tables import DAY, HOUR, samples, table, total
 
 POWER = grid.Spacing(2 * HOUR, 2)
@@ -118,9 +118,8 @@ def phase_interval_build(spark, d) -> DataFrame:
     " SELECT session, sample, value FROM n WHERE i > 10 AND i <= c - 5"
 )
 def edge_trim(spark, d) -> DataFrame:
-    w = Window.partitionBy("session")
-    n = samples(spark, d).withColumn("i", F.row_number().over(w.orderBy("sample"))).withColumn("c", F.count("*").over(w))
-    return n.where("i > 10 AND i <= c - 5").select("session", "sample", "value")
+    n = align.numbered(samples(spark, d), ["session"], ["sample"], align.block_of("us", DAY))
+    return n.where("i > 10 AND i <= n - 5").select("session", "sample", "value")
 
 
 @query(f"WITH {EV} SELECT session, sample, us, value FROM ev WHERE us >= {2 * DAY} AND channel IN ('click', 'view')")
@@ -135,7 +134,7 @@ _MASK = f"{_LI}, m AS (SELECT *, max(value >= 90000) OVER (PARTITION BY session,
 
 def masked(spark, d) -> DataFrame:
     li = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("session"), F.col("l_returnflag").alias("channel"), F.col("l_extendedprice").alias("value"), *_ORD)
-    return li.withColumn("mask", clean.dilate(F.col("value") >= 90000, ["session", "channel"], _ORD, 5))
+    return clean.dilate(li, F.col("value") >= 90000, ["session", "channel"], _ORD, F.date_trunc("month", "l_shipdate"), 5)
 
 
 @query(f"WITH {_MASK} SELECT session, channel, count(*) AS n, count(*) FILTER (WHERE mask) AS masked FROM m GROUP BY session, channel")
@@ -251,8 +250,7 @@ def counter_gaps(spark, d) -> DataFrame:
     " SELECT session, count(dt) AS n, round(median(dt), 3) AS mid, round(quantile_cont(dt, 0.99), 3) AS p99, round(max(dt), 3) AS longest FROM s GROUP BY session"
 )
 def rate_jitter(spark, d) -> DataFrame:
-    dt = (F.col("us") - F.lag("us").over(Window.partitionBy("session").orderBy("sample"))) / 1e6
-    s = samples(spark, d).select("session", dt.alias("dt"))
+    s = align.preceding(samples(spark, d), ["session"], "sample", 1 << 20, ["us"]).select("session", ((F.col("us") - F.col("before_us")) / 1e6).alias("dt"))
     return s.groupBy("session").agg(F.count("dt").alias("n"), F.round(F.median("dt"), 3).alias("mid"), F.round(F.percentile("dt", 0.99), 3).alias("p99"), F.round(F.max("dt"), 3).alias("longest"))
 
 
@@ -320,15 +318,8 @@ def lerp_resample(spark, d) -> DataFrame:
     """Each session on a common grid, by linear interpolation between its neighbours; nothing outside them."""
     ev = samples(spark, d)
     q = ev.select("session").distinct().withColumn("us", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(total(spark, d) - 1), F.lit(12 * HOUR))))
-    u = ev.select("session", "us", "sample", "value", F.lit(None).cast("long").alias("grid")).unionByName(
-        q.select("session", "us", F.lit(-1).cast("long").alias("sample"), F.lit(None).cast("double").alias("value"), F.col("us").alias("grid"))
-    )
-    w = Window.partitionBy("session").orderBy("us", "sample")
-    p, f = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    t = F.when(F.col("value").isNotNull(), F.col("us"))
-    j = u.select("session", "grid", F.last(t, True).over(p).alias("t0"), F.last("value", True).over(p).alias("v0"), F.first(t, True).over(f).alias("t1"), F.first("value", True).over(f).alias("v1"))
-    v = F.when(F.col("t1") == F.col("t0"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("grid") - F.col("t0")) / (F.col("t1") - F.col("t0")))
-    return j.where("grid IS NOT NULL AND t0 IS NOT NULL AND t1 IS NOT NULL").select("session", F.col("grid").alias("us"), r6(v).alias("value"))
+    read = align.interpolate(q, ev.select("session", "us", "value"), ["session"], 5 * DAY, t="us")
+    return read.where("value IS NOT NULL").select("session", "us", r6("value").alias("value"))
 
 
 @query(
