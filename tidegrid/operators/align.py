@@ -4,7 +4,8 @@ Rows are dealt by keys and block of time. A row's neighbours are looked for in i
 row for each block that holds any. So no window holds more rows than a block has, however long a session is.
 
 Edge cases: a value is null before a series' first known value and after its last, and everywhere if fewer than two are known; where a known value stands
-it is taken as it is; null values are unknown; a group of one series keeps its own grid; empty tables give empty results.
+it is taken as it is; null values are unknown; a group of one series keeps its own grid; of several known values at one
+time any may be taken; empty tables give empty results.
 """
 
 from __future__ import annotations
