@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.markers import SIGNED
-from . import stats
+from . import selection, stats
 
 A, B = "CALIBRATION", "MANTRA"
 
@@ -59,7 +59,25 @@ def change_text(delta: Column, pct: Column) -> Column:
 
 
 def cohort(sessions: DataFrame) -> DataFrame:
-    """sessions (session, marker, std_change, pct) -> per marker the medians over sessions and the exact sign test."""
-    g = sessions.groupBy("marker").agg(F.count("std_change").alias("n"), F.median("pct").alias("median_pct"), F.median("std_change").alias("median_std"), F.count_if(F.col("std_change") > 0).alias("n_up"))
-    g = g.withColumn("p", stats.sign_test(F.col("n_up"), F.col("n")))
+    """sessions (session, marker, std_change, pct) -> per marker the medians over sessions and the exact sign test. Counts are added up, medians are selected by
+    ranges of values: nothing holds all sessions of a marker."""
+    long = sessions.select("marker", "pct", "std_change").unpivot("marker", ["pct", "std_change"], "_of", "_value")
+    middle = selection.medians(long, "_value", ["marker", "_of"]).groupBy("marker").agg(
+        F.max(F.when(F.col("_of") == "pct", F.col("median"))).alias("median_pct"), F.max(F.when(F.col("_of") == "std_change", F.col("median"))).alias("median_std")
+    )
+    counts = sessions.groupBy("marker").agg(F.count("std_change").alias("n"), F.count_if(F.col("std_change") > 0).alias("n_up"))
+    g = counts.join(middle, "marker", "left").withColumn("p", stats.sign_test(F.col("n_up"), F.col("n")))
     return g.withColumn("n_down", F.col("n") - F.col("n_up")).withColumn("consistent", (F.col("p") < 0.05) & (F.col("n") >= 5)).withColumn("direction", F.when(F.col("median_std") > 0, "up").otherwise("down"))
+
+
+def session_changes(summary: DataFrame, markers: list[str], least_baseline: int = 5, most: float = 20.0) -> DataFrame:
+    """summary (session, marker, ...) -> session, marker, std_change, pct, degenerate, coverage: what each of the markers says of a session. degenerate: the
+    change is beyond `most` spreads, as the spread has collapsed; such rows don't count. coverage: the mean of all the session's markers."""
+    covered = summary.groupBy("session").agg(F.avg("coverage").alias("coverage"))
+    said = summary.where(F.col("marker").isin(*markers) & (F.col("n_baseline") >= least_baseline) & (F.col("spread") > 0) & F.col("std_change").isNotNull())
+    return said.select("session", "marker", "std_change", "pct", (F.abs("std_change") > most).alias("degenerate")).join(covered, "session", "right")
+
+
+def included(changes: DataFrame, floor: float) -> DataFrame:
+    """Of session_changes, what a cohort counts: rows not degenerate of sessions covered to the floor. A session without any such row has none here."""
+    return changes.where(~F.col("degenerate") & (F.col("coverage") >= floor)).select("session", "marker", "std_change", "pct")

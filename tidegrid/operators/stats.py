@@ -117,10 +117,10 @@ def hash32(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(16)) ^ x
 
 
-def uniforms(stream: int, first: int, reps: int, n: int) -> np.ndarray:
-    """Numbers in [0, 1) for replicates first .. and places 0 .. n - 1: they depend on stream, replicate and place alone."""
+def uniforms(stream: int, first: int, reps: int, n: int, at: int = 0) -> np.ndarray:
+    """Numbers in [0, 1) for replicates first .. and n places from `at` on: they depend on stream, replicate and place alone."""
     of_rep = hash32(np.arange(first, first + reps) * 16 + stream)
-    return hash32(of_rep[:, None] + np.arange(n, dtype=np.uint64)) / 2.0**32
+    return hash32(of_rep[:, None] + np.arange(at, at + n, dtype=np.uint64)) / 2.0**32
 
 
 def array_lag(x: np.ndarray, threshold: float = 0.3679) -> int:
@@ -185,21 +185,6 @@ def effects(series: DataFrame, keys: list[str], a: str, b: str, block: tuple[int
     return out.withColumn("crosses_zero", crosses).withColumn("reliable", F.coalesce(~crosses & (F.col("n_effective") >= 5), F.lit(False)))
 
 
-def median_intervals(df: DataFrame, value: str, keys: list[str], order: list[str], reps: int = 4000) -> DataFrame:
-    """keys, n, ci_low, ci_high: the interval of the median of independent values by resampling; null below 3 values. The replicates are dealt over tasks."""
-    arrays = series_arrays(df.withColumn("_o", F.struct(*order)), value, "_o", keys, x=F.lit(True)).where(F.size("x") >= 3)
-    parts = arrays.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(reps - 1), F.lit(250)))).repartition(*keys, "first")
-
-    def medians(x: np.ndarray, first: np.ndarray) -> tuple:
-        at, n = int(first[0]), len(x)
-        draws = (x[np.floor(uniforms(ANCHOR_A, k, 1, n)[0] * n).astype(np.int64)] for k in range(at, min(at + 250, reps)))
-        return ([float(np.median(d)) for d in draws],)
-
-    stats_ = over_arrays(parts.withColumn("_first", F.array(F.col("first").cast("double"))), keys, ["x", "_first"], {"stat": pa.list_(pa.float64())}, medians)
-    found = stats_.withColumn("stat", F.explode("stat")).groupBy(*keys).agg(F.percentile("stat", 0.025).alias("ci_low"), F.percentile("stat", 0.975).alias("ci_high"))
-    return df.groupBy(*keys).agg(F.count(value).alias("n")).join(found, keys, "left")
-
-
 def spearman(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5) -> DataFrame:
     """keys, n, rho on rows where both are known; null below `least` rows."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())

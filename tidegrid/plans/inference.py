@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import analysis, grid, stats
+from ..operators import analysis, grid, selection, stats
 from ..sources.tables import samples, table, total
 from .signals import EV, PHASES, SERIES, TOTAL, centre_sql, epochs, member_sql, phase_sql, r6
 
@@ -212,15 +212,15 @@ def stationary_bootstrap_ci(spark, d) -> DataFrame:
 
 
 @query(
-    f"{_COHORT}, {reps_sql(4000, 2)}, sx AS (SELECT marker, row_number() OVER (PARTITION BY marker ORDER BY session) - 1 AS i, std_change AS value FROM us WHERE std_change IS NOT NULL),"
+    f"{_COHORT}, {reps_sql(4000, 2)}, sx AS (SELECT marker, row_number() OVER (PARTITION BY marker ORDER BY std_change) - 1 AS i, std_change AS value FROM us WHERE std_change IS NOT NULL),"
     f" cn AS (SELECT marker, count(*) AS n FROM sx GROUP BY marker), dr AS (SELECT marker, rep, floor({uniform_sql(1)} * n)::BIGINT AS i FROM sx JOIN cn USING (marker), rp),"
     " sb AS (SELECT marker, rep, median(value) AS stat FROM dr JOIN sx USING (marker, i) GROUP BY marker, rep),"
     " q AS (SELECT marker, quantile_cont(stat, 0.025) AS lo, quantile_cont(stat, 0.975) AS hi FROM sb GROUP BY marker)"
     " SELECT marker, n, CASE WHEN n >= 3 THEN round(lo + 1e-9, 3) END AS ci_low, CASE WHEN n >= 3 THEN round(hi + 1e-9, 3) END AS ci_high FROM cn LEFT JOIN q USING (marker)"
 )
 def session_median_ci(spark, d) -> DataFrame:
-    """Per marker the interval of the sessions' median standardised change, by 4,000 resamples."""
-    ci = stats.median_intervals(usable(spark, d).where("std_change IS NOT NULL"), "std_change", ["marker"], ["session"])
+    """Per marker the interval of the sessions' median standardised change, by 4,000 resamples. Draws go by the order of the values."""
+    ci = selection.median_intervals(usable(spark, d), "std_change", ["marker"])
     return ci.select("marker", "n", off_tie(F.col("ci_low")).alias("ci_low"), off_tie(F.col("ci_high")).alias("ci_high"))
 
 

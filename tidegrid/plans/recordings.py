@@ -321,6 +321,42 @@ def session_marker_summary(spark, d) -> DataFrame:
     return summary(spark, d).select(*KEYS, "n_baseline", "n_active", *[(F.round(c, 5) + 0.0).alias(c) for c in FIGURES])
 
 
+#: The least mean coverage of a session that a cohort counts.
+FLOOR = 0.1
+MEMBERS_SQL = "marker IN ('" + "', '".join(m.id for m in WANTED if m.role == "marker") + "')"
+COHORT_SQL = (
+    f"{SUM_SQL}, cv AS (SELECT session, avg(coverage) AS coverage FROM sm GROUP BY session),"
+    f" sd AS (SELECT session, marker, std_change, pct, abs(std_change) > 20 AS degenerate FROM sm WHERE {MEMBERS_SQL} AND n_baseline >= 5 AND spread > 0 AND std_change IS NOT NULL),"
+    f" us AS (SELECT sd.* FROM sd JOIN cv USING (session) WHERE NOT degenerate AND coverage >= {FLOOR})"
+)
+
+
+def session_changes(spark, d) -> DataFrame:
+    return analysis.session_changes(summary(spark, d), [m.id for m in WANTED if m.role == "marker"])
+
+
+@query(
+    f"{COHORT_SQL} SELECT session, round(coverage, 6) AS coverage, count(marker) FILTER (WHERE NOT degenerate) AS kept, count(marker) FILTER (WHERE degenerate) AS degenerate,"
+    f" count(marker) FILTER (WHERE NOT degenerate) > 0 AND coverage >= {FLOOR} AS included FROM cv LEFT JOIN sd USING (session) GROUP BY session, coverage"
+)
+def cohort_sessions(spark, d) -> DataFrame:
+    """What each session gives a cohort: markers kept and degenerate, its coverage by gated windows, and whether it counts."""
+    g = session_changes(spark, d).groupBy("session", "coverage").agg(F.count_if(~F.col("degenerate")).alias("kept"), F.count_if("degenerate").alias("degenerate"))
+    return g.select("session", F.round("coverage", 6).alias("coverage"), "kept", "degenerate", ((F.col("kept") > 0) & (F.col("coverage") >= FLOOR)).alias("included"))
+
+
+@query(
+    f"{COHORT_SQL}, c AS (SELECT marker, count(*) AS n, median(pct) AS mp, median(std_change) AS md, count(*) FILTER (WHERE std_change > 0) AS n_up FROM us GROUP BY marker),"
+    " t AS (SELECT *, least(1.0, 2 * list_sum(list_transform(range(least(n_up, n - n_up) + 1),"
+    " lambda k: exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) - n * ln(2.0))))) AS p FROM c)"
+    " SELECT marker, n, round(mp, 4) + 0.0 AS median_pct, round(md, 5) + 0.0 AS median_std, n_up, round(p, 6) AS p FROM t"
+)
+def cohort_gated(spark, d) -> DataFrame:
+    """Per marker the medians over the sessions that count, on gated windows, with the exact sign test."""
+    c = analysis.cohort(analysis.included(session_changes(spark, d), FLOOR))
+    return c.select("marker", "n", (F.round("median_pct", 4) + 0.0).alias("median_pct"), (F.round("median_std", 5) + 0.0).alias("median_std"), "n_up", F.round("p", 6).alias("p"))
+
+
 ROLES_SQL = "ro AS (SELECT unnest([" + ", ".join(f"{{'marker': '{m.id}', 'extra': {str(m.role != 'marker').lower()}, 'nr': {i}, 'expected': '{m.expected}'}}" for i, m in enumerate(markers.MARKERS)) + "], recursive := true))"
 RANK_SQL = (
     f"{SUM_SQL}, {ROLES_SQL}, sc AS (SELECT sm.*, extra, nr, expected, coalesce(abs(pct), abs(std_change)) AS score,"
