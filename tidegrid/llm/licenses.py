@@ -2,7 +2,8 @@
 
 Each text, its runs of white space as one space each, is walked once by an Aho-Corasick automaton over the rules' keywords; only the rules whose
 keyword occurs run. Detections are intervals of the lower-cased text. One that lies within the interval of a detection of the same or a lower rank is
-suppressed (of equal intervals and ranks the earlier rule's stays): a sweep over their starts that remembers the furthest end of each rank.
+suppressed (of equal intervals and ranks the earlier rule's stays): a sweep over their starts that remembers the furthest end of each rank. A mere reservation
+of rights is no label in a text in which a license stands.
 The base phrases are counted at every place where their words stand consecutively, suppressed or not.
 
 Edge cases: a null or empty text has no words, no labels and score 0; a null id is carried through; repeated rows give one result row each;
@@ -104,8 +105,14 @@ class Scanner:
                     r, pattern = self.rules[i]
                     if r.keyword in near and (m := pattern.match(text, at.start())):
                         found.append((i, m))
-        place = spaced.place
-        return resolve([(r.rank, i, place(m.start()), place(m.end() - 1) + 1, r.label, r.confidence) for i, m in found for r in self.rules[i][:1]])
+        place, kept = spaced.place, []
+        for i, m in found:
+            r, _ = self.rules[i]
+            start, stop = m.span("at" if "at" in m.re.groupindex else 0)
+            kept.append((r.rank, i, place(start), place(stop - 1) + 1, r.label, r.confidence))
+        stand = resolve(kept)
+        granted = any(not self.rules[x[1]][0].alone for x in stand)
+        return [x for x in stand if not granted or not self.rules[x[1]][0].alone]
 
     def scan(self, text: str | None) -> tuple:
         low = (text or "").encode().lower()
