@@ -4,7 +4,8 @@ A record goes to the shard of the least cost -ln(u) / weight, u being a hash of
 depends on nothing else, so a new shard takes records only into itself and a removed one gives up only its own.
 The slot is the record's rank within its shard in the order of a hash of the whole record, found without a window over a whole shard:
 equal records are counted first, ranked within ranges of the hash, and the ranges' sizes are summed up before them. There are as many ranges as keep
-some RANGE_ROWS rows in each, so the table of their sizes has one row for about as many records.
+some RANGE_ROWS rows in each, so the table of their sizes has one row for about as many records; it is joined by shard and range, as the records are dealt
+already, and broadcast only where Spark finds it small.
 
 Edge cases: null text counts 8 bytes and has the crc of an empty one; a null key is a key of its own; equal rows get slots of their own;
 an empty table gives an empty result; other columns are ignored, so their names cannot clash.
@@ -61,7 +62,7 @@ def shard(df: DataFrame, weights: Sequence[float], id_col: str = "doc_id", text_
     before = Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "range", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("start"))
     within = Window.partitionBy("shard", "range").orderBy("order", *same).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = records.withColumn("rank", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(starts), ["shard", "range"])
+    ranked = records.withColumn("rank", F.coalesce(F.sum("n").over(within), F.lit(0))).join(starts, ["shard", "range"])
     chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK)))
     piece = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, F.col("n")) - 1))
     return (
