@@ -81,3 +81,49 @@ def session_changes(summary: DataFrame, markers: list[str], least_baseline: int
 def included(changes: DataFrame, floor: float) -> DataFrame:
     """Of session_changes, what a cohort counts: rows not degenerate of sessions covered to the floor. A session without any such row has none here."""
     return changes.where(~F.col("degenerate") & (F.col("coverage") >= floor)).select("session", "marker", "std_change", "pct")
+
+
+def epochs_bought(duration: Column, win: float, hop: float) -> Column:
+    """How many windows of a grid a duration holds."""
+    return F.when(duration >= win, F.floor((duration - win) / hop).cast("long") + 1).otherwise(F.lit(0).cast("long"))
+
+
+def adequacy(n: Column, ok: int, thin: int) -> Column:
+    """What a reference of n windows is good for: 25 and 10 for power, 12 and 8 for connectivity are the usual limits."""
+    return F.when(n >= ok, "ok").when(n >= thin, "thin").otherwise("insufficient")
+
+
+def tapped(rows: DataFrame, keys: list[str], channel: str, t: str, value: str, least: float = 3.0) -> DataFrame:
+    """keys, top, ratio, tapped: the channel of the largest deviation from its line over time, that over the median of the others' (infinite if this is 0,
+    null without others), and the channel again if the ratio reaches `least`. Channels of fewer than three values, which any line fits, don't count. Of equal
+    deviations (to six places) the last channel by name is taken."""
+    x, y = F.col(t).cast("double"), F.col(value).cast("double")
+    of_line = F.coalesce(F.covar_pop(x, y) * F.covar_pop(x, y) / F.nullif(F.var_pop(x), F.lit(0.0)), F.lit(0.0))
+    deviation = F.round(F.sqrt(F.greatest(F.var_pop(y) - of_line, F.lit(0.0))), 6).alias("sd")
+    sd = rows.where(F.col(value).isNotNull()).groupBy(*keys, channel).agg(F.count("*").alias("_n"), deviation).where("_n >= 3")
+    top = sd.groupBy(*keys).agg(F.max(F.struct("sd", F.col(channel).alias("top"))).alias("_t")).select(*keys, "_t.top")
+    same = F.col(channel) == F.col("top")
+    g = sd.join(top, keys).groupBy(*keys, "top").agg(F.max(F.when(same, F.col("sd"))).alias("_a"), F.median(F.when(~same, F.col("sd"))).alias("_b"))
+    ratio = F.when(F.col("_b") == 0, F.lit(float("inf"))).otherwise(F.col("_a") / F.nullif(F.col("_b"), F.lit(0.0)))
+    return g.select(*keys, "top", ratio.alias("ratio"), F.when(ratio >= least, F.col("top")).alias("tapped"))
+
+
+def motion(rows: DataFrame, keys: list[str], accel: list[Column], gyro: list[Column], most_g: float, most_turn: float) -> DataFrame:
+    """keys, moved, motion from one row for each sample: the acceleration's norm less 1 g, with the size of the turning rates. moved: any sample's norm is off by
+    more than most_g, or any axis turns faster than most_turn. Samples with an unknown axis are left out."""
+    off = F.abs(F.sqrt(sum((a * a for a in accel), F.lit(0.0))) - 1)
+    turns = F.array(*[F.abs(g) for g in gyro])
+    known = F.array(*accel, *gyro)
+    s = rows.where(F.forall(known, lambda v: v.isNotNull())).withColumns({"_off": off, "_turn": F.aggregate(turns, F.lit(0.0), lambda a, g: a + g) / len(gyro), "_fast": F.array_max(turns)})
+    moved = F.bool_or((F.col("_off") > most_g) | (F.col("_fast") > most_turn))
+    return s.groupBy(*keys).agg(moved.alias("moved"), (F.avg("_off") + F.avg("_turn") / 100).alias("motion"))
+
+
+def bars(summary: DataFrame, keys: list[str], most: float = 100.0, least_scale: float = 5.0) -> DataFrame:
+    """keys, marker, pct, place, scale: markers by falling size of change, those without a percentage or beyond `most` without a place; scale is that of the
+    session's largest bar, `least_scale` at least, null where no bar stands. Ties by marker."""
+    shown = F.coalesce(F.abs("pct") <= most, F.lit(False))
+    w = Window.partitionBy(*keys, "_shown").orderBy(F.round(F.abs("pct"), 6).desc(), "marker")
+    rows = summary.select(*keys, "marker", "pct", shown.alias("_shown")).withColumn("place", F.when(F.col("_shown"), F.row_number().over(w)))
+    largest = F.max(F.when(F.col("_shown"), F.abs("pct"))).over(Window.partitionBy(*keys))
+    return rows.withColumn("scale", F.when(largest.isNotNull(), F.greatest(largest, F.lit(least_scale)))).drop("_shown")

@@ -58,10 +58,14 @@ def phase_of(time: Column, phases: list[tuple[str, int, int]]) -> Column:
     return out
 
 
-def phase_join(epochs: DataFrame, phases: DataFrame) -> DataFrame:
-    """epochs (session, t) with the first listed of the phases (session, place, phase, start_s, end_s) that hold t, else ''. Both are keyed by session."""
+def phase_join(epochs: DataFrame, phases: DataFrame, block: float = 86_400.0) -> DataFrame:
+    """epochs (session, t) with the first listed of the phases (session, place, phase, start_s, end_s) that hold t, else ''. Both are keyed by session and dealt by
+    blocks of time, a phase into each block that it reaches into, so an epoch meets the phases of its own block alone. Empty phases hold nothing."""
+    at = lambda c: F.floor(F.col(c) / F.lit(block)).cast("long")
+    reach = phases.where("end_s > start_s").withColumn("_block", F.explode(F.sequence(at("start_s"), at("end_s"))))
     hit = (F.col("t") >= F.col("start_s")) & (F.col("t") < F.col("end_s"))
-    found = epochs.select("session", "t").distinct().join(phases, "session").where(hit).groupBy("session", "t").agg(F.min_by("phase", "place").alias("phase"))
+    dealt = epochs.select("session", "t").distinct().withColumn("_block", at("t"))
+    found = dealt.join(reach, ["session", "_block"]).where(hit).groupBy("session", "t").agg(F.min_by("phase", "place").alias("phase"))
     return epochs.join(found, ["session", "t"], "left").withColumn("phase", F.coalesce("phase", F.lit("")))
 
 

@@ -88,3 +88,20 @@ def plausible_units(df: DataFrame, low: float = 1.0, high: float = 100.0) -> Dat
     """session, sd, plausible: the median over channels of the signal's standard deviation lies within bounds."""
     sd = df.groupBy("session", "channel").agg(F.stddev_pop("value").alias("sd")).groupBy("session").agg(F.median("sd").alias("sd"))
     return sd.withColumn("plausible", F.col("sd").between(low, high))
+
+
+def session_folders(spark: SparkSession, root: str, needed: tuple[str, ...] = ("meta.json",)) -> DataFrame:
+    """session, path, files, size, modified: the folders under root that hold files, the newest file's time being the folder's. Those without one of the needed
+    files are left out. Only names, times and sizes are read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+    parts = listed.withColumns({"folder": F.regexp_extract("path", "^(.*)/[^/]*$", 1), "name": F.regexp_extract("path", "([^/]*)$", 1)})
+    has = [F.bool_or(F.col("name") == n).alias(f"_has{i}") for i, n in enumerate(needed)]
+    g = parts.groupBy("folder").agg(F.count("*").alias("files"), F.sum("length").alias("size"), F.max("modificationTime").alias("modified"), *has)
+    whole = g.where(" AND ".join(f"_has{i}" for i in range(len(needed))) or "true")
+    return whole.select(F.regexp_extract("folder", "([^/]*)$", 1).alias("session"), F.col("folder").alias("path"), "files", "size", "modified")
+
+
+def latest_session(spark: SparkSession, root: str, needed: tuple[str, ...] = ("meta.json",)) -> DataFrame:
+    """The row of session_folders changed last; of equal times the last by name. Empty without sessions."""
+    newest = F.max_by(F.struct("session", "path", "files", "size", "modified"), F.struct("modified", "session", "path"))
+    return session_folders(spark, root, needed).agg(newest.alias("s")).where("s IS NOT NULL").select("s.*")
