@@ -321,6 +321,18 @@ def test_alignment_equals_brute_force():
         assert all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:]))
 
 
+def test_fingerprints_of_many_short_lines_are_bounded():
+    rng = random.Random(5)
+    letters = [rng.choice("abcdefghijklmnop") for _ in range(20_000)]
+    texts = ["\n" * 300_000, "\n".join(letters), "\n\n".join(letters), "a\n\n" * 20_000, "a\nb\n" * 20_000, "same line of words\n" * 20_000, "\n", "a", " \n\t\n" * 5_000]
+    for text in texts:
+        tree = merkle.Tree(text)
+        mark = tree.fingerprint()
+        assert merkle.branches_of(mark) == tree.branches and len(mark) < 14 * (len(text.encode()) + 1) + 33
+        assert merkle.likeness(mark, merkle.Tree(text + "x").fingerprint()) < 1
+    assert len(merkle.Tree(texts[0]).fingerprint()) < 64 and len(merkle.Tree(texts[5]).fingerprint()) < 200
+
+
 def test_op5_equals_brute_force(spark, texts):
     ids = sorted(texts)
     got = {r["doc_id"]: r for r in merkle.op5_merkle_fingerprints(spark, SF).collect()}
