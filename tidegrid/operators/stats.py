@@ -70,6 +70,22 @@ def field(name: str) -> Callable[[Column], Column]:
     return lambda e: e[name]
 
 
+def mean_in_order(x: Column) -> Column:
+    """The mean of an array of known values, added up one after the other; null if it is empty."""
+    return F.when(F.size(x) > 0, F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x))
+
+
+def deviation_in_order(x: Column) -> Column:
+    """The population's standard deviation of an array of known values, by Welford's recurrence from the first to the last; null if it is empty."""
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
+
+    def add(a: Column, v: Column) -> Column:
+        mean = a["mean"] + (v - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["square"] + (v - mean) * (v - a["mean"])).alias("square"))
+
+    return F.when(F.size(x) > 0, F.aggregate(x, zero, add, lambda a: F.sqrt(a["square"] / a["n"])))
+
+
 def series_arrays(df: DataFrame, value: str, index: str, keys: list[str], **parts: Column) -> DataFrame:
     """keys and, for each part (a condition), the array of its known values in the order of the index: one shuffle of the series."""
     def of(condition: Column) -> Column:

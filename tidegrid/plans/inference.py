@@ -39,9 +39,14 @@ MS = (
 
 
 def series(spark, d) -> DataFrame:
-    """session, epoch, phase, marker, value; of all rows, neither cleaned nor gated."""
-    ep = epochs(spark, d, SERIES)
-    st = ep.groupBy("session", "epoch").agg(F.count("*").alias("c"), *[F.expr(v).alias(k) for k, v in STATS.items()])
+    """session, epoch, phase, marker, value; of all rows, neither cleaned nor gated. An epoch's values are added up in the order of its samples, so that a value
+    has the same bits however the rows are split: ranks and spreads of later steps tell equal values from others."""
+    held = F.array_sort(F.collect_list(F.struct("sample", "value")))
+    known = F.filter(F.transform(held, stats.field("value")), lambda v: v.isNotNull())
+    ep = epochs(spark, d, SERIES).groupBy("session", "epoch").agg(F.count("*").alias("c"), known.alias("x"))
+    x = F.col("x")
+    of = {"energy": stats.mean_in_order(F.transform(x, lambda v: v * v)), "level": stats.mean_in_order(x), "p2p": F.array_max(x) - F.array_min(x), "sd": stats.deviation_in_order(x)}
+    st = ep.select("session", "epoch", "c", *[of[k].alias(k) for k in STATS])
     long = st.unpivot(["session", "epoch", "c"], list(STATS), "marker", "v")
     return long.select("session", "epoch", grid.phase_of(grid.centre(SERIES), PHASES).alias("phase"), "marker", F.when(F.col("c") >= 2, F.col("v")).alias("value"))
 
