@@ -27,6 +27,11 @@ def test_deltas_of_equal_deviations_are_those_of_the_sql(spark, sessions):
     assert compare(spark, catalogue.QUERIES["cliffs_delta_rank"], catalogue.ORACLE_SQL["cliffs_delta_rank"], d) == ""
 
 
+def test_texts_of_deltas_on_a_tie_are_those_of_the_sql(spark, sessions):
+    d = sessions(472, 686)
+    assert compare(spark, catalogue.QUERIES["payload_json"], catalogue.ORACLE_SQL["payload_json"], d) == ""
+
+
 def test_series_have_the_same_bits_however_rows_are_split(spark, tmp_path):
     one, many = tmp_path / "one", tmp_path / "many"
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")

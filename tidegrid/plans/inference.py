@@ -66,7 +66,9 @@ SM = (
 
 
 def summary(spark, d) -> DataFrame:
-    return analysis.summarise(series(spark, d), KEYS)
+    """The delta comes as twice the won pairs over all pairs, less one, as by ranks: its last bit decides where it lies on a tie of rounding."""
+    pairs = F.nullif(F.col("n_baseline") * F.col("n_active"), F.lit(0).cast("long"))
+    return analysis.summarise(series(spark, d), KEYS).withColumn("delta", F.rint((F.col("delta") + 1) * pairs) / pairs - 1)
 
 
 @query(f"{SM} SELECT session, marker, n_baseline, n_active, round(baseline + 1e-9, 3) AS baseline, round(active + 1e-9, 3) AS active, round(spread + 1e-9, 3) AS spread FROM sm")
