@@ -1,9 +1,11 @@
 """Values whose last bits decide: equal values in ranks, ties of rounding, rows split and dealt in any way."""
 
 import duckdb
+import numpy as np
 import pytest
 from compare import compare
 
+from tidegrid.operators import stats
 from tidegrid.plans import catalogue, inference
 
 SF = "/root/testdata/sf0.1"
@@ -42,3 +44,16 @@ def test_series_have_the_same_bits_however_rows_are_split(spark, tmp_path):
         return sorted((r["session"], r["epoch"], r["marker"], repr(r["value"])) for r in inference.series(spark, str(d)).collect())
 
     assert bits(one) == bits(many)
+
+
+def test_replicates_of_series_of_one_length_share_their_draws():
+    rng = np.random.default_rng(3)
+    stats.draws.cache_clear()
+    for n in (1, 2, 7, 40, 40, 40, 255, 256, 700):
+        x = np.round(rng.normal(size=n), 1)
+        want = np.median(x[stats.resampled(n, 5, 0, 300, (0, 1))], axis=1)
+        assert stats.replicate_medians(x, 5, 300, (0, 1)).tolist() == want.tolist()
+    assert stats.draws.cache_info().misses == 5
+    a, b = rng.normal(size=30), rng.normal(size=21)
+    formed = stats.effect_interval(a, b, (4, 12), statistic=lambda a, b: stats.median_difference(a, b))
+    assert stats.effect_interval(a, b, (4, 12)) == formed
