@@ -18,6 +18,9 @@ from ..functions.contact import FIGURES, Contact, figures, grade
 
 # --- contact
 
+#: Windows filtered side by side: the filters hold some twenty copies of these.
+PORTION = 256
+
 
 def reports(keys: dict, seconds: list[int], windows: list[np.ndarray], c: Contact) -> pd.DataFrame:
     """A row of figures and the grade for each window."""
@@ -36,7 +39,9 @@ def contact_windows(windows: DataFrame, keys: list[str], c: Contact) -> DataFram
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield reports({k: frame[k].to_numpy() for k in keys}, frame["second"].to_list(), list(frame["x"]), c)
+            for at in range(0, len(frame), PORTION):
+                part = frame.iloc[at : at + PORTION]
+                yield reports({k: part[k].to_numpy() for k in keys}, part["second"].to_list(), list(part["x"]), c)
 
     return windows.select(*keys, "second", "x").mapInPandas(task, ", ".join([*(f"{k} long" for k in keys), CONTACT_COLUMNS]))
 
