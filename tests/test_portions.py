@@ -24,3 +24,10 @@ def test_contact_windows_are_filtered_in_portions(monkeypatch):
     frame = pd.DataFrame({"session": 1, "c": 0, "second": range(600), "x": x})
     out = pd.concat(live.contact_windows(Held(), ["session", "c"], Contact())(iter([frame])))
     assert max(sizes) <= 256 and out["second"].to_list() == list(range(600))
+
+
+def test_segments_compute_no_more_than_their_bands(spark):
+    from tidegrid.plans import recordings
+
+    plan = recordings.segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "POWER(" not in plan.upper() and "zip_with" not in plan

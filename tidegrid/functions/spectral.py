@@ -73,7 +73,21 @@ def density(z: Column, n: int, fs: float, square: float) -> Column:
 
 
 def periodogram(x: Column, n: int, fs: float) -> Column:
-    return density(dft(hann(x, n)), n, fs, 0.375 * n)
+    """density(dft(hann(x))) as one column of numpy over Arrow batches: what reads it many times finds it done. Null without a window."""
+    taper = np.array([0.5 - 0.5 * math.cos(2 * math.pi * i / n) for i in range(n)])
+    weight = np.where(np.isin(np.arange(n // 2 + 1), (0, n // 2)), 1.0, 2.0)
+
+    def batch(windows: pd.Series) -> pd.Series:
+        there = windows.notna().to_numpy()
+        if not there.any():
+            return pd.Series([None] * len(windows), dtype=object)
+        v = np.stack(windows[there].to_numpy())
+        # The mean by adding up one after the other, as mean() does.
+        z = np.fft.rfft((v - np.cumsum(v, axis=1)[:, -1:] / v.shape[1]) * taper, axis=1)
+        rows = iter((z.real * z.real + z.imag * z.imag) * (weight / (fs * (0.375 * n))))
+        return pd.Series([next(rows) if t else None for t in there], dtype=object)
+
+    return F.pandas_udf(batch, "array<double>")(x)
 
 
 def welch(x: Column, size: int, seg: int, fs: float) -> Column:

@@ -466,9 +466,10 @@ SEG_SQL = (
 
 def segments(spark, d) -> DataFrame:
     """session, channel and the four conditions of an effect between the two phases."""
-    rows = described(spark, d).where(F.col("c") < len(EEG))
+    rows = channels(spark, d).where(F.col("c") < len(EEG)).withColumn("p", S.periodogram(F.col("x"), N, FS))
     names = F.array(*map(F.lit, EEG))
-    long = placed(rows.select("e", F.get(names, F.col("c")).alias("channel"), "f.alpha", "f.low", "f.high"))
+    powers = [S.band_power(F.col("p"), *SPECTRAL_BANDS[k]).alias(k) for k in ("alpha", "low", "high")]
+    long = placed(rows.select("e", F.get(names, F.col("c")).alias("channel"), *powers))
     log = lambda k: F.log2(F.greatest(F.col(k), F.lit(1e-12)))
     long = long.withColumn("value", log("alpha") - (log("low") + log("high")) / 2)
     of = lambda f, k, p: f(F.when(F.col("phase") == p, F.col(k)))
