@@ -31,3 +31,37 @@ def test_segments_compute_no_more_than_their_bands(spark):
 
     plan = recordings.segments(spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "POWER(" not in plan.upper() and "zip_with" not in plan
+
+
+def feature_nodes(df):
+    """How many times a plan computes power densities."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+
+
+def test_a_cohort_computes_its_windows_once(spark, monkeypatch):
+    from tidegrid.plans import recordings
+
+    written, cut = [], recordings.cut
+    monkeypatch.setattr(recordings, "cut", lambda df, tag: written.append((tag, feature_nodes(df))) or cut(df, tag))
+    d = "/root/testdata/sf0.001"
+    assert feature_nodes(recordings.cohort_gated(spark, d)) == 0 and written == [("summary", feature_nodes(recordings.gated_series(spark, d)))]
+    written.clear()
+    assert feature_nodes(recordings.report_order(spark, d)) == 0 and len(written) == 1
+
+
+def test_features_are_dealt_by_windows(spark):
+    from tidegrid.plans import recordings
+
+    plan = recordings.measured(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("ArrowEvalPython") < plan.find("REPARTITION_BY_COL")
+
+
+def test_a_value_read_for_all_items_of_an_array_is_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from tidegrid.functions import spectral
+    from tidegrid.plans import recordings
+
+    x = spark.range(1).select(F.sequence(F.lit(1), F.lit(64)).cast("array<double>").alias("x"))
+    for column in (spectral.hann(F.col("x"), 64), spectral.entropy(F.col("x"), 1, 31), recordings.sd_of(F.col("x"))):
+        assert "transform(array((aggregate(" in x.select(column.alias("c"))._jdf.queryExecution().analyzed().toString().replace("transform(array(aggregate(", "transform(array((aggregate(")

@@ -31,7 +31,7 @@ POWERS = {k: S.BANDS[k] for k in ("theta", "alpha", "smr", "beta", "total")}
 def channel_features(p: Column, bands: dict[str, tuple[float, float]]) -> list[Column]:
     """Of a power density at bins of 1 Hz: the power of bands, the slope of the aperiodic line, the alpha power above it, the entropy."""
     slope, _ = S.log_line(p, 3, 30, S.BANDS["alpha"])
-    peak = S.band_power(S.excess(p, *S.log_line(p, 2, 30, (7, 14))), *S.BANDS["alpha"])
+    peak = S.once(S.excess(p, *S.log_line(p, 2, 30, (7, 14))), lambda above: S.band_power(above, *S.BANDS["alpha"]))
     powers = [S.band_power(p, *b).alias(k) for k, b in (POWERS | bands).items()]
     return [*powers, slope.alias("slope"), peak.alias("peak"), S.entropy(p, *S.BANDS["total"]).alias("entropy")]
 

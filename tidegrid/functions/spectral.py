@@ -6,6 +6,7 @@ Columns or their names. x: array<double>, the window's samples. p: array<double>
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,11 @@ def mean(values: Column) -> Column:
     return total(values) / F.size(values)
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, held in an array of one: what stands inside another array's lambda is computed for each of that array's items."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def tapered(x: Column, n: int) -> Column:
     """The window under a periodic Hann taper."""
     taper = [0.5 - 0.5 * math.cos(2 * math.pi * i / n) for i in range(n)]
@@ -39,16 +45,14 @@ def tapered(x: Column, n: int) -> Column:
 
 def hann(x: Column, n: int) -> Column:
     """The window less its mean, under a periodic Hann taper."""
-    m = mean(x)
-    return tapered(F.transform(x, lambda v: v - m), n)
+    return tapered(once(mean(x), lambda m: F.transform(x, lambda v: v - m)), n)
 
 
 def line_removed(x: Column, n: int) -> Column:
     """The window less its least-squares line."""
     k, s = (n - 1) / 2, n * (n * n - 1) / 12
-    m = mean(x)
-    slope = total(F.transform(x, lambda v, i: v * (i - k))) / s
-    return F.transform(x, lambda v, i: v - m - slope * (i - k))
+    line = F.struct(mean(x).alias("m"), (total(F.transform(x, lambda v, i: v * (i - k))) / s).alias("slope"))
+    return once(line, lambda f: F.transform(x, lambda v, i: v - f["m"] - f["slope"] * (i - k)))
 
 
 def dft(y: Column) -> Column:
@@ -133,7 +137,11 @@ def log_line(p: Column, lo: int, hi: int, skip: tuple[int, int]) -> tuple[Column
 
 def excess(p: Column, slope: Column, intercept: Column) -> Column:
     """Power over the aperiodic line, at least 0; the line at 0 Hz is that at 1e-9 Hz."""
-    return F.transform(p, lambda v, i: F.greatest(v - F.pow(F.lit(10.0), intercept + slope * F.log10(F.greatest(i.cast("double"), F.lit(1e-9)))), F.lit(0.0)))
+
+    def over(line: Column) -> Column:
+        return F.transform(p, lambda v, i: F.greatest(v - F.pow(F.lit(10.0), line["b"] + line["a"] * F.log10(F.greatest(i.cast("double"), F.lit(1e-9)))), F.lit(0.0)))
+
+    return once(F.struct(slope.alias("a"), intercept.alias("b")), over)
 
 
 def box(p: Column, k: int) -> Column:
@@ -151,9 +159,12 @@ def interior_peak(p: Column, lo: int, hi: int) -> Column:
 
 def entropy(p: Column, lo: int, hi: int) -> Column:
     """Shannon entropy of the power's shares within a band, over its highest possible value."""
-    part = F.filter(F.slice(p, lo + 1, hi - lo + 1), lambda v: v > 0)
-    s = total(part)
-    return F.when(F.size(part) > 1, total(F.transform(part, lambda v: -(v / s) * F.log(v / s))) / F.log(F.size(part).cast("double")))
+
+    def of(part: Column) -> Column:
+        terms = once(total(part), lambda s: F.transform(part, lambda v: -(v / s) * F.log(v / s)))
+        return F.when(F.size(part) > 1, total(terms) / F.log(F.size(part).cast("double")))
+
+    return once(F.filter(F.slice(p, lo + 1, hi - lo + 1), lambda v: v > 0), of)
 
 
 def median5(v: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import complexity, markers
 from ..functions import spectral as S
 from ..operators import analysis, stats
+from ..operators.recursive import cut
 from ..sources.tables import vectors
 from .inference import hash_sql, reps_sql
 from .signals import r6
@@ -124,8 +125,7 @@ def windows(spark, d) -> DataFrame:
 
 
 def sd_of(x: Column) -> Column:
-    m = S.mean(x)
-    return F.sqrt(S.mean(F.transform(x, lambda v: (v - m) * (v - m))))
+    return F.sqrt(S.mean(S.once(S.mean(x), lambda m: F.transform(x, lambda v: (v - m) * (v - m)))))
 
 
 def highest(x: Column) -> Column:
@@ -133,10 +133,11 @@ def highest(x: Column) -> Column:
 
 
 def described(spark, d, lziv: bool = False) -> DataFrame:
-    """e, c, x and f, a struct of the channel's features in the window: amplitude, step, deviation, mean size, then those of its spectrum (and complexity)."""
+    """e, c, x and f, a struct of the channel's features in the window: amplitude, step, deviation, mean size, then those of its spectrum (and complexity).
+    The samples are dealt by windows first: else the features, which cost most, would be computed in as few tasks as the file has splits."""
     x = F.col("x")
     steps = F.zip_with(F.slice(x, 2, N - 1), F.slice(x, 1, N - 1), lambda a, b: F.abs(a - b))
-    rows = channels(spark, d).withColumn("p", S.periodogram(x, N, FS))
+    rows = channels(spark, d).repartition("e").withColumn("p", S.periodogram(x, N, FS))
     if lziv:
         rows = rows.withColumn("lziv", complexity.lempel_ziv(x))
     plain = [highest(x).alias("amplitude"), F.array_max(steps).alias("step"), sd_of(x).alias("sd"), S.mean(F.transform(x, F.abs)).alias("size")]
@@ -308,8 +309,9 @@ SUM_SQL = (
 
 
 def summary(spark, d, wanted: list[markers.Marker] | None = None) -> DataFrame:
+    """The series is written once, as both its summaries and its correlations are taken from it."""
     indices = ["emg", "emg_wide", "motion"]
-    series = gated_series(spark, d, wanted, [*PLACE, *indices])
+    series = cut(gated_series(spark, d, wanted, [*PLACE, *indices]), "series")
     return analysis.summarise(series, KEYS).join(analysis.artifact_correlation(series, KEYS, indices), KEYS)
 
 
@@ -332,7 +334,9 @@ COHORT_SQL = (
 
 
 def session_changes(spark, d) -> DataFrame:
-    return analysis.session_changes(summary(spark, d), [m.id for m in WANTED if m.role == "marker"])
+    """From summaries without correlations, which a cohort doesn't ask for, written once for all that is taken from them."""
+    changes = cut(analysis.summarise(gated_series(spark, d), KEYS), "summary")
+    return analysis.session_changes(changes, [m.id for m in WANTED if m.role == "marker"])
 
 
 @query(
