@@ -57,3 +57,17 @@ def test_replicates_of_series_of_one_length_share_their_draws():
     a, b = rng.normal(size=30), rng.normal(size=21)
     formed = stats.effect_interval(a, b, (4, 12), statistic=lambda a, b: stats.median_difference(a, b))
     assert stats.effect_interval(a, b, (4, 12)) == formed
+
+
+def test_sign_tests_on_a_tie_of_rounding_are_those_of_the_sql(spark):
+    from pyspark.sql import functions as F
+
+    p = "least(1.0, 2 * list_sum(list_transform(range(least(u, n - u) + 1), lambda k: exp(lgamma(n + 1.0) - lgamma(k + 1.0) - lgamma(n - k + 1.0) - n * ln(2.0)))))"
+    want = duckdb.execute(f"SELECT n, u, round({p}, 6) FROM (SELECT n, unnest(range(n + 1)) AS u FROM range(71) t(n)) ORDER BY n, u").fetchall()
+    signs = spark.range(71).select(F.col("id").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), "id")).alias("u"))
+    got = signs.select("n", "u", F.round(stats.sign_test(F.col("u"), F.col("n")), 6).alias("p")).orderBy("n", "u").collect()
+    assert [tuple(r) for r in got] == want
+
+
+def test_a_cohort_with_a_sign_test_on_a_tie_is_that_of_the_sql(spark):
+    assert compare(spark, catalogue.QUERIES["cohort_gated"], catalogue.ORACLE_SQL["cohort_gated"], SF) == ""
