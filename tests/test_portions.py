@@ -65,3 +65,28 @@ def test_a_value_read_for_all_items_of_an_array_is_computed_once(spark):
     x = spark.range(1).select(F.sequence(F.lit(1), F.lit(64)).cast("array<double>").alias("x"))
     for column in (spectral.hann(F.col("x"), 64), spectral.entropy(F.col("x"), 1, 31), recordings.sd_of(F.col("x"))):
         assert "transform(array((aggregate(" in x.select(column.alias("c"))._jdf.queryExecution().analyzed().toString().replace("transform(array(aggregate(", "transform(array((aggregate(")
+
+
+def test_chunks_are_filtered_in_portions(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tidegrid.functions import complexity
+    from tidegrid.operators import recursive
+
+    class Table(Held):
+        schema = spark.range(0).selectExpr("id AS session", "id AS place", "array(0d) AS x").schema
+
+        def mapInArrow(self, task, schema):
+            return task
+
+    sizes, run = [], recursive.Sections.run
+    monkeypatch.setattr(recursive.Sections, "run", lambda self, x, state: sizes.append(x.size) or run(self, x, state))
+    x = [np.random.default_rng(i).normal(size=n) for i, n in enumerate([640] * 700 + [27, 1] + [200_000])]
+    batch = pa.RecordBatch.from_arrays([pa.array([7] * len(x)), pa.array(range(len(x))), pa.array(x, pa.list_(pa.float64()))], names=["session", "place", "x"])
+    system = recursive.Sections(complexity.butterworth_sections(2, 24, 4, 64.0))
+    out = list(recursive.rest_ends(Table(), ["session"], system)(iter([batch])))
+    assert max(sizes[:-1]) <= 1 << 17 and sizes[-1] == 200_000
+    got = pa.Table.from_batches(out)
+    assert got["place"].to_pylist() == list(range(len(x))) and got["n"].to_pylist() == [len(v) for v in x] and got["first"].to_pylist() == [v[0] for v in x]
+    want = [run(system, v[None], np.zeros((1, system.order)))[1][0] for v in x]
+    assert all(np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(got["ends"].to_pylist(), want))

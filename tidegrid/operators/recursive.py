@@ -16,11 +16,12 @@ result; columns other than keys, chunk and x are dropped.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from ..streaming.monitor import shared_dir
 
 #: Chunks whose maps one task composes at a time, samples of a piece within a chunk, and samples of a chunk.
 SCAN, PIECE, CHUNK = 1024, 256, 1 << 16
+#: Samples that a task filters at a time: the filters hold a few copies of these.
+PORTION = 1 << 17
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
@@ -102,30 +105,52 @@ class Sections:
         return y, state
 
 
-def of_one_length(frame: pd.DataFrame) -> Iterator[tuple[list[int], np.ndarray]]:
-    """The places and the stacked arrays x of a frame's rows, those of one length together."""
+def of_one_length(x: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """The places and the stacked arrays of one length, at most PORTION samples of them (or one array) together."""
     sizes: dict[int, list[int]] = {}
-    for i, v in enumerate(frame["x"]):
+    for i, v in enumerate(x):
         sizes.setdefault(len(v), []).append(i)
-    for places in sizes.values():
-        yield places, np.array([frame["x"].iloc[i] for i in places], float)
+    for n, places in sizes.items():
+        step = max(1, PORTION // max(1, n))
+        for at in range(0, len(places), step):
+            part = places[at : at + step]
+            yield part, np.array([x[i] for i in part], float)
+
+
+def in_portions(batches: Iterator[pa.RecordBatch], f: Callable[[list[np.ndarray], pa.RecordBatch], dict[str, pa.Array]], keep: list[str]) -> Iterator[pa.RecordBatch]:
+    """f of the arrays x, views of a batch's buffer, of as many rows as hold PORTION samples (or of one row), beside these rows' columns `keep`."""
+    for batch in batches:
+        offsets, values = batch.column("x").offsets.to_numpy(), batch.column("x").values.to_numpy()
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PORTION, "right")) - 1)
+            part = batch.slice(at, stop - at)
+            done = f([values[a:b] for a, b in zip(offsets[at:stop], offsets[at + 1 : stop + 1])], part)
+            columns = {k: part.column(k) for k in keep} | done
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            at = stop
+
+
+def listed(rows: list[np.ndarray]) -> pa.Array:
+    """Rows as an Arrow array of lists, without an object for each number."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.concatenate(rows) if rows else np.zeros(0))).cast(pa.list_(pa.float64()))
 
 
 def rest_ends(pass_in: DataFrame, keys: list[str], system: Sections) -> DataFrame:
     """keys, place, n, first, ends: a chunk's samples, its first one, and the states at its end if it starts from rest."""
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ends = [None] * len(frame)
-            for places, x in of_one_length(frame):
-                _, done = system.run(x, np.zeros((len(x), system.order)))
-                for i, v in zip(places, done):
-                    ends[i] = v
-            yield frame[[*keys, "place"]].assign(n=[len(v) for v in frame["x"]], first=[v[0] for v in frame["x"]], ends=ends)
+    def found(x: list[np.ndarray], _: pa.RecordBatch) -> dict[str, pa.Array]:
+        ends = [None] * len(x)
+        for places, held in of_one_length(x):
+            _, done = system.run(held, np.zeros((len(held), system.order)))
+            for i, v in zip(places, done):
+                ends[i] = v
+        return {"n": pa.array([len(v) for v in x], pa.int64()), "first": pa.array([v[0] for v in x], pa.float64()), "ends": listed(ends)}
 
     types = {f.name: f.dataType.simpleString() for f in pass_in.schema}
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "place long, n long, first double, ends array<double>"])
-    return pass_in.select(*keys, "place", "x").mapInPandas(task, schema)
+    return pass_in.select(*keys, "place", "x").mapInArrow(lambda batches: in_portions(batches, found, [*keys, "place"]), schema)
 
 
 def start_states(ends: DataFrame, keys: list[str], system: Sections, top: int) -> DataFrame:
@@ -169,18 +194,17 @@ def one_way(pass_in: DataFrame, keys: list[str], system: Sections, top: int) ->
     """keys, place, x of chunks in the order of their place, filtered as if the record's first sample had stood for ever before it."""
     states = start_states(rest_ends(pass_in, keys, system), keys, system, top)
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [None] * len(frame)
-            for places, x in of_one_length(frame):
-                done, _ = system.run(x, np.array([frame["state"].iloc[i] for i in places], float))
-                for i, v in zip(places, done):
-                    out[i] = v
-            yield frame[[*keys, "place"]].assign(x=out)
+    def found(x: list[np.ndarray], part: pa.RecordBatch) -> dict[str, pa.Array]:
+        out, states = [None] * len(x), part.column("state").to_pylist()
+        for places, held in of_one_length(x):
+            done, _ = system.run(held, np.array([states[i] for i in places], float))
+            for i, v in zip(places, done):
+                out[i] = v
+        return {"x": listed(out)}
 
     types = {f.name: f.dataType.simpleString() for f in pass_in.schema}
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "place long, x array<double>"])
-    return pass_in.select(*keys, "place", "x").join(states, [*keys, "place"]).select(*keys, "place", "x", "state").mapInPandas(task, schema)
+    return pass_in.select(*keys, "place", "x").join(states, [*keys, "place"]).select(*keys, "place", "x", "state").mapInArrow(lambda batches: in_portions(batches, found, [*keys, "place"]), schema)
 
 
 def reflected(edge: Column, others: Column) -> Column:
