@@ -90,3 +90,33 @@ def test_chunks_are_filtered_in_portions(spark, monkeypatch):
     assert got["place"].to_pylist() == list(range(len(x))) and got["n"].to_pylist() == [len(v) for v in x] and got["first"].to_pylist() == [v[0] for v in x]
     want = [run(system, v[None], np.zeros((1, system.order)))[1][0] for v in x]
     assert all(np.allclose(a, b, rtol=0, atol=1e-12) for a, b in zip(got["ends"].to_pylist(), want))
+
+
+class Kept:
+    """Stands for the state of a group."""
+
+    exists, hasTimedOut, mark, get, wakes = False, False, 0, None, None
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def setTimeoutTimestamp(self, at):
+        self.wakes = at
+
+
+def test_late_gaps_of_many_keys_are_found_in_one_call():
+    state = Kept()
+
+    def step(rows, mark, unknown=False, state=state):
+        frame = pd.DataFrame(rows, columns=["key", "at", "counter"])
+        state.mark, state.hasTimedOut, state.wakes = mark, not rows, None
+        frames = iter([frame.assign(at=pd.to_datetime(frame["at"], unit="ms"))] if rows else [])
+        return [tuple(r) for out in live.late_gaps_step((0, unknown), frames, state) for r in out.itertuples(index=False)]
+
+    assert step([(5, 30, 7), (2, 10, 1), (5, 20, 3), (2, 40, 2)], 0) == [] and state.wakes == 10
+    assert step([], 35) == [(2, 1, 0, False), (5, 3, 2, False), (5, 7, 3, True)] and state.wakes == 40
+    assert step([(9, 50, 4), (5, 45, 8)], 60) == [(2, 2, 1, False), (5, 8, 7, False), (9, 4, 3, False)] and state.wakes is None
+    assert [r[1:] for r in step([(0, 1, 1), (0, 2, 9)], 60, True)] == [(1, 0, False), (9, 1, True)]

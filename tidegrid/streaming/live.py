@@ -75,33 +75,48 @@ def contact_stream(parts: DataFrame, keys: list[str], c: Contact, seconds: int)
 # --- counters
 
 
-def late_gaps_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counters wait, sorted, until the watermark has passed them; then they are compared with the one before."""
-    last, held = (None, b"") if not state.exists else state.get
-    waiting = np.frombuffer(held, np.int64).reshape(-1, 2)
+#: Groups that keys are dealt to by a hash. A call and a state for each key would cost more than its rows.
+GROUPS = 4096
+
+
+def late_gaps_step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Counters of a group's keys wait until the watermark has passed them; then each is compared with the one before of its key."""
+    held, late = (b"", b"") if not state.exists else state.get
+    last, waiting = np.frombuffer(held, np.int64).reshape(-1, 2), [np.frombuffer(late, np.int64).reshape(-1, 3)]
     if not state.hasTimedOut:
-        new = pd.concat(list(frames))
-        at = new["at"].to_numpy().astype("datetime64[ms]").astype(np.int64)
-        waiting = np.concatenate([waiting, np.stack([at, new["counter"].to_numpy(np.int64)], axis=1)])
-    mark = state.getCurrentWatermarkMs()
-    waiting = waiting[np.lexsort((waiting[:, 1], waiting[:, 0]))]
-    released = waiting[waiting[:, 0] < mark]
-    waiting = waiting[len(released) :]
-    counters = released[:, 1]
-    before = np.concatenate([[counters[0] - 1 if last is None else last], counters[:-1]]) if len(counters) else counters
-    steps = counters - before
-    gap = (np.abs(steps - 1) > 1) & (steps >= 0)
-    state.update((int(counters[-1]) if len(counters) else last, waiting.tobytes()))
+        for new in frames:
+            at = new["at"].to_numpy().astype("datetime64[ms]").astype(np.int64)
+            waiting.append(np.stack([new["key"].to_numpy(np.int64), at, new["counter"].to_numpy(np.int64)], axis=1))
+    mark, waiting = state.getCurrentWatermarkMs(), np.concatenate(waiting)
+    ready = waiting[:, 1] < mark
+    released, waiting = waiting[ready], waiting[~ready]
+    released = released[np.lexsort((released[:, 2], released[:, 1], released[:, 0]))]
+    counters = released[:, 2]
+    keys, first = np.unique(released[:, 0], return_index=True)
+    before = np.roll(counters, 1)
+    before[first] = counters[first] - 1
+    _, old, new = np.intersect1d(last[:, 0], keys, assume_unique=True, return_indices=True)
+    before[first[new]] = last[old, 1]
+    ends = np.append(first[1:], len(counters))[: len(first)] - 1
+    last = np.concatenate([np.delete(last, old, axis=0), np.stack([keys, counters[ends]], axis=1)])
+    state.update((last.tobytes(), waiting.tobytes()))
     if len(waiting):
-        state.setTimeoutTimestamp(int(max(waiting[0, 0], mark + 1)))
-    yield pd.DataFrame({"key": key[0], "counter": counters, "before": before, "gap": gap})
+        state.setTimeoutTimestamp(int(max(waiting[:, 1].min(), mark + 1)))
+    if len(released):
+        steps = counters - before
+        named = pd.array(released[:, 0], "Int64") if not group[1] else pd.array([None] * len(released), "Int64")
+        yield pd.DataFrame({"key": named, "counter": counters, "before": before, "gap": (np.abs(steps - 1) > 1) & (steps >= 0)})
 
 
 def late_gaps(stream: DataFrame, key: str, counter: str, late: str) -> DataFrame:
-    """key, counter, before, gap of each counter that the watermark has passed; stream has `at` besides. Rows later than the watermark are lost, and so gaps."""
-    rows = stream.withWatermark("at", late).select(F.col(key).cast("long").alias("key"), F.col(counter).cast("long").alias("counter"), "at")
+    """key, counter, before, gap of each counter that the watermark has passed; stream has `at` besides. Rows later than the watermark are lost, and so gaps.
+    Rows without a key are one key's."""
+    named = F.col(key).cast("long")
+    rows = stream.withWatermark("at", late).select(
+        F.pmod(F.hash(named), F.lit(GROUPS)).alias("group"), named.isNull().alias("unknown"), F.coalesce(named, F.lit(0)).cast("long").alias("key"), F.col(counter).cast("long").alias("counter"), "at"
+    )
     schema = "key long, counter long, before long, gap boolean"
-    return rows.groupBy("key").applyInPandasWithState(late_gaps_step, schema, "last long, held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("group", "unknown").applyInPandasWithState(late_gaps_step, schema, "last binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- silence
