@@ -55,18 +55,41 @@ def line_removed(x: Column, n: int) -> Column:
     return once(line, lambda f: F.transform(x, lambda v, i: v - f["m"] - f["slope"] * (i - k)))
 
 
-def dft(y: Column) -> Column:
-    """The real parts of bins 0 .. n / 2, then the imaginary ones: one FFT over a whole Arrow batch of windows of one length. Null without a window."""
+def over_windows(f: Callable[[np.ndarray], np.ndarray], x: Column) -> Column:
+    """f of all windows of one length of an Arrow batch, as rows. Null without a window. Spark doesn't take a Python function out of its plan if the argument has a
+    lambda within a lambda, as that of once(): such work on x belongs into f."""
 
     def batch(windows: pd.Series) -> pd.Series:
         there = windows.notna().to_numpy()
         if not there.any():
             return pd.Series([None] * len(windows), dtype=object)
-        z = np.fft.rfft(np.stack(windows[there].to_numpy()), axis=1)
-        rows = iter(np.concatenate([z.real, z.imag], axis=1))
+        rows = iter(f(np.stack(windows[there].to_numpy())))
         return pd.Series([next(rows) if t else None for t in there], dtype=object)
 
-    return F.pandas_udf(batch, "array<double>")(y)
+    return F.pandas_udf(batch, "array<double>")(x)
+
+
+def halves(y: np.ndarray) -> np.ndarray:
+    """The real parts of bins 0 .. n / 2 of each row, then the imaginary ones."""
+    z = np.fft.rfft(y, axis=1)
+    return np.concatenate([z.real, z.imag], axis=1)
+
+
+def dft(y: Column) -> Column:
+    """The real parts of bins 0 .. n / 2, then the imaginary ones: one FFT over a whole Arrow batch of windows of one length. Null without a window."""
+    return over_windows(halves, y)
+
+
+def line_removed_dft(x: Column, n: int) -> Column:
+    """dft(tapered(line_removed(x))) as one column of numpy, with the same sums one after the other. Null without a window."""
+    taper = np.array([0.5 - 0.5 * math.cos(2 * math.pi * i / n) for i in range(n)])
+    k, s = np.arange(n) - (n - 1) / 2, n * (n * n - 1) / 12
+
+    def of(v: np.ndarray) -> np.ndarray:
+        mean, slope = np.cumsum(v, axis=1)[:, -1:] / n, np.cumsum(v * k, axis=1)[:, -1:] / s
+        return halves((v - mean - slope * k) * taper)
+
+    return over_windows(of, x)
 
 
 def density(z: Column, n: int, fs: float, square: float) -> Column:
@@ -81,17 +104,12 @@ def periodogram(x: Column, n: int, fs: float) -> Column:
     taper = np.array([0.5 - 0.5 * math.cos(2 * math.pi * i / n) for i in range(n)])
     weight = np.where(np.isin(np.arange(n // 2 + 1), (0, n // 2)), 1.0, 2.0)
 
-    def batch(windows: pd.Series) -> pd.Series:
-        there = windows.notna().to_numpy()
-        if not there.any():
-            return pd.Series([None] * len(windows), dtype=object)
-        v = np.stack(windows[there].to_numpy())
+    def of(v: np.ndarray) -> np.ndarray:
         # The mean by adding up one after the other, as mean() does.
         z = np.fft.rfft((v - np.cumsum(v, axis=1)[:, -1:] / v.shape[1]) * taper, axis=1)
-        rows = iter((z.real * z.real + z.imag * z.imag) * (weight / (fs * (0.375 * n))))
-        return pd.Series([next(rows) if t else None for t in there], dtype=object)
+        return (z.real * z.real + z.imag * z.imag) * (weight / (fs * (0.375 * n)))
 
-    return F.pandas_udf(batch, "array<double>")(x)
+    return over_windows(of, x)
 
 
 def welch(x: Column, size: int, seg: int, fs: float) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,13 +158,9 @@ def crossed(spark, d) -> DataFrame:
     """pair, f, s, cr, ci, xx, yy: cross- and auto-spectra of seven half-overlapping segments. A pair's signals meet in one shuffle of the vectors."""
     v = vectors(spark, d).select(F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("side"), "x")
     pair = v.groupBy("pair").agg(F.max(F.when(F.col("side") == 0, F.col("x"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("x"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    taper = F.array(*[F.lit(0.5 - 0.5 * math.cos(2 * math.pi * i / 16)) for i in range(16)])
     seg = pair.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(6))))
     for side in ("a", "b"):
-        part = S.line_removed(F.slice(side, F.col("s") * 8 + 1, F.lit(16)), 16)
-        seg = seg.withColumn(side, F.zip_with(part, taper, lambda x, w: x * w))
-    for side in ("a", "b"):
-        seg = seg.withColumn(f"{side}_z", S.dft(F.col(side)))
+        seg = seg.withColumn(f"{side}_z", S.line_removed_dft(F.slice(side, F.col("s") * 8 + 1, F.lit(16)), 16))
     for side in ("a", "b"):
         seg = seg.withColumn(f"{side}_re", F.slice(f"{side}_z", 1, 9)).withColumn(f"{side}_im", F.slice(f"{side}_z", 10, 9))
     z = seg.select("pair", "s", F.posexplode(F.arrays_zip("a_re", "a_im", "b_re", "b_im")).alias("f", "z")).where("f BETWEEN 1 AND 4")
