@@ -27,3 +27,8 @@ def test_spectra_of_segments_less_their_line(spark):
 def test_coherence_of_each_pair(spark):
     found = spectra.coherence_imcoh_wpli(spark, "/root/testdata/sf0.001").collect()
     assert found and all(0 <= r["msc"] <= 1 and 0 <= r["imcoh"] <= 1 for r in found)
+
+
+def test_cross_spectra_of_each_pair(spark):
+    pairs = spectra.cross_spectra(spark, "/root/testdata/sf0.001").groupBy("pair").count().collect()
+    assert pairs and all(r["count"] == 4 for r in pairs)
