@@ -34,6 +34,24 @@ def test_texts_of_deltas_on_a_tie_are_those_of_the_sql(spark, sessions):
     assert compare(spark, catalogue.QUERIES["payload_json"], catalogue.ORACLE_SQL["payload_json"], d) == ""
 
 
+def test_texts_of_deltas_of_whole_series_are_those_of_the_sql(spark, tmp_path):
+    """With every event six times, no epoch lacks values: 400 pairs, and a delta of -0.5025."""
+    ends = f"event_id IN (SELECT min(event_id) FROM '{SF}/events.parquet') OR event_id IN (SELECT max(event_id) FROM '{SF}/events.parquet')"
+    six = f"SELECT event_id * 6 + k AS event_id, ts, user_id, event_type, value, props FROM (SELECT * FROM '{SF}/events.parquet' WHERE user_id = 613 OR {ends}), range(6) t(k) ORDER BY 1"
+    duckdb.execute(f"COPY ({six}) TO '{tmp_path}/events.parquet'")
+    assert compare(spark, catalogue.QUERIES["payload_json"], catalogue.ORACLE_SQL["payload_json"], str(tmp_path)) == ""
+
+
+def test_values_are_rounded_as_the_sql_rounds_them(spark):
+    ties = [k / 640 for k in range(-700, 700)] + [2 * k / p - 1 for p in (400, 380, 896) for k in range(p)] + [k / 1000 for k in range(-70000, 70000, 5)]
+    values = [*ties, *np.random.default_rng(5).normal(0, 40, 2000).tolist(), 0.49999999999999994, 2.5, -2.5, 4503599627370497.5, 1e17, None, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    for places in (0, 2, 3, 4, 6, 9):
+        got = [r[0] for r in df.orderBy("i").select(stats.rounded("v", places)).collect()]
+        want = [r[0] for r in duckdb.execute(f"SELECT round(v, {places}) + 0.0 FROM (SELECT unnest(?::DOUBLE[]) AS v)", [values]).fetchall()]
+        assert [repr(v) for v in got] == [repr(v) for v in want]
+
+
 def test_series_have_the_same_bits_however_rows_are_split(spark, tmp_path):
     one, many = tmp_path / "one", tmp_path / "many"
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")

@@ -45,7 +45,7 @@ def rank(summary: DataFrame, keys: list[str], limit: int, least_coverage: float
         if r in summary.columns:
             flagged = flagged | F.coalesce(F.round(F.abs(r), 9) > most_r, F.lit(False))
     rows = summary.where(score > 0) if pool is None else summary.where(score > 0).where(F.col("marker").isin(*pool))
-    w = Window.partitionBy(*keys).orderBy(F.col("flagged").asc(), F.round("score", 6).desc(), F.col("marker").asc())
+    w = Window.partitionBy(*keys).orderBy(F.col("flagged").asc(), stats.rounded("score", 6).desc(), F.col("marker").asc())
     return rows.withColumn("score", score).withColumn("flagged", flagged).withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
@@ -55,7 +55,7 @@ def tier(coverage: Column) -> Column:
 
 def change_text(delta: Column, pct: Column) -> Column:
     """Signed number without a percentage: D and three decimals, else a whole percentage."""
-    return F.when(pct.isNull(), F.concat(F.lit("D"), F.format_string("%+.3f", F.round(delta, 3)))).otherwise(F.concat(F.format_string("%+.0f", F.round(pct, 0)), F.lit("%")))
+    return F.when(pct.isNull(), F.concat(F.lit("D"), F.format_string("%+.3f", stats.rounded(delta, 3)))).otherwise(F.concat(F.format_string("%+.0f", F.round(pct, 0)), F.lit("%")))
 
 
 def cohort(sessions: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def bars(summary: DataFrame, keys: list[str], most: float = 100.0, least_scale:
     """keys, marker, pct, place, scale: markers by falling size of change, those without a percentage or beyond `most` without a place; scale is that of the
     session's largest bar, `least_scale` at least, null where no bar stands. Ties by marker."""
     shown = F.coalesce(F.abs("pct") <= most, F.lit(False))
-    w = Window.partitionBy(*keys, "_shown").orderBy(F.round(F.abs("pct"), 6).desc(), "marker")
+    w = Window.partitionBy(*keys, "_shown").orderBy(stats.rounded(F.abs("pct"), 6).desc(), "marker")
     rows = summary.select(*keys, "marker", "pct", shown.alias("_shown")).withColumn("place", F.when(F.col("_shown"), F.row_number().over(w)))
     largest = F.max(F.when(F.col("_shown"), F.abs("pct"))).over(Window.partitionBy(*keys))
     return rows.withColumn("scale", F.when(largest.isNotNull(), F.greatest(largest, F.lit(least_scale)))).drop("_shown")

@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 MAD = 1.4826
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """Rounded as SQL engines on doubles do: the value times a power of ten goes to the nearest whole number, of two to the one further from 0. round() goes by the
+    value's shortest decimal text instead, which lies on a tie where the product doesn't (-0.5025 gives -0.503 there, -0.502 here)."""
+    scale = F.lit(10.0**places)
+    return F.round((F.col(c) if isinstance(c, str) else c) * scale, 0) / scale
+
+
 def mid_rank(value: str, keys: list[str]) -> Column:
     w = Window.partitionBy(*keys).orderBy(value)
     return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, value)) - 1) / F.lit(2.0)

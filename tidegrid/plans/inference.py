@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import analysis, grid, selection, stats
+from ..operators.stats import rounded
 from ..sources.tables import samples, table, total
-from .signals import EV, PHASES, SERIES, TOTAL, centre_sql, epochs, member_sql, phase_sql, r6
+from .signals import EV, PHASES, SERIES, TOTAL, centre_sql, epochs, member_sql, phase_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,9 +25,13 @@ def query(sql: str | None = None):
     return add
 
 
+def r6(c: "F.Column | str") -> "F.Column":
+    return rounded(c, 6) + F.lit(0.0)
+
+
 def off_tie(c: "F.Column") -> "F.Column":
     """Rounded to three places, a hair above: means of two short decimals lie on ties, which engines round either way."""
-    return F.round(c + 1e-9, 3)
+    return rounded(c + 1e-9, 3)
 
 
 #: The markers of an epoch's values here; null where the epoch has fewer than two values.
@@ -78,7 +83,7 @@ def phase_median_mad_spread(spark, d) -> DataFrame:
 
 @query(f"{SM} SELECT session, marker, round(pct_raw, 4) + 0.0 AS pct_raw, round(pct, 4) + 0.0 AS pct FROM sm")
 def pct_change_raw_guarded(spark, d) -> DataFrame:
-    return summary(spark, d).select(*KEYS, (F.round("pct_raw", 4) + 0.0).alias("pct_raw"), (F.round("pct", 4) + 0.0).alias("pct"))
+    return summary(spark, d).select(*KEYS, (rounded("pct_raw", 4) + 0.0).alias("pct_raw"), (rounded("pct", 4) + 0.0).alias("pct"))
 
 
 @query(
@@ -86,7 +91,7 @@ def pct_change_raw_guarded(spark, d) -> DataFrame:
     " WHEN delta IS NOT NULL THEN 'large' ELSE 'undetermined' END AS label FROM sm"
 )
 def cliffs_delta_rank(spark, d) -> DataFrame:
-    return summary(spark, d).select(*KEYS, r6("delta").alias("delta"), stats.delta_label(F.round("delta", 9)).alias("label"))
+    return summary(spark, d).select(*KEYS, r6("delta").alias("delta"), stats.delta_label(rounded("delta", 9)).alias("label"))
 
 
 @query(f"{SM} SELECT session, marker, CASE WHEN active > 0 AND baseline > 0 THEN round(log2(active / baseline), 6) + 0.0 END AS log_ratio FROM sm")
@@ -97,7 +102,7 @@ def median_log_ratio(spark, d) -> DataFrame:
 @query(f"{SM} SELECT session, round(avg(coverage), 6) AS coverage, CASE WHEN avg(coverage) >= 0.10 THEN 'full' WHEN avg(coverage) >= 0.02 THEN 'descriptive' ELSE 'insufficient' END AS tier FROM sm GROUP BY session")
 def coverage_tier(spark, d) -> DataFrame:
     c = series(spark, d).groupBy(*KEYS).agg((F.count("value") / F.count("*")).alias("c")).groupBy("session").agg(F.avg("c").alias("coverage"))
-    return c.select("session", F.round("coverage", 6).alias("coverage"), analysis.tier(F.col("coverage")).alias("tier"))
+    return c.select("session", rounded("coverage", 6).alias("coverage"), analysis.tier(F.col("coverage")).alias("tier"))
 
 
 _RANK = (
@@ -108,12 +113,12 @@ _RANK = (
 
 @query(f"{_RANK} SELECT session, marker, place, flagged, round(score, 4) AS score FROM rn WHERE place <= 3")
 def rank_by_variation(spark, d) -> DataFrame:
-    return analysis.rank(summary(spark, d), ["session"], 3).select(*KEYS, F.col("place").cast("long").alias("place"), "flagged", F.round("score", 4).alias("score"))
+    return analysis.rank(summary(spark, d), ["session"], 3).select(*KEYS, F.col("place").cast("long").alias("place"), "flagged", rounded("score", 4).alias("score"))
 
 
 @query(f"{SM} SELECT session, marker, round(pct, 4) + 0.0 AS pct FROM sm WHERE abs(pct) <= 100")
 def bars_exclusion(spark, d) -> DataFrame:
-    return summary(spark, d).where(F.abs("pct") <= 100).select(*KEYS, (F.round("pct", 4) + 0.0).alias("pct"))
+    return summary(spark, d).where(F.abs("pct") <= 100).select(*KEYS, (rounded("pct", 4) + 0.0).alias("pct"))
 
 
 @query(f"{SM} SELECT session, marker, CASE WHEN n_baseline < 3 AND n_active >= 3 THEN 'no reference' WHEN baseline IS NULL THEN 'no data' ELSE CASE WHEN std_change > 0 THEN 'up' WHEN std_change < 0 THEN 'down' ELSE 'stable' END END AS verdict FROM sm")
@@ -136,7 +141,7 @@ def usable(spark, d) -> DataFrame:
 )
 def cohort_aggregate(spark, d) -> DataFrame:
     c = analysis.cohort(usable(spark, d))
-    return c.select("marker", "n", (F.round("median_pct", 4) + 0.0).alias("median_pct"), r6("median_std").alias("median_std"), "n_up", "n_down", F.round("p", 6).alias("p"), "consistent", "direction")
+    return c.select("marker", "n", (rounded("median_pct", 4) + 0.0).alias("median_pct"), r6("median_std").alias("median_std"), "n_up", "n_down", rounded("p", 6).alias("p"), "consistent", "direction")
 
 
 @query(
@@ -146,7 +151,7 @@ def cohort_aggregate(spark, d) -> DataFrame:
 def cohort_order(spark, d) -> DataFrame:
     """The markers that three sessions or more tell of, the largest median change first. One row a marker, so the order is found in one task."""
     c = analysis.cohort(usable(spark, d)).where("n >= 3")
-    position = F.row_number().over(Window.orderBy(F.abs(F.round("median_std", 9)).desc(), "marker"))
+    position = F.row_number().over(Window.orderBy(F.abs(rounded("median_std", 9)).desc(), "marker"))
     return c.select("marker", "n", position.cast("long").alias("position"))
 
 
@@ -154,7 +159,7 @@ def cohort_order(spark, d) -> DataFrame:
 def session_summary_degenerate(spark, d) -> DataFrame:
     enough = "n_baseline >= 5 AND spread > 0 AND abs(std_change)"
     return summary(spark, d).groupBy("session").agg(
-        F.coalesce(F.count_if(F.expr(f"{enough} <= 20")), F.lit(0)).alias("kept"), F.coalesce(F.count_if(F.expr(f"{enough} > 20")), F.lit(0)).alias("degenerate"), F.round(F.avg("coverage"), 6).alias("coverage")
+        F.coalesce(F.count_if(F.expr(f"{enough} <= 20")), F.lit(0)).alias("kept"), F.coalesce(F.count_if(F.expr(f"{enough} > 20")), F.lit(0)).alias("degenerate"), rounded(F.avg("coverage"), 6).alias("coverage")
     )
 
 
@@ -297,7 +302,7 @@ def ols_two_regressors(spark, d) -> DataFrame:
 def payload_json(spark, d) -> DataFrame:
     """One JSON document for each session: its markers in rank order."""
     r = analysis.rank(summary(spark, d), ["session"], 6)
-    figures = [(F.round(c, n) + 0.0).alias(c) for c, n in (("pct", 2), ("std_change", 3), ("coverage", 3))]
+    figures = [(rounded(c, n) + 0.0).alias(c) for c, n in (("pct", 2), ("std_change", 3), ("coverage", 3))]
     item = F.struct("place", "marker", *figures, analysis.change_text(F.col("delta"), F.col("pct")).alias("text"))
     document = F.struct(F.array_sort(F.collect_list(item)).alias("metrics"))
     return r.groupBy("session").agg(F.to_json(document, {"ignoreNullFields": "false"}).alias("payload"))

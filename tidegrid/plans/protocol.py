@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import align, analysis, grid
+from ..operators.stats import rounded
 from ..sources.tables import DAY, HOUR, samples, table, total
 from . import inference
 from .signals import EV, SERIES, TOTAL, centre_sql, epochs, member_sql
@@ -105,7 +106,7 @@ ORACLE_SQL["motion_all_axes"] = (
 def bars_order(spark, d) -> DataFrame:
     """The bars of each session in their order with the session's scale; what has no bar has no place."""
     b = analysis.bars(inference.summary(spark, d), ["session"])
-    return b.select("session", "marker", (F.round("pct", 4) + 0.0).alias("pct"), F.col("place").cast("long").alias("place"), F.round("scale", 4).alias("scale"))
+    return b.select("session", "marker", (rounded("pct", 4) + 0.0).alias("pct"), F.col("place").cast("long").alias("place"), rounded("scale", 4).alias("scale"))
 
 
 ORACLE_SQL["bars_order"] = (
