@@ -69,15 +69,14 @@ def over_windows(f: Callable[[np.ndarray], np.ndarray], x: Column) -> Column:
     return F.pandas_udf(batch, "array<double>")(x)
 
 
-def halves(y: np.ndarray) -> np.ndarray:
-    """The real parts of bins 0 .. n / 2 of each row, then the imaginary ones."""
-    z = np.fft.rfft(y, axis=1)
-    return np.concatenate([z.real, z.imag], axis=1)
-
-
 def dft(y: Column) -> Column:
     """The real parts of bins 0 .. n / 2, then the imaginary ones: one FFT over a whole Arrow batch of windows of one length. Null without a window."""
-    return over_windows(halves, y)
+
+    def of(v: np.ndarray) -> np.ndarray:
+        z = np.fft.rfft(v, axis=1)
+        return np.concatenate([z.real, z.imag], axis=1)
+
+    return over_windows(of, y)
 
 
 def line_removed_dft(x: Column, n: int) -> Column:
@@ -87,7 +86,8 @@ def line_removed_dft(x: Column, n: int) -> Column:
 
     def of(v: np.ndarray) -> np.ndarray:
         mean, slope = np.cumsum(v, axis=1)[:, -1:] / n, np.cumsum(v * k, axis=1)[:, -1:] / s
-        return halves((v - mean - slope * k) * taper)
+        z = np.fft.rfft((v - mean - slope * k) * taper, axis=1)
+        return np.concatenate([z.real, z.imag], axis=1)
 
     return over_windows(of, x)
 
